@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media
+from . import decontaminate, licenses, media, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,27 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+#: The tokenizer files' folder, a parameter of the installation.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Encode, decode and sum up ``docs`` (doc_id, text)."""
+    proto = pieces.read_model(f"{TOKENIZERS}/{PIECE_MODEL}")
+    out = pieces.decode(pieces.encode(docs.select("doc_id", "text"), proto), proto)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "score",
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))).alias("round_trip"),
+    )
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +53,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_license_scan": op5_license_scan,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {}
