@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, pieces
+from . import decontaminate, licenses, media, pieces, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,21 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, docs, _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+RANKS = "byte_bpe_50k.tiktoken"
+ORDER_KEY = 20240229
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = pieces.read_model(f"{TOKENIZERS}/{RANKS}")
+    return training_order.materialise(_table(spark, sf_dir, "documents"), ranks, ORDER_KEY)
+
+
 def round_trip(docs: DataFrame) -> DataFrame:
     """Encode, decode and sum up ``docs`` (doc_id, text)."""
     proto = pieces.read_model(f"{TOKENIZERS}/{PIECE_MODEL}")
@@ -53,6 +68,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
+    "op8_training_order": op8_training_order,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
 }
