@@ -81,35 +81,36 @@ def hits(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """(rid, doc_id, template, label, phrase, first, last, coverage): aligned spans of word positions, phrases whole."""
-    found = found.filter(F.col("template") != HEADER)
-    diagonals = found.groupBy("rid", "doc_id", "template", "label", "phrase", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + 1).alias("last"), F.collect_set("at").alias("ats")
+    """(rid, doc_id, template, label, phrase, n_words, first, last, coverage): aligned spans of word positions.
+
+    Headers pass through as spans of their own. One flow serves phrases,
+    notices and headers, so the texts are read and rolled once.
+    """
+    own = ["rid", "doc_id", "template", "label", "phrase", "n_grams"]
+    diagonals = found.groupBy(*own, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+        F.max("n_words").alias("n_words"), F.min("pos").alias("first"), (F.max("pos") + 1).alias("last"), F.collect_set("at").alias("ats")
     )
-    # A phrase must stand whole; the diagonals of notices that are near each other merge.
-    whole = diagonals.filter(F.col("phrase") & (F.col("votes") == F.col("n_grams")))
-    whole = whole.select("rid", "doc_id", "template", "label", "phrase", "first", "last", F.lit(1.0).alias("coverage"))
+    # The diagonals of a notice that are near each other merge; a phrase must stand whole.
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR).cast("int"), F.lit(0))
-    runs = diagonals.filter(~F.col("phrase")).withColumn("apart", apart).withColumn("run", F.sum("apart").over(order))
-    merged = runs.groupBy("rid", "doc_id", "template", "label", "phrase", "n_grams", "run").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats")
+    apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR)
+    runs = diagonals.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("run", F.sum("apart").over(order))
+    merged = runs.groupBy(*own, "run").agg(
+        F.max("n_words").alias("n_words"), F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats")
     )
-    merged = merged.withColumn("coverage", F.size("ats") / F.col("n_grams"))
-    return whole.unionByName(merged.select(*whole.columns))
+    coverage = F.when(F.col("n_grams") > 0, F.size("ats") / F.col("n_grams"))
+    merged = merged.withColumn("coverage", coverage).filter(~F.col("phrase") | (F.col("coverage") == 1))
+    return merged.drop("n_grams", "run", "ats")
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row for each document: counts, label lists and the best coverage."""
-    found = hits(docs, text_col).repartition("rid")
-    aligned = spans(found)
-    rows = found.filter(F.col("template") == HEADER).select("rid", "doc_id", "n_words", *[F.lit(None).cast(t).alias(n) for n, t in aligned.dtypes if n not in ("rid", "doc_id")])
-    rows = rows.unionByName(aligned.withColumn("n_words", F.lit(None).cast("long")))
+    rows = spans(hits(docs, text_col).repartition("rid"))
     start = F.when(F.col("phrase"), F.col("first")).cast("long")
     verified = F.col("phrase") | (F.col("coverage") >= COVERAGE)
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    header = F.col("template") == HEADER
     return rows.groupBy("rid", "doc_id").agg(
-        F.max("n_words").alias("n_words"), F.count(start).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),
-        listed(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), listed(F.when(verified, F.col("label"))).alias("labels"),
+        F.max(F.when(header, F.col("n_words"))).alias("n_words"), F.count(start).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),
+        listed(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), listed(F.when(verified & ~header, F.col("label"))).alias("labels"),
         F.coalesce(F.max("coverage"), F.lit(0.0)).alias("score"),
     ).drop("rid")
