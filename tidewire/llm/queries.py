@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, near_dup, pieces, toxicity, training_order
+from . import decontaminate, licenses, media, near_dup, pieces, repeats, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 RANKS = "byte_bpe_50k.tiktoken"
 ORDER_KEY = 20240229
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_repeats": op7_repeats,
     "op8_training_order": op8_training_order,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
