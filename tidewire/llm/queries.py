@@ -7,13 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, near_dup, pieces, repeats, toxicity, training_order
+from . import decontaminate, html_extract, licenses, media, near_dup, pieces, repeats, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -76,6 +81,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_license_scan": op5_license_scan,
