@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark.sql import DataFrame
 
 #: The mark that stands for white space.
 MARK = "▁"
-#: Words that a worker keeps; it forgets all when there are more.
-KEPT_WORDS = 300_000
+#: Words that a worker keeps (some 200 bytes each); past that it keeps no new ones.
+KEPT_WORDS = 600_000
 
 
 class Model:
@@ -63,54 +62,79 @@ class Model:
             if b & 0xC0 != 0x80:  # the first byte of a character pays for all
                 self.score[i] = self.unknown
         self.single = {p for p in pieces if len(p) == 1}
-        #: Where a text may be cut: before a run of marks, and around line ends.
-        self.words = re.compile(" *[^ \n]+|\n+| +")
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
-            self.words = re.compile("(?s).+")
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def viterbi(self, word: str) -> tuple[int, ...]:
+        self.words = cuts(pieces)
+        self.kept: dict[str, bytes] = {}
+        #: Texts of all pieces end to end, where each begins, and its length.
+        self.bytes = np.frombuffer(b"".join(self.text), dtype=np.uint8)
+        self.size = np.array([len(x) for x in self.text], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def viterbi(self, word: str) -> list[int]:
         """Ids of the best path through a word (with marks for its spaces)."""
         n = len(word)
-        best, back = [-np.inf] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
-        done = 0
-
-        def uncovered(upto):
-            for at in range(done, upto):
-                if word[at] not in self.single and best[at] + self.unknown > best[at + 1]:
-                    best[at + 1], back[at + 1] = best[at] + self.unknown, (1, -1)
-
-        for end, (size, i, score) in self.automaton.iter(word):
-            if end > done:
-                uncovered(end)
-                done = end
-            value = best[end + 1 - size] + score
-            if value > best[end + 1]:
-                best[end + 1], back[end + 1] = value, (size, i)
-        uncovered(n)
+        best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+        if self.single.issuperset(word):
+            for end, (size, i, score) in self.automaton.iter(word):
+                value = best[end + 1 - size] + score
+                if value > best[end + 1]:
+                    best[end + 1], back[end + 1] = value, (size, i)
+        else:
+            ending: dict[int, list] = {}
+            for end, output in self.automaton.iter(word):
+                ending.setdefault(end, []).append(output)
+            for end, character in enumerate(word):
+                if character not in self.single:
+                    best[end + 1], back[end + 1] = best[end] + self.unknown, (1, -1)
+                for size, i, score in ending.get(end, ()):
+                    value = best[end + 1 - size] + score
+                    if value > best[end + 1]:
+                        best[end + 1], back[end + 1] = value, (size, i)
         ids, at = [], n
         while at:
             size, i = back[at]
             at -= size
             ids.extend([i] if i >= 0 else [self.byte_id[b] for b in reversed(word[at].encode())])
-        return tuple(reversed(ids))
+        ids.reverse()
+        return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids as four-byte numbers."""
         if not text:
-            return []
+            return b""
         words = self.words.findall(" " + text.replace(MARK, " "))
         found = list(map(self.kept.get, words))
         if None in found:
-            if len(self.kept) > KEPT_WORDS:
-                self.kept.clear()
+            keep = len(self.kept) < KEPT_WORDS
             for k, ids in enumerate(found):
                 if ids is None:
-                    found[k] = self.kept[words[k]] = self.viterbi(words[k].replace(" ", MARK))
-        return list(chain.from_iterable(found))
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")[1:]
+                    found[k] = np.array(self.viterbi(words[k].replace(" ", MARK)), np.int32).tobytes()
+                    if keep:
+                        self.kept[words[k]] = found[k]
+        return b"".join(found)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the id runs that end at ``ends``."""
+        size = self.size[ids]
+        past = np.cumsum(size)
+        data = self.bytes[np.repeat(self.begin[ids] - (past - size), size) + np.arange(past[-1] if len(past) else 0)].tobytes()
+        bounds = np.concatenate(([0], past))[np.concatenate(([0], ends))]
+        return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip(bounds, bounds[1:])]
+
+
+def cuts(pieces: list[str]) -> re.Pattern:
+    """Words whose best paths together are the text's: no piece reaches over a cut between them.
+
+    Cut before a space (mark) that follows another character, around line ends,
+    and before a sign that follows a letter, each only if no piece has such a
+    pair of characters inside.
+    """
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:])}
+    if any(b == MARK != a for a, b in pairs) or any("\n" in x for x in pairs):
+        return re.compile("(?s).+")
+    after_letter = {b for a, b in pairs if a.isalpha()}
+    signs = "".join(c for c in "!\"#$%&()*+,./:;<=>?@[]^_`{|}~" if c not in after_letter)
+    signs = re.escape(signs) or "\n"
+    return re.compile(f" *(?:[{signs}]*[^ \n{signs}]+|[{signs}]+)|\n+| +")
 
 
 _MODELS: dict[str, Model] = {}
@@ -137,7 +161,7 @@ def _with(batch: pa.RecordBatch, **columns: pa.Array) -> list[pa.RecordBatch]:
     return table.to_batches()
 
 
-def _slices(batches, rows: int = 500):
+def _slices(batches, rows: int = 200):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -156,12 +180,9 @@ def encode(docs: DataFrame, proto: bytes, text_col: str = "text") -> DataFrame:
         model = load(proto)
         for batch in _slices(batches):
             ids = [model.encode(t or "") for t in batch.column(text_col).to_pylist()]
-            flat = np.fromiter(chain.from_iterable(ids), np.int32)
-            ends = np.cumsum([0, *map(len, ids)])
-            total = np.concatenate(([0.0], np.cumsum(model.score[flat])))
+            flat, ends = np.frombuffer(b"".join(ids), np.int32), np.cumsum([0, *[len(x) // 4 for x in ids]])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            # Differences of one running sum would round; piece scores are whole numbers or summed alone.
-            scores = [float(model.score[flat[a:b]].sum()) for a, b in zip(ends, ends[1:])] if total[-1] != np.floor(total[-1]) else np.diff(total[ends])
+            scores = [float(model.score[flat[a:b]].sum()) for a, b in zip(ends, ends[1:])]
             yield from _with(batch, ids=lists, score=pa.array(scores, pa.float64()))
 
     return docs.mapInArrow(run, _schema(docs, "ids array<int>, score double"))
@@ -174,7 +195,9 @@ def decode(encoded: DataFrame, proto: bytes, ids_col: str = "ids", to: str = "de
     def run(batches):
         model = load(proto)
         for batch in _slices(batches):
-            texts = [model.decode(ids or []) for ids in batch.column(ids_col).to_pylist()]
+            lists = batch.column(ids_col)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            texts = model.decode(lists.flatten().to_numpy(), ends)
             yield from _with(batch, **{to: pa.array(texts, pa.string())})
 
     return encoded.mapInArrow(run, _schema(encoded, f"`{to}` string"))
