@@ -305,43 +305,51 @@ class Repeats:
         part = self.places.join(self.members, ["anchor", "content"])
         return whole.union(part.select("anchor", "grp", F.col("left") + F.col("right"), "rid", F.col("at") - F.col("left")))
 
-    def removed(self) -> DataFrame:
-        """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left)."""
+    def removed(self, text_to: str | None = None) -> DataFrame:
+        """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left).
+
+        With ``text_to``, that column gets the bytes left as text instead, without characters that were cut.
+        """
         spans = self.ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "past")).alias("__spans"))
         joined = self.texts.join(spans, F.col("__rid") == F.col("rid"), "left").drop("rid", "__rid")
         names = [c.split()[0] for c in RESULT.split(", ")]
-        own = [(n, t) for n, t in joined.dtypes if n not in (*names, "__spans", "__bytes")]
-        schema = ", ".join(f"`{n}` {t}" for n, t in own)
-        return joined.select(*[n for n, _ in own], "__bytes", "__spans").mapInArrow(_remove, f"{schema}, {RESULT}" if own else RESULT)
-
-
-def _remove(batches):
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            rows = []
-            for text, spans in zip(batch.column("__bytes"), batch.column("__spans")):
-                text, spans = text.as_py(), spans.values
-                if spans is None or not len(spans):
-                    rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
-                    continue
-                mark = np.zeros(len(text) + 1, dtype=np.int64)
-                np.add.at(mark, spans.field("first").to_numpy(), 1)
-                np.add.at(mark, spans.field("past").to_numpy(), -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                runs = int(gone[0]) + int(np.count_nonzero(np.diff(gone.astype(np.int8)) == 1))
-                rows.append((len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-            table = pa.Table.from_batches([batch.select([c for c in batch.schema.names if c not in ("__bytes", "__spans")])]) if batch.num_columns > 2 else None
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            names = [c.split()[0] for c in RESULT.split(", ")]
-            if table is None:
-                yield pa.RecordBatch.from_arrays(columns, names)
-                continue
-            for name, column in zip(names, columns):
-                table = table.append_column(name, column)
-            yield from table.to_batches()
+        result = RESULT.replace("kept binary", f"`{text_to}` string") if text_to else RESULT
+        own = [(n, t) for n, t in joined.dtypes if n not in (*names[:4], text_to or names[4], "__spans", "__bytes")]
+        schema = "".join(f"`{n}` {t}, " for n, t in own)
+        return joined.select(*[n for n, _ in own], "__bytes", "__spans").mapInArrow(_remove(text_to), schema + result)
+
+
+def _cut(text: bytes, spans) -> tuple[bytes, int]:
+    """The bytes outside the spans, and the number of maximal runs inside them."""
+    if spans is None or not len(spans):
+        return text, 0
+    mark = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(mark, spans.field("first").to_numpy(), 1)
+    np.add.at(mark, spans.field("past").to_numpy(), -1)
+    gone = np.cumsum(mark[:-1]) > 0
+    runs = int(gone[0]) + int(np.count_nonzero(np.diff(gone.astype(np.int8)) == 1))
+    return np.frombuffer(text, dtype=np.uint8)[~gone].tobytes(), runs
+
+
+def _remove(text_to: str | None):
+    names = [c.split()[0] for c in RESULT.split(", ")][:4] + [text_to or "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if text_to else pa.binary()]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows = []
+                for text, spans in zip(batch.column("__bytes"), batch.column("__spans")):
+                    text = text.as_py()
+                    kept, runs = _cut(text, spans.values)
+                    left = kept.decode("utf-8", "ignore") if text_to else kept
+                    rows.append((len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), left))
+                own = [c for c in batch.schema.names if c not in ("__bytes", "__spans")]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *columns], [*own, *names])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", wide: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
