@@ -1,6 +1,433 @@
-"""Registered queries and their DuckDB twins."""
+"""Registered queries over ``events`` seen as packets, and their DuckDB twins.
+
+Integers are cast to bigint on both sides, so that schemas agree.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import build, scalar, wire
+from ..functions.filters import capture_filter
+from ..operators import dump, stats
+from ..operators.match import match, match_fold
+from ..operators.project import project, time_parts, warehouse
+from ..sinks import cbor, csv
+from ..sources import pcap
+from ..sources.events import packets
+from ..streaming.match import match_stream
+from .schema import columns
+from .session import shared_folder
+
+#: Matching window for the events, which are hours apart, and the length of a time slice.
+WINDOW = 10_800_000_000
+SLICE = 16 * WINDOW
+PERIOD = 86_400
+SOME = ["delay_us", "req_net_len", "id", "qname", "edns"]
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: wide(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def wide(df: DataFrame) -> DataFrame:
+    """Integers as bigint; lists as text and bytes as hexadecimal digits."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("int", "smallint", "tinyint"):
+            c = c.cast("long")
+        elif kind.startswith("array"):
+            c = F.array_join(c.cast("array<string>"), ",")
+        elif kind == "binary":
+            c = F.hex(c)
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match(packets(spark, sf_dir), WINDOW, slice_us=SLICE)
+
+
+# ---------------------------------------------------------------- SQL pieces
+
+PACKETS = """
+p AS (
+  SELECT event_id AS seq, epoch_us(ts) AS ts_us, event_type IN ('click', 'purchase') AS is_response,
+    CASE WHEN event_type = 'signup' THEN 'malformed' END AS drop_reason,
+    CASE WHEN user_id % 3 = 0 THEN 6 ELSE 4 END AS net_ipv, CASE WHEN user_id % 12 = 0 THEN 6 ELSE 17 END AS net_proto,
+    CASE WHEN user_id % 3 = 0 THEN '2001:db8::' || lower(to_hex(user_id)) ELSE '10.0.' || (user_id // 256) || '.' || (user_id % 256) END AS client_addr,
+    1024 + user_id % 50000 AS client_port,
+    CASE WHEN user_id % 3 = 0 THEN '2001:db8::53' ELSE '192.0.2.53' END AS server_addr, 53 AS server_port,
+    CAST(floor(value) AS BIGINT) % 65 AS net_ttl, (event_id * 7) % 65536 AS udp_sum, (user_id * 7919) % 65536 AS dns_id, (event_id * 40503) % 65536 AS flags_word,
+    17 + event_id % 480 AS dns_len, 59 + event_id % 480 AS net_len,
+    'q' || (CAST(json_extract_string(props, '$.k') AS INT) % 8) || '.example.' AS qname, 1 + event_id % 16 AS qtype, 1 AS qclass,
+    event_id % 5 AS ancount, event_id % 3 AS nscount, event_id % 4 AS arcount, event_id % 4 <> 0 AS has_opt
+  FROM events)"""
+
+
+def matching(key: str = "") -> str:
+    keys = "net_ipv, net_proto, dns_id, client_addr, client_port, server_addr, server_port" + key
+    return f"""{PACKETS},
+s AS (SELECT *, sum(CASE WHEN is_response THEN -1 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM p WHERE drop_reason IS NULL),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY {keys} ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS depth FROM s),
+l AS (SELECT *, CASE WHEN is_response THEN coalesce(lag(depth) OVER (PARTITION BY {keys} ORDER BY seq), 0) ELSE depth END AS lvl FROM d),
+n AS (SELECT *, lead(seq) OVER w AS next_seq, lead(is_response) OVER w AS next_response, lead(ts_us) OVER w AS next_ts,
+        lag(is_response) OVER w AS before_response, lag(ts_us) OVER w AS before_ts FROM l WINDOW w AS (PARTITION BY {keys}, lvl ORDER BY seq)),
+m AS (SELECT seq, ts_us, CASE WHEN NOT is_response THEN seq END AS req_seq,
+        CASE WHEN is_response THEN seq WHEN next_response AND next_ts - ts_us < {WINDOW} THEN next_seq END AS resp_seq
+      FROM n WHERE NOT (is_response AND lvl > 0 AND before_response = FALSE AND ts_us - before_ts < {WINDOW}))"""
+
+
+PAIRS = matching() + """,
+r AS (SELECT m.*, q.ts_us AS q_ts, a.ts_us AS a_ts, q.dns_len AS q_dns_len, a.dns_len AS a_dns_len, q.net_len AS q_net_len, a.net_len AS a_net_len,
+    q.flags_word AS qf, a.flags_word AS af, q.net_proto AS q_proto, q.udp_sum AS q_sum, a.ancount, a.nscount, a.arcount,
+    q.has_opt AS q_opt, a.has_opt AS a_opt, o.client_addr, o.client_port, o.server_addr, o.server_port, o.net_proto, o.net_ipv, o.net_ttl,
+    o.dns_id, o.qtype, o.qclass, o.flags_word, o.qname
+  FROM m LEFT JOIN p q ON q.seq = m.req_seq LEFT JOIN p a ON a.seq = m.resp_seq JOIN p o ON o.seq = m.seq)"""
+
+#: SQL of each record column over r.
+RECORD = {
+    "time": "ts_us / 1e6", "delay_us": "CAST(a_ts - q_ts AS BIGINT)",
+    "req_dns_len": "q_dns_len", "resp_dns_len": "a_dns_len", "req_net_len": "q_net_len", "resp_net_len": "a_net_len",
+    "client_addr": "client_addr", "client_port": "client_port", "server_addr": "server_addr", "server_port": "CAST(server_port AS BIGINT)",
+    "net_proto": "CAST(net_proto AS BIGINT)", "net_ipv": "CAST(net_ipv AS BIGINT)", "net_ttl": "CASE WHEN net_ttl <> 0 THEN net_ttl END",
+    "req_udp_sum": "CASE WHEN q_proto = 17 THEN q_sum END", "id": "dns_id", "qtype": "qtype", "qclass": "CAST(qclass AS BIGINT)",
+    "opcode": "(flags_word // 2048) % 16", "rcode": "af % 16",
+    "resp_aa": "(af // 1024) % 2 = 1", "resp_tc": "(af // 512) % 2 = 1", "req_rd": "(qf // 256) % 2 = 1", "resp_ra": "(af // 128) % 2 = 1",
+    "req_z": "(qf // 64) % 2 = 1", "resp_ad": "(af // 32) % 2 = 1", "req_cd": "(qf // 16) % 2 = 1",
+    "qname": "qname", "resp_ancount": "ancount", "resp_arcount": "arcount", "resp_nscount": "nscount",
+    "req_edns_ver": "CASE WHEN q_opt THEN CAST(0 AS BIGINT) END", "req_edns_udp": "CASE WHEN q_opt THEN 512 + req_seq % 3584 END", "req_edns_do": "CASE WHEN q_opt THEN req_seq % 2 = 1 END",
+    "resp_edns_rcode": "CASE WHEN a_opt THEN resp_seq % 3 END", "req_edns_ping": "CAST(NULL AS BOOLEAN)",
+    "req_edns_dau": "CASE WHEN q_opt AND req_seq % 5 = 0 THEN '5,7,8' END", "req_edns_dhu": "CASE WHEN q_opt AND req_seq % 7 = 0 THEN '1,2' END", "req_edns_n3u": "CASE WHEN q_opt AND req_seq % 11 = 0 THEN '1' END",
+    "resp_edns_nsid": "CASE WHEN a_opt AND resp_seq % 3 = 0 THEN hex('ns,' || (resp_seq % 4)) END",
+    "edns_client_subnet": "CAST(NULL AS VARCHAR)", "edns_other": "CAST(NULL AS VARCHAR)",
+}
+
+
+def record_sql(flags=None, cbor_form: bool = False) -> str:
+    listed = ", ".join(f"{RECORD[c]} AS {c}" for c in columns(flags, cbor_form))
+    return f"WITH {PAIRS} SELECT seq, ts_us, {listed} FROM r"
+
+
+# ------------------------------------------------------------------- queries
+
+SCAN = "seq, ts_us, client_addr, client_port, server_addr, CAST(server_port AS BIGINT) AS server_port, CAST(net_ipv AS BIGINT) AS net_ipv, CAST(net_proto AS BIGINT) AS net_proto, dns_id, qname"
+SCANNED = ["seq", "ts_us", "client_addr", "client_port", "server_addr", "server_port", "net_ipv", "net_proto", "dns_id", "qname"]
+
+
+@query(f"""WITH {PACKETS} SELECT seq, ts_us, CASE WHEN is_response THEN server_addr ELSE client_addr END AS src_addr, CASE WHEN is_response THEN server_port ELSE client_port END AS src_port,
+CASE WHEN is_response THEN client_addr ELSE server_addr END AS dst_addr, CASE WHEN is_response THEN client_port ELSE server_port END AS dst_port,
+CAST(net_ipv AS BIGINT) AS net_ipv, CAST(net_proto AS BIGINT) AS net_proto, net_len, net_ttl, udp_sum, dns_len, is_response, dns_id, flags_word, qname, qtype, drop_reason FROM p""")
+def scan_packets(spark, sf_dir):
+    return packets(spark, sf_dir).select(
+        "seq", "ts_us", "src_addr", "src_port", "dst_addr", "dst_port", "net_ipv", "net_proto", "net_len", "net_ttl", "udp_sum", "dns_len", "is_response", "dns_id", "flags_word", "qname", "qtype", "drop_reason"
+    )
+
+
+@query(f"WITH {PACKETS} SELECT {SCAN} FROM p")
+def direction_normalise(spark, sf_dir):
+    return scalar.directed(packets(spark, sf_dir)).select(*SCANNED)
+
+
+@query(f"WITH {PACKETS} SELECT {SCAN} FROM p WHERE client_port = 1124 OR server_port = 1124")
+def filter_port(spark, sf_dir):
+    return scalar.directed(packets(spark, sf_dir).filter(capture_filter("port 1124"))).select(*SCANNED)
+
+
+@query(f"WITH {PACKETS} SELECT {SCAN} FROM p WHERE net_proto = 17")
+def filter_proto_udp(spark, sf_dir):
+    return scalar.directed(packets(spark, sf_dir).filter(capture_filter("udp"))).select(*SCANNED)
+
+
+@query(f"""WITH {PACKETS} SELECT {SCAN} FROM p WHERE NOT is_response AND net_ipv = 4 AND client_addr LIKE '10.0.1.%'
+OR is_response AND net_proto = 6 AND NOT client_addr = '2001:db8::c'""")
+def filter_expression(spark, sf_dir):
+    wanted = capture_filter("src net 10.0.1.0/24 or (tcp and src port 53 and not dst host 2001:db8::c)")
+    return scalar.directed(packets(spark, sf_dir).filter(wanted)).select(*SCANNED)
+
+
+@query(f"WITH {PACKETS} SELECT seq, least(dns_len, 40) AS captured, dns_len FROM p")
+def snap_length(spark, sf_dir):
+    payload = F.rpad(F.lit(""), F.col("dns_len"), F.lit("x"))
+    return packets(spark, sf_dir).select("seq", F.length(F.substring(payload, 1, 40)).alias("captured"), "dns_len")
+
+
+@query(f"WITH {PACKETS} SELECT coalesce(drop_reason, 'valid') AS drop_reason, count(*) AS packets, CAST(sum(net_len) AS BIGINT) AS bytes FROM p GROUP BY 1")
+def drop_reasons(spark, sf_dir):
+    return stats.drop_counts(packets(spark, sf_dir))
+
+
+def seqs(found: DataFrame) -> DataFrame:
+    return found.select("seq", "ts_us", F.col("req.seq").alias("req_seq"), F.col("resp.seq").alias("resp_seq"))
+
+
+@query(f"WITH {matching()} SELECT m.req_seq, m.resp_seq, a.ts_us - q.ts_us AS delay_us, q.client_addr, q.dns_id, q.qname FROM m JOIN p q ON q.seq = m.req_seq JOIN p a ON a.seq = m.resp_seq")
+def match_pairs(spark, sf_dir):
+    both = pairs(spark, sf_dir).filter("req is not null and resp is not null")
+    return both.select(F.col("req.seq").alias("req_seq"), F.col("resp.seq").alias("resp_seq"), (F.col("resp.ts_us") - F.col("req.ts_us")).alias("delay_us"), "req.client_addr", "req.dns_id", "req.qname")
+
+
+@query(f"WITH {matching()} SELECT * FROM m")
+def match_outer_all(spark, sf_dir):
+    return seqs(pairs(spark, sf_dir))
+
+
+@query(f"WITH {matching()} SELECT * FROM m")
+def match_unsliced(spark, sf_dir):
+    return seqs(match(packets(spark, sf_dir), WINDOW))
+
+
+@query(f"WITH {matching()} SELECT seq, ts_us FROM m WHERE resp_seq IS NULL")
+def match_request_only(spark, sf_dir):
+    return pairs(spark, sf_dir).filter("resp is null").select("seq", "ts_us")
+
+
+@query(f"WITH {matching()} SELECT seq, ts_us FROM m WHERE req_seq IS NULL")
+def match_response_only(spark, sf_dir):
+    return pairs(spark, sf_dir).filter("req is null").select("seq", "ts_us")
+
+
+@query(f"WITH {matching()} SELECT q.net_proto::BIGINT AS net_proto, count(*) AS pairs, min(a.ts_us - q.ts_us) AS least, max(a.ts_us - q.ts_us) AS most FROM m JOIN p q ON q.seq = m.req_seq JOIN p a ON a.seq = m.resp_seq GROUP BY 1")
+def match_delay(spark, sf_dir):
+    delay = F.col("resp.ts_us") - F.col("req.ts_us")
+    both = pairs(spark, sf_dir).filter("req is not null and resp is not null")
+    return both.groupBy(F.col("req.net_proto").alias("net_proto")).agg(F.count("*").alias("pairs"), F.min(delay).alias("least"), F.max(delay).alias("most"))
+
+
+@query(f"WITH {matching(', qname')} SELECT * FROM m")
+def match_qname_simple(spark, sf_dir):
+    return seqs(match(packets(spark, sf_dir), WINDOW, match_qname=True, slice_us=SLICE))
+
+
+@query(f"WITH {matching(', qname')} SELECT * FROM m")
+def match_qname_fold(spark, sf_dir):
+    return seqs(match_fold(packets(spark, sf_dir), WINDOW, slice_us=SLICE))
+
+
+FLAGS = ["opcode", "rcode", "resp_aa", "resp_tc", "req_rd", "resp_ra", "req_z", "resp_ad", "req_cd"]
+
+
+@query(f"WITH {PAIRS} SELECT seq, {', '.join(f'{RECORD[c]} AS {c}' for c in FLAGS)} FROM r")
+def flags_decode(spark, sf_dir):
+    return project(pairs(spark, sf_dir), ["opcode", "rcode", "flags"], keep=["seq"])
+
+
+@query(f"WITH {PAIRS} SELECT seq, ancount AS resp_ancount, arcount AS resp_arcount, nscount AS resp_nscount FROM r")
+def rr_counts(spark, sf_dir):
+    return project(pairs(spark, sf_dir), ["rr_counts"], keep=["seq"])
+
+
+@query(record_sql())
+def project_all(spark, sf_dir):
+    return project(pairs(spark, sf_dir))
+
+
+@query(record_sql(cbor_form=True))
+def project_binary_form(spark, sf_dir):
+    return project(pairs(spark, sf_dir), cbor=True)
+
+
+@query(record_sql(SOME))
+def project_some(spark, sf_dir):
+    return project(pairs(spark, sf_dir), SOME)
+
+
+@query(f"WITH {PAIRS} SELECT seq, {RECORD['net_ttl']} AS net_ttl FROM r")
+def ttl_null_if_zero(spark, sf_dir):
+    return project(pairs(spark, sf_dir), ["net_ttl"], keep=["seq"])
+
+
+@query(f"WITH {PAIRS} SELECT seq, {RECORD['req_udp_sum']} AS req_udp_sum FROM r")
+def udp_sum_rule(spark, sf_dir):
+    return project(pairs(spark, sf_dir), ["req_udp_sum"], keep=["seq"])
+
+
+def csv_sql(flags, separator: str) -> str:
+    texts = []
+    for c in columns(flags):
+        e = RECORD[c]
+        if c == "time":
+            e = "(ts_us // 1000000) || '.' || lpad((ts_us % 1000000)::VARCHAR, 6, '0')"
+        elif c.startswith(("resp_a", "resp_t", "resp_r", "req_rd", "req_z", "req_cd", "req_edns_do", "req_edns_ping")) and not c.endswith("count"):
+            e = f"coalesce(CAST(CAST({e} AS INT) AS VARCHAR), '')"
+        elif c.startswith(("req_edns_d", "req_edns_n")):
+            joined = f"replace({e}, ',', '\\,')" if separator == "," else e
+            e = f"coalesce({joined}, '\\N')"
+        elif c == "resp_edns_nsid":
+            plain = "CASE WHEN a_opt AND resp_seq % 3 = 0 THEN 'ns,' || (resp_seq % 4) END"
+            e = f"coalesce(replace({plain}, ',', '\\,'), '\\N')" if separator == "," else f"coalesce({plain}, '\\N')"
+        elif c in ("qname", "client_addr", "server_addr", "edns_client_subnet", "edns_other"):
+            e = f"coalesce({e}, '\\N')"
+        else:
+            e = f"coalesce(CAST({e} AS VARCHAR), '')"
+        texts.append(e)
+    return f"WITH {PAIRS} SELECT seq, concat_ws('{separator}', {', '.join(texts)}) AS line FROM r"
+
+
+@query(csv_sql(None, ","))
+def csv_lines(spark, sf_dir):
+    return csv.lines(project(pairs(spark, sf_dir))).select("seq", "line")
+
+
+@query(csv_sql(SOME, "|"))
+def csv_lines_some(spark, sf_dir):
+    return csv.lines(project(pairs(spark, sf_dir), SOME), SOME, "|").select("seq", "line")
+
+
+@query(f"""WITH {PACKETS} SELECT seq, replace(replace(replace(replace(qname || chr(92) || seq || chr(10) || ',', chr(92), chr(92) || chr(92)), chr(0), chr(92) || '0'), chr(10), chr(92) || 'n'), ',', chr(92) || ',') AS escaped FROM p""")
+def csv_escape(spark, sf_dir):
+    text = F.concat("qname", F.lit("\\"), F.col("seq").cast("string"), F.lit("\n,"))
+    return packets(spark, sf_dir).select("seq", scalar.escape(text, ",").alias("escaped"))
+
+
+@query(f"WITH {PACKETS} SELECT seq, CASE WHEN seq % 5 = 0 AND has_opt THEN '5\\,7\\,8' END AS comma, CASE WHEN seq % 5 = 0 AND has_opt THEN '5,7,8' END AS bar FROM p")
+def list_format(spark, sf_dir):
+    return packets(spark, sf_dir).select("seq", scalar.number_list(F.col("opt.dau"), ",").alias("comma"), scalar.number_list(F.col("opt.dau"), "|").alias("bar"))
+
+
+@query(f"WITH {PACKETS} SELECT DISTINCT qname, CAST(len(string_split(rtrim(qname, '.'), '.')) AS BIGINT) AS labels FROM p")
+def qname_labels(spark, sf_dir):
+    return packets(spark, sf_dir).select("qname", scalar.label_count(F.col("qname")).alias("labels")).distinct()
+
+
+@query(f"WITH {PACKETS} SELECT seq, rtrim(qname, '.') AS domainname FROM p")
+def qname_domainname(spark, sf_dir):
+    return packets(spark, sf_dir).select("seq", scalar.domain_name(F.col("qname")).alias("domainname"))
+
+
+TIMES = "ts_us // 1000000 AS unixtime, ts_us // 1000 AS time, year(make_timestamp(ts_us)) AS year, month(make_timestamp(ts_us)) AS month, day(make_timestamp(ts_us)) AS day"
+
+
+@query(f"WITH {PACKETS} SELECT seq, {TIMES} FROM p")
+def time_parts_of_packets(spark, sf_dir):
+    return packets(spark, sf_dir).select("seq", *[e.alias(n) for n, e in time_parts(F.col("ts_us")).items()])
+
+
+@query(f"WITH {PACKETS} SELECT seq, strftime(make_timestamp(ts_us), 'out-%Y%m%d-%H%M%S.csv') AS path FROM p")
+def file_names(spark, sf_dir):
+    return packets(spark, sf_dir).select("seq", scalar.strftime(F.col("ts_us"), "out-%Y%m%d-%H%M%S.csv").alias("path"))
+
+
+@query(f"""WITH {PAIRS} SELECT seq, {TIMES}, CAST(a_ts - q_ts AS BIGINT) AS time_micro, q_net_len AS len, a_net_len AS res_len, q_dns_len AS dns_len, a_dns_len AS dns_res_len,
+client_addr AS src, client_port AS srcp, server_addr AS dst, CAST(server_port AS BIGINT) AS dstp, {RECORD['net_ttl']} AS ttl, CAST(net_ipv AS BIGINT) AS ipv, CAST(net_proto AS BIGINT) AS prot,
+{RECORD['req_udp_sum']} AS udp_sum, dns_id AS id, qname, rtrim(qname, '.') AS domainname, CAST(2 AS BIGINT) AS labels,
+{', '.join(f'CAST({RECORD[c]} AS BIGINT) AS {c.split("_")[1]}' for c in ('resp_aa', 'resp_tc', 'req_rd', 'resp_ra', 'req_z', 'resp_ad', 'req_cd'))},
+ancount, arcount, nscount, CAST(1 AS BIGINT) AS qdcount, {RECORD['opcode']} AS opcode, {RECORD['rcode']} AS rcode, qtype, CAST(qclass AS BIGINT) AS qclass,
+{RECORD['req_edns_udp']} AS edns_udp, {RECORD['req_edns_ver']} AS edns_version, CAST({RECORD['req_edns_do']} AS BIGINT) AS edns_do FROM r""")
+def warehouse_layer(spark, sf_dir):
+    return warehouse(project(pairs(spark, sf_dir)))
+
+
+RATES = "CASE WHEN {span} > 0 THEN count(*) / {span} END AS packets_per_sec, CASE WHEN {span} > 0 THEN CAST(sum(net_len) AS BIGINT) / {span} END AS bytes_per_sec"
+INPUT = "count(*) AS packets, CAST(sum(net_len) AS BIGINT) AS bytes, count(drop_reason) AS dropped"
+
+
+@query(f"WITH {PACKETS} SELECT {INPUT}, {RATES.format(span='((max(ts_us) - min(ts_us)) / 1e6)')} FROM p")
+def stats_totals(spark, sf_dir):
+    return stats.input_totals(packets(spark, sf_dir))
+
+
+@query(f"WITH {PACKETS} SELECT ts_us - ts_us % {PERIOD * 10**6} AS period_us, {INPUT}, {RATES.format(span=f'{PERIOD}.0::DOUBLE')} FROM p GROUP BY 1")
+def stats_per_period(spark, sf_dir):
+    return stats.input_per_period(packets(spark, sf_dir), PERIOD)
+
+
+OUTPUT = "count(*) AS items, count(*) FILTER (resp_seq IS NULL) AS request_only, count(*) FILTER (req_seq IS NULL) AS response_only"
+
+
+@query(f"WITH {matching()} SELECT {OUTPUT} FROM m")
+def output_totals(spark, sf_dir):
+    return stats.output_totals(pairs(spark, sf_dir))
+
+
+@query(f"WITH {matching()} SELECT ts_us - ts_us % {PERIOD * 10**6} AS file_us, {OUTPUT} FROM m GROUP BY 1")
+def rotation_window(spark, sf_dir):
+    return stats.output_per_file(pairs(spark, sf_dir), PERIOD)
+
+
+@query(f"""WITH {matching()},
+f AS (SELECT ts_us - ts_us % 3600000000 AS frame_us, count(*) AS packets, CAST(sum(net_len) AS BIGINT) AS bytes, count(*) FILTER (NOT is_response) AS requests FROM p WHERE drop_reason IS NULL GROUP BY 1),
+g AS (SELECT ts_us - ts_us % 3600000000 AS frame_us, count(*) FILTER (req_seq IS NOT NULL AND resp_seq IS NOT NULL) AS matched, count(*) FILTER (req_seq IS NULL) AS unmatched_responses FROM m GROUP BY 1)
+SELECT frame_us, coalesce(packets, 0) AS packets, coalesce(bytes, 0) AS bytes, coalesce(requests, 0) AS requests, coalesce(matched, 0) AS matched, coalesce(unmatched_responses, 0) AS unmatched_responses
+FROM f FULL JOIN g USING (frame_us)""")
+def frame_stats(spark, sf_dir):
+    p = packets(spark, sf_dir)
+    return stats.frame_stats(p, match(p, WINDOW, slice_us=SLICE), 3_600_000_000)
+
+
+@query()
+def dump_rate_limit(spark, sf_dir):
+    """The token bucket is a fold over packets; a test holds it against a plain loop."""
+    return dump.limited(dump.invalid(packets(spark, sf_dir)), 0.02, PERIOD)
+
+
+@query()
+def dump_stats(spark, sf_dir):
+    return stats.dump_stats(dump.limited(dump.invalid(packets(spark, sf_dir)), 0.02, PERIOD))
+
+
+#: Columns that come back from a capture file as they went in.
+WIRE = "ts_us, CASE WHEN is_response THEN server_addr WHEN client_addr = '2001:db8::0' THEN '2001:db8::' ELSE client_addr END AS src_addr, CASE WHEN is_response THEN client_port ELSE 53 END AS dst_port, CAST(net_ipv AS BIGINT) AS net_ipv, CAST(net_proto AS BIGINT) AS net_proto, net_ttl, CASE WHEN net_proto = 17 THEN udp_sum ELSE 0 END AS udp_sum, is_response, dns_id, qname, qtype, CAST(qclass AS BIGINT) AS qclass, CASE WHEN has_opt THEN 512 + seq % 3584 END AS edns_udp, CASE WHEN has_opt AND seq % 5 = 0 THEN '5,7,8' END AS edns_dau"
+
+
+@query(f"WITH {PACKETS} SELECT {WIRE} FROM p WHERE drop_reason IS NULL")
+def capture_round_trip(spark, sf_dir):
+    """Packets to capture files, read back and decoded."""
+    folder = shared_folder(spark, "capture")
+    pcap.write(build.frames(packets(spark, sf_dir)), folder, "gzip")
+    back = wire.decode(pcap.read(spark, folder)).filter("drop_reason is null")
+    return back.select("ts_us", "src_addr", "dst_port", "net_ipv", "net_proto", "net_ttl", "udp_sum", "is_response", "dns_id", "qname", "qtype", "qclass", F.col("opt.udp").alias("edns_udp"), F.col("opt.dau").alias("edns_dau"))
+
+
+@query(f"WITH {PACKETS} SELECT coalesce(drop_reason, 'valid') AS drop_reason, count(*) AS packets FROM p GROUP BY 1")
+def capture_drop_reasons(spark, sf_dir):
+    folder = shared_folder(spark, "capture")
+    pcap.write(build.frames(packets(spark, sf_dir)), folder)
+    return stats.drop_counts(wire.decode(pcap.read(spark, folder))).drop("bytes")
+
+
+@query(f"WITH {PAIRS} SELECT seq, delay_us, q_net_len AS req_net_len, qname FROM (SELECT *, CAST(a_ts - q_ts AS BIGINT) AS delay_us FROM r)")
+def cbor_round_trip(spark, sf_dir):
+    """Records to CBOR files and back; the reader gives JSON items, the first of each file its names."""
+    folder, flags = shared_folder(spark, "cbor"), ["id", "delay_us", "req_net_len", "qname"]
+    records = project(pairs(spark, sf_dir), flags).withColumn("id", F.col("seq"))
+    cbor.write(records, folder, flags)
+    items = cbor.read(spark, folder).filter("number > 0").select(F.from_json("item", "array<string>").alias("v"))
+    at = {c: F.col("v")[k] for k, c in enumerate(columns(flags, cbor=True))}
+    return items.select(at["id"].cast("long").alias("seq"), at["delay_us"].cast("long").alias("delay_us"), at["req_net_len"].cast("long").alias("req_net_len"), at["qname"].alias("qname"))
+
+
+@query(csv_sql(["id", "delay_us", "qname"], ",").replace("CAST(dns_id AS VARCHAR)", "CAST(seq AS VARCHAR)").replace("SELECT seq, concat_ws", "SELECT concat_ws"))
+def csv_files(spark, sf_dir):
+    """Lines written by period with headers, read back."""
+    folder, flags = shared_folder(spark, "csv"), ["id", "delay_us", "qname"]
+    csv.write(project(pairs(spark, sf_dir), flags).withColumn("id", F.col("seq").cast("int")), folder, flags, period_sec=PERIOD, compression="gzip")
+    return spark.read.text(folder).filter(F.col("value") != csv.header(flags)).select(F.col("value").alias("line"))
+
+
+@query(f"WITH {matching()} SELECT req_seq, resp_seq FROM m WHERE req_seq IS NOT NULL AND resp_seq IS NOT NULL")
+def match_streaming(spark, sf_dir):
+    """The stateful matcher over the packets as a file stream; what it pairs."""
+    source, sink, state = (shared_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    packets(spark, sf_dir).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = match_stream(spark.readStream.schema(schema).parquet(source), WINDOW, watermark="60 days")
+        job = found.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(sink)
+        job.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.schema(found.schema).parquet(sink).filter("req_seq is not null and resp_seq is not null").select("req_seq", "resp_seq")
