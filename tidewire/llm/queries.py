@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, media, near_dup, pieces, repeats, toxicity, training_order
+from . import decontaminate, html_extract, licenses, lm_score, media, near_dup, pieces, repeats, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.lm_scores(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("score", 4).alias("score"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -82,6 +87,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_lm_score": op2_lm_score,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_license_scan": op5_license_scan,
@@ -91,4 +97,19 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
 }
-ORACLE_SQL: dict[str, str] = {}
+LM_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents)),
+g AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w),
+u AS (SELECT word, count(*) AS f FROM w GROUP BY word),
+b AS (SELECT before, word, count(*) AS f FROM g WHERE before IS NOT NULL GROUP BY before, word HAVING count(*) >= 2),
+n AS (SELECT count(*)::DOUBLE AS n FROM w),
+s AS (
+  SELECT g.doc_id, count(*) AS n_words,
+    sum(CASE WHEN g.before IS NULL THEN ln(u.f / n.n) WHEN b.f IS NOT NULL THEN ln(b.f::DOUBLE / x.f) ELSE ln(0.4) + ln(u.f / n.n) END) AS score
+  FROM g JOIN u ON u.word = g.word LEFT JOIN b ON b.before = g.before AND b.word = g.word LEFT JOIN u x ON x.word = g.before, n GROUP BY g.doc_id)
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.score, 0.0), 4) AS score FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_lm_score": LM_SQL}
