@@ -76,27 +76,41 @@ NAMES = (
 
 
 class Page:
-    """Tree of a page: parents, tags ("#" for text runs), attribute word counts and texts."""
+    """Tree of a page: parents, tags ("#" for text runs), attribute word counts and texts.
+
+    Inline elements of no meaning of their own are no nodes: their text goes
+    into the run around them, so a run is a block's text between its blocks.
+    """
 
     def __init__(self, source: str):
         self.parent, self.tag, self.text = [-1], ["#root"], [""]
-        self.boiler, self.content = [0], [0]
-        self.breaks: set[int] = set()
-        stack, at, n = [0], 0, len(source)
+        self.boiler, self.content, self.linked = [0], [0], [0]
+        #: Open elements: tag, node (the one around it for inline elements), whether in a link.
+        stack, at, n = [("#root", 0, False)], 0, len(source)
 
         def add(tag, text="", boiler=0, content=0):
-            self.parent.append(stack[-1])
+            self.parent.append(stack[-1][1])
             self.tag.append(tag)
             self.text.append(text)
             self.boiler.append(boiler)
             self.content.append(content)
+            self.linked.append(0)
             return len(self.tag) - 1
 
+        def write(text):
+            node = len(self.tag) - 1
+            if self.tag[node] == "#" and self.parent[node] == stack[-1][1]:
+                self.text[node] += text
+            else:
+                node = add("#", text)
+            if stack[-1][2]:
+                self.linked[node] += len(text.strip())
+
         while at < n:
             found = TOKEN.search(source, at)
             end = found.start() if found else n
             if end > at:
-                add("#", entities.unescape(source[at:end]))
+                write(entities.unescape(source[at:end]))
             if not found:
                 break
             at = found.end()
@@ -104,11 +118,12 @@ class Page:
             if not name:
                 continue
             name = name.lower()
+            if name == "br":
+                write(" ")
+                continue
             if closing:
-                if name == "br":
-                    self.breaks.add(add("br"))
                 for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
+                    if stack[k][0] == name:
                         del stack[k:]
                         break
                 continue
@@ -117,7 +132,13 @@ class Page:
             if name in ENDS:
                 self._end(stack, *ENDS[name])
             words = [w.lower() for m in ATTRIBUTE.finditer(attributes) for w in SPLIT.findall(CAMEL.sub(" ", m[1]).lower())] if "=" in attributes else ()
-            node = add(name, "", sum(w in BOILER_WORDS for w in words), sum(w in CONTENT_WORDS for w in words))
+            boiler = sum(w in BOILER_WORDS for w in words)
+            linked = stack[-1][2] or name == "a"
+            if name not in BLOCKS and name not in BOILER_TAGS and not boiler:
+                if name not in VOID:
+                    stack.append((name, stack[-1][1], linked))
+                continue
+            node = add(name, "", boiler, sum(w in CONTENT_WORDS for w in words))
             if name in VOID:
                 continue
             if name in RAW:
@@ -125,11 +146,11 @@ class Page:
                 at = close.end() if close else n
                 continue
             if not attributes.endswith("/") or name in BLOCKS:
-                stack.append(node)
+                stack.append((name, node, linked))
 
     def _end(self, stack, which, upto):
         for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
+            tag = stack[k][0]
             if tag in which:
                 # A cell or item also ends what is open inside it.
                 del stack[k:]
@@ -173,7 +194,7 @@ class Page:
         page = object.__new__(Page)
         page.parent = [-1 if self.parent[i] < 0 else place[marked[0] if i in moved else self.parent[i]] for i in order]
         page.tag, page.text = [self.tag[i] for i in order], [self.text[i] for i in order]
-        page.boiler, page.content = [self.boiler[i] for i in order], [self.content[i] for i in order]
+        page.boiler, page.content, page.linked = ([values[i] for i in order] for values in (self.boiler, self.content, self.linked))
         return page
 
     def _below(self, i: int, roots: list[int]) -> bool:
@@ -192,10 +213,9 @@ class Page:
         boiler, content = np.array(self.boiler, dtype=float), np.array(self.content, dtype=float)
         is_text = np.array([t == "#" for t in self.tag], dtype=float)
         own = np.array([len(t.strip()) for t in self.text], dtype=float)
-        link = np.array([t == "a" for t in self.tag], dtype=float)
         stops = np.array([t.count(".") + t.count(",") for t in self.text], dtype=float)
-        above = np.zeros((n, 5))
-        source = np.column_stack([mark, boiler_tag, boiler, content, link])
+        above = np.zeros((n, 4))
+        source = np.column_stack([mark, boiler_tag, boiler, content])
         depth, order, count = np.zeros(n), np.zeros(n), np.zeros(n)
         direct = np.zeros(n)
         for i in range(1, n):
@@ -206,7 +226,7 @@ class Page:
             count[p] += 1
             if is_text[i]:
                 direct[p] += own[i]
-        text, links, tags, dots = own.copy(), own * (above[:, 4] > 0), 1 - is_text, stops.copy()
+        text, links, tags, dots = own.copy(), np.array(self.linked, dtype=float), 1 - is_text, stops.copy()
         for i in range(n - 1, 0, -1):
             p = parent[i]
             text[p] += text[i]
@@ -226,7 +246,7 @@ class Page:
         ])
 
     def decode(self, odds: np.ndarray) -> str:
-        """Text of the kept nodes; blocks and line breaks part words, inline elements don't."""
+        """Text of the kept nodes; blocks part words, inline elements don't."""
         gain = odds.copy()
         for i in range(len(gain) - 1, 0, -1):
             if gain[i] > 0:
@@ -235,7 +255,7 @@ class Page:
         for i in range(1, len(gain)):
             p, tag = self.parent[i], self.tag[i]
             kept[i] = kept[p] and gain[i] > 0
-            if tag in BLOCKS or tag == "br":
+            if tag in BLOCKS:
                 out.append(" ")
             elif tag == "#" and kept[i]:
                 # Coming back out of a block parts words too.
