@@ -45,8 +45,10 @@ SYMBOLS, BITS, CHUNKS = 32, 16, 8
 FAR = 20
 #: Texts that are confirmed against one copy of a centre; larger stars are dealt out in so many.
 STAR = 1000
-#: Star rounds before the pairs across components.
-STARS = 3
+#: Centres of a key in each star round, and star rounds before the pairs across components.
+STARS, TURNS = 3, 3
+#: Rows that a task takes on with ease.
+ROWS = 100_000
 #: With at most so many pairs a row left, the pairs across components come at once.
 FEW = 8
 
@@ -173,8 +175,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return ordered.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
-def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame | None, DataFrame | None]:
-    """(edges, labels) of the class graph; ``classes`` has node, text_key and signature, ``texts`` text_key and text."""
+def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame | None:
+    """(node, component) of the class graph, for the classes that have links; ``classes`` has node, text_key and signature, ``texts`` text_key and text."""
     keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
@@ -182,8 +184,8 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     wanted = materialize(classes.join(nodes, "node").select("node", "text_key", "signature"), "signatures")
     signs = wanted.select("node", "signature")
     # Copies of a text come more than once; one does.
-    texts = texts.join(wanted.select("node", "text_key"), "text_key").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
+    texts = texts.join(wanted.select("node", "text_key"), "text_key").groupBy("text_key", "node").agg(F.first("text").alias("text"))
+    texts = materialize(texts.select("node", "text"), "texts")
     near = _distance("sa", "sb") <= FAR
 
     def with_signs(pairs: DataFrame) -> DataFrame:
@@ -191,35 +193,38 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
         pairs = pairs.join(signs.select("node", F.col("signature").alias("sa")), "node")
         return pairs.filter(near).select("node", "centre")
 
-    edges = labels = tried = None
-    open_keys, turn = buckets.withColumn("component", F.col("node")), 0
-    while True:
-        if turn < STARS:
-            # Any fixed order of nodes will do; another one each turn gives other centres.
-            order = F.struct((F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("o"), "node", "component")
-            centres = open_keys.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.component").alias("to"))
-            pairs = open_keys.join(centres, "key").filter("component != to").select("node", "centre").distinct()
+    labels = tried = None
+    open_keys, turn, n_rows = buckets.withColumn("component", F.col("node")), 0, buckets.count()
+    while n_rows:
+        fit = lambda df: df.coalesce(max(8, min(width(df.sparkSession), n_rows // ROWS + 1)))  # noqa: B023, E731
+        if turn < TURNS:
+            # Any fixed orders of nodes will do; each gives every key a centre of its own.
+            orders = [F.struct(F.xxhash64("node", F.lit(turn * STARS + k)).alias("o") if turn + k else F.col("node").alias("o"), "node") for k in range(STARS)]
+            centres = open_keys.groupBy("key").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("c"))
+            centres = fit(centres).select("key", F.explode("c").alias("centre"))
+            pairs = fit(open_keys.join(centres, "key")).filter("node != centre").select("node", "centre").distinct()
         else:
             other = open_keys.select("key", F.col("node").alias("centre"), F.col("component").alias("to"))
-            pairs = open_keys.join(other, "key").filter("component < to").select("node", "centre").distinct()
+            pairs = fit(open_keys.join(other, "key").filter("component < to")).select("node", "centre").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["node", "centre"], "left_anti")
-        pairs = materialize(with_signs(pairs), "pairs")
+        pairs = materialize(fit(with_signs(fit(pairs))), "pairs")
         if not pairs.isEmpty():
             tried = pairs if tried is None else tried.union(pairs)
             found = confirm(pairs, texts, shingle, percent)
-            edges = materialize(found if edges is None else edges.union(found), "links")
-            labels = materialize(components(edges), "labels")
-            labelled = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            many = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-            open_keys = materialize(labelled.join(many, "key").select("key", "node", "component"), "open")
-        if turn >= STARS:
+            if labels is not None:
+                found = found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = materialize(fit(components(found)), "labels")
+            labelled = fit(buckets.join(labels, "node", "left")).withColumn("component", F.coalesce("component", "node"))
+            many = fit(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))).filter("x < y").select("key")
+            open_keys = materialize(fit(labelled.join(many, "key")).select("key", "node", "component"), "open")
+        if turn >= TURNS:
             break
-        size = open_keys.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        size = fit(open_keys.groupBy("key").agg(F.count("*").alias("n"))).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
         if not size["rows"]:
             break
-        turn = STARS if size["pairs"] <= FEW * size["rows"] else turn + 1
-    return edges, labels
+        turn = TURNS if size["pairs"] <= FEW * size["rows"] else turn + 1
+    return labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -233,7 +238,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     described = materialize(with_row_id(docs, "rid").mapInArrow(_describe(shingle), CLASSES), "described")
     classes = described.filter("set_key is not null").groupBy("set_key").agg(F.min_by(F.struct("rid", "text_key", "signature"), "rid").alias("c"))
     classes = materialize(classes.select("set_key", F.col("c.rid").alias("node"), F.col("c.text_key").alias("text_key"), F.col("c.signature").alias("signature")), "classes")
-    _, labels = links(classes.filter("signature is not null"), docs.select("text_key", "text"), shingle, percent)
+    labels = links(classes.filter("signature is not null"), docs.select("text_key", "text"), shingle, percent)
     grouped = classes.select("set_key", "node")
     if labels is None:
         grouped = grouped.withColumn("component", F.col("node"))
