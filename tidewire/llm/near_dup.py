@@ -178,7 +178,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame | None:
     """(node, component) of the class graph, for the classes that have links; ``classes`` has node, text_key and signature, ``texts`` text_key and text."""
     keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Written first, so that the join's sides are plain exchanges and skewed keys can be split.
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     nodes = buckets.select("node").distinct()
     wanted = materialize(classes.join(nodes, "node").select("node", "text_key", "signature"), "signatures")

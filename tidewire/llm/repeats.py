@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import BASE, BYTE_VALUE, INVERSE, materialize, mix, powers, shared_dir, width
 
 WIDTH, GRAM = 200, 32
-HOT = 2000
+#: Distinct contents of an anchor that one task sorts: some 40 MB.
+HOT = 50_000
 #: Places of a text that are looked at together.
 BLOCK = 500_000
 
@@ -267,8 +268,10 @@ class Repeats:
 
         rows = self.texts.select("__rid", "__bytes").mapInArrow(_anchor_rows(wide, gram), ROWS)
         often = rows.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("x"), F.max("content").alias("y")).filter("c > 1")
+        # Written first, so that the join's sides are plain exchanges and skewed anchors can be split.
+        often = materialize(often.select("anchor", (F.col("x") != F.col("y")).alias("several")), "anchors")
         #: Places of repeated anchors; ``several``: the anchor has more than one content.
-        self.places = materialize(rows.join(often.select("anchor", (F.col("x") != F.col("y")).alias("several")), "anchor"), "places")
+        self.places = materialize(rows.join(often, "anchor"), "places")
 
         place = F.struct("rid", "lo", "at", "hi")
         kinds = self.places.filter("several").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("p"))
@@ -287,7 +290,7 @@ class Repeats:
         whole = kinds.filter("n > 1").select("anchor", "content", (F.col("at") - F.col("lo")).alias("left"), (F.col("hi") + wide - F.col("at")).alias("right"))
         found = self.members.select("anchor", "content", "left", "right").union(hot_found).union(whole)
         # All found around one anchor overlap there, so their union is one range.
-        reach = found.groupBy("anchor", "content").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+        reach = materialize(found.groupBy("anchor", "content").agg(F.max("left").alias("left"), F.max("right").alias("right")), "reach")
         several = self.places.filter("several").join(reach, ["anchor", "content"])
         #: (rid, first, past): byte ranges to remove; they overlap.
         self.ranges = self.places.filter("not several").select("rid", F.col("lo").alias("first"), (F.col("hi") + wide).alias("past")).union(
@@ -310,8 +313,8 @@ class Repeats:
 
         With ``text_to``, that column gets the bytes left as text instead, without characters that were cut.
         """
-        spans = self.ranges.groupBy("rid").agg(F.collect_list(F.struct("first", "past")).alias("__spans"))
-        joined = self.texts.join(spans, F.col("__rid") == F.col("rid"), "left").drop("rid", "__rid")
+        spans = self.ranges.groupBy(F.col("rid").alias("__other")).agg(F.collect_list(F.struct("first", "past")).alias("__spans"))
+        joined = self.texts.join(spans, F.col("__rid") == F.col("__other"), "left").drop("__other", "__rid")
         names = [c.split()[0] for c in RESULT.split(", ")]
         result = RESULT.replace("kept binary", f"`{text_to}` string") if text_to else RESULT
         own = [(n, t) for n, t in joined.dtypes if n not in (*names[:4], text_to or names[4], "__spans", "__bytes")]
