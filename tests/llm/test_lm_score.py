@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+from tidewire.llm import lm_score
 from tidewire.llm.lm_score import lm_scores
 from tidewire.llm.queries import ORACLE_SQL, QUERIES
 
@@ -34,7 +35,7 @@ def check(spark, docs, **kw):
 def test_brute_force(spark):
     docs = texts(1) + ODD + ["Über straße ÜBER x1 X1"]
     check(spark, docs)
-    check(spark, docs, heavy=20)  # most words are dealt out by both words then
+    check(spark, docs, heavy=10_000, common=5)  # all first words are dealt out by both words, few counts are sent along
 
 
 def test_twin(spark):
@@ -47,8 +48,13 @@ def test_repeated_rows_and_null_ids(spark):
     assert lm_scores(empty(spark)).count() == 0
 
 
-def test_grams_move_once(spark):
-    out = lm_scores(table(spark, texts(2)))
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "ReusedExchange" in plan
+def test_counts_across_batches(spark, monkeypatch):
+    """Groups of n-grams that come in several batches are counted whole."""
+    monkeypatch.setattr(lm_score, "TOGETHER", 10)
+    check(spark, texts(3))
+
+
+def test_the_bounded_words(spark):
+    table_ = spark.createDataFrame([(k, k) for k in range(1, 101)], "word long, f long")
+    words, _ = lm_score._bounded(table_, 5050, 60)
+    assert words.tolist() == list(range(85, 101)) and len(words) < 60

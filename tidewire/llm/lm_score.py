@@ -8,12 +8,15 @@ in the corpus (those seen once know nothing beyond their own document). Words
 are keyed by 64-bit hashes, bigrams by those of both words. A document's score
 is the sum of ln S over its words.
 
-The n-grams are exploded per task, equal ones of a task into one row with the
-rows they come from, and move once, partitioned by the hash of the first word;
-counts and scores are taken where they arrive. Only words whose bigram is not
-in the table move again, to the unigram table. First words with more than one
-in ``HEAVY`` of all words (at most HEAVY of them, so their broadcast is bounded)
-are dealt out by both words.
+The n-grams are exploded per task and move once, partitioned by the hash of
+their first word; equal first words of a task share a row. Where they arrive
+lies the whole count table of those words, so counts are joined and scores
+summed there. A bigram that isn't in the table needs the unigram count of its
+second word: the ``COMMON`` most frequent words at most are sent to all tasks
+(a word counts as common if it makes up more than one in COMMON of all words,
+so their number is bounded), the others go to the unigram table by one more
+exchange. First words that alone would fill a good part of a partition (at most
+four times the number of partitions are such) are dealt out by both words.
 
 Null and empty texts, and texts without words, have n_words 0 and score 0.
 Repeated rows count and are scored one by one. An empty table gives no row.
@@ -25,21 +28,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, materialize, span_hashes, width, word_spans
 
-BACKOFF, LEAST, HEAVY = 0.4, 2, 2000
-#: Bytes of text whose equal n-grams become one row.
-CHUNK = 8_000_000
+BACKOFF, LEAST, COMMON = 0.4, 2, 500_000
+#: Bytes of text whose equal first words share a row, and n-grams that are counted together.
+CHUNK, TOGETHER = 8_000_000, 500_000
+#: Stands for the end of a text: its last word counts too, though nothing follows it.
+END = 0
 
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 WORDS = "word long, n long"
-GRAMS = "first long, second long, rids array<long>, doc_id long, n_words long"
+GRAMS = "first long, deal int, base long, seconds array<long>, rows array<int>, doc_id long, n_words long"
+PARTS = "rid long, value double, missed long, doc_id long, n_words long"
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,56 +67,129 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
 
 
-def _grams(batches):
-    """Bigrams of each chunk with the rows they occur in; for each document (null, its first word) and (its last word, null)."""
-    row = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        texts = as_bytes(batch.column("text"))
-        for a, b in chunks(texts, CHUNK):
-            words, at = hashed(texts[a:b])
-            inside = np.flatnonzero(at[1:] == at[:-1])
-            first, second, rid = words[inside], words[inside + 1], at[inside] + row
-            order = np.lexsort((second, first))
-            first, second, rid = first[order], second[order], rid[order]
-            new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))) if len(first) else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(first)), pa.int32()), pa.array(rid))
-            empty = pa.nulls(len(new), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(first[new]), pa.array(second[new]), lists, empty, empty], ["first", "second", "rids", "doc_id", "n_words"])
-            n = np.bincount(at, minlength=b - a)
-            begin = np.cumsum(n) - n
-            heads = pa.array(words[np.minimum(begin, max(len(words) - 1, 0))] if len(words) else np.zeros(b - a, dtype=np.int64), mask=n == 0)
-            own = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1), pa.int32()), pa.array(np.arange(row, row + b - a)))
-            yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), heads, own, batch.column("doc_id").slice(a, b - a), pa.array(n)], ["first", "second", "rids", "doc_id", "n_words"])
-            # A text's last word counts too, though nothing follows it.
-            full = np.flatnonzero(n)
-            lasts = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1), pa.int32()), pa.array(row + full))
-            blank = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(words[begin[full] + n[full] - 1]), blank, lasts, blank, blank], ["first", "second", "rids", "doc_id", "n_words"])
-            row += b - a
-
-
-def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, heavy: int = HEAVY) -> DataFrame:
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values))
+
+
+def _grams(heavy: np.ndarray, n: int):
+    """Rows (first, deal, base, seconds, rows): what follows a word in a chunk, and in which rows from ``base`` on.
+
+    For each document also a row without ``first``: its first word, id and length.
+    """
+    names = [c.split()[0] for c in GRAMS.split(", ")]
+
+    def run(batches):
+        base = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            for a, b in chunks(texts, CHUNK):
+                first, at = hashed(texts[a:b])
+                last = np.append(at[1:] != at[:-1], True) if len(at) else np.zeros(0, dtype=bool)
+                second = np.where(last, END, np.append(first[1:], END)) if len(at) else first
+                size = np.bincount(at, minlength=b - a)
+                begin = np.cumsum(size) - size
+                heads = np.where(size > 0, first[np.minimum(begin, len(first) - 1)], END) if len(first) else np.full(b - a, END)
+                deal = np.where(np.isin(first, heavy), (second.view(np.uint64) % np.uint64(n)).astype(np.int32), -1).astype(np.int32)
+                order = np.lexsort((second, deal, first))
+                first, second, deal, at = first[order], second[order], deal[order], at[order].astype(np.int32)
+                new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (deal[1:] != deal[:-1]))) if len(first) else np.zeros(0, dtype=np.int64)
+                none = pa.nulls(len(new), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(first[new]), pa.array(deal[new]), pa.array(np.full(len(new), base)), _lists(second, new), _lists(at, new), none, none], names)
+                each = np.arange(b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(b - a, pa.int64()), pa.array((each % n).astype(np.int32)), pa.array(np.full(b - a, base)), _lists(heads, each), _lists(each.astype(np.int32), each), batch.column("doc_id").slice(a, b - a), pa.array(size)],
+                    names,
+                )
+                base += b - a
+
+    return run
+
+
+def _score(heavy: np.ndarray, heavy_f: np.ndarray, common: np.ndarray, common_f: np.ndarray, total: int, backoff: float, least: int):
+    """Sums of ln S for each row, and the words whose count must be asked for (``missed``)."""
+
+    def known(words):
+        k = np.minimum(np.searchsorted(common, words), max(len(common) - 1, 0))
+        found = common[k] == words if len(common) else np.zeros(len(words), dtype=bool)
+        return found, np.log(common_f[k] / total) if len(common) else np.zeros(len(words))
+
+    def score(first, deal, second, rid):
+        group = np.cumsum(np.append(True, (first[1:] != first[:-1]) | (deal[1:] != deal[:-1]))) - 1
+        order = np.lexsort((second, group))
+        group, first, second, rid = group[order], first[order], second[order], rid[order]
+        pair = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1]))) - 1
+        pair_f, first_f = np.bincount(pair)[pair], np.bincount(group)[group].astype(np.float64)
+        if len(heavy):
+            k = np.minimum(np.searchsorted(heavy, first), len(heavy) - 1)
+            first_f = np.where(heavy[k] == first, heavy_f[k], first_f)
+        inside = second != END
+        held = inside & (pair_f >= least)
+        found, alone = known(second)
+        value = np.where(held, np.log(pair_f / first_f), np.where(found, alone, 0.0) + math.log(backoff))
+        return rid[inside], value[inside], (~held & ~found)[inside], second[inside]
+
+    def table(rid, value, missed, second, doc_id=None, n_words=None):
+        """One row for each text, and one for each word to be asked for."""
+        texts, k = np.unique(rid, return_inverse=True)
+        sums = np.bincount(k, weights=value, minlength=len(texts))
+        ids, no = np.concatenate((texts, rid[missed])), len(texts)
+        ask = pa.array(np.concatenate((np.zeros(no, dtype=np.int64), second[missed])), mask=np.arange(len(ids)) < no)
+        pad = pa.nulls(len(ids) - no, pa.int64())
+        docs = [pa.concat_arrays([x, pad]) if x is not None else pa.nulls(len(ids), pa.int64()) for x in (doc_id, n_words)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate((sums, np.zeros(len(ids) - no)))), ask, *docs], [c.split()[0] for c in PARTS.split(", ")])
+
+    def run(batches):
+        held, size, before = [], 0, None
+        for batch in batches:
+            head = batch.filter(pa.compute.is_null(batch.column("first")))
+            if head.num_rows:
+                words = head.column("seconds").flatten().to_numpy()
+                rid = head.column("base").to_numpy() + head.column("rows").flatten().to_numpy()
+                found, alone = known(words)
+                order = np.argsort(rid, kind="stable")
+                value = np.where(found & (words != END), alone, 0.0)
+                docs, lengths = head.column("doc_id").take(pa.array(order)), head.column("n_words").take(pa.array(order))
+                yield table(rid[order], value[order], (~found & (words != END))[order], words[order], docs, lengths)
+            batch = batch.filter(pa.compute.is_valid(batch.column("first")))
+            if not batch.num_rows:
+                continue
+            first, deal = batch.column("first").to_numpy(), batch.column("deal").to_numpy()
+            n = pa.compute.list_value_length(batch.column("seconds")).to_numpy()
+            parts = [np.repeat(first, n), np.repeat(deal, n), batch.column("seconds").flatten().to_numpy(), np.repeat(batch.column("base").to_numpy(), n) + batch.column("rows").flatten().to_numpy()]
+            if size > TOGETHER:
+                # All before the first new word is complete.
+                new = np.flatnonzero((parts[0] != before[0]) | (parts[1] != before[1]))
+                if len(new):
+                    held.append([c[: new[0]] for c in parts])
+                    yield table(*score(*map(np.concatenate, zip(*held))))
+                    held, size, parts = [], 0, [c[new[0] :] for c in parts]
+            held.append(parts)
+            size, before = size + len(parts[0]), (parts[0][-1], parts[1][-1])
+        if held:
+            yield table(*score(*map(np.concatenate, zip(*held))))
+
+    return run
+
+
+def _bounded(unigrams: DataFrame, total: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that make up more than one in ``most`` of all (fewer than ``most``), sorted, with their counts."""
+    rows = sorted((r["word"], r["f"]) for r in unigrams.filter(F.col("f") * most > total).toLocalIterator())
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+
+
+def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, common: int = COMMON, heavy: int | None = None) -> DataFrame:
     """(doc_id, n_words, score) for each row of ``docs`` (doc_id, text)."""
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text")
     counted = docs.select("text").mapInArrow(_count, WORDS).groupBy("word").agg(F.sum("n").alias("f"))
     unigrams = materialize(counted, "unigrams")
-    total = unigrams.agg(F.sum("f").alias("n")).first()["n"] or 0
-    # At most ``heavy`` words can have so many.
-    frequent = unigrams.filter(F.col("f") * heavy > total).select(F.col("word").alias("first"), F.col("f").alias("heavy_f"))
-    n = width(spark)
-    grams = docs.mapInArrow(_grams, GRAMS).join(F.broadcast(frequent), "first", "left")
-    wide = F.col("heavy_f").isNotNull() | F.col("first").isNull()
-    dealt = grams.withColumn("deal", F.when(wide, F.pmod(F.xxhash64("second"), F.lit(n))).otherwise(F.lit(-1))).repartition(n, "first", "deal")
-    times = F.size("rids").cast("long")
-    pair_f = F.when(F.col("first").isNotNull(), F.sum(times).over(Window.partitionBy("first", "deal", "second")))
-    first_f = F.coalesce("heavy_f", F.sum(times).over(Window.partitionBy("first", "deal")) + F.lit(0))
-    counts = dealt.withColumn("pair_f", pair_f).withColumn("first_f", first_f)
-    # Both parts use the same columns, so that they share the exchange.
-    scored = counts.select("second", "rids", "doc_id", "n_words", F.col("first").isNull().alias("head"), F.when(F.col("second").isNotNull() & (F.col("pair_f") >= least), F.log(F.col("pair_f") / F.col("first_f"))).alias("value"))
-    held = scored.filter("value is not null").select(F.explode("rids").alias("rid"), "value", "doc_id", "n_words")
-    missed = scored.filter("value is null and (head or second is not null)").select("second", F.explode("rids").alias("rid"), "doc_id", "n_words", "head")
-    missed = missed.join(unigrams, F.col("second") == F.col("word"), "left")
-    alone = F.log(F.col("f") / F.lit(float(total or 1))) + F.when(F.col("head"), 0.0).otherwise(math.log(backoff))
-    parts = held.union(missed.select("rid", alone.alias("value"), "doc_id", "n_words"))
-    sums = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("score"))
+    total = unigrams.agg(F.sum("f").alias("n")).first()["n"] or 1
+    n = width(docs.sparkSession)
+    heaviest, heavy_f = _bounded(unigrams, total, 4 * n if heavy is None else heavy)
+    commonest, common_f = _bounded(unigrams, total, common)
+    dealt = docs.mapInArrow(_grams(heaviest, n), GRAMS).repartition(n, "first", "deal").sortWithinPartitions("first", "deal")
+    parts = dealt.mapInArrow(_score(heaviest, heavy_f, commonest, common_f, total, backoff, least), PARTS)
+    # Rows that ask for nothing are spread out and meet no word.
+    asked = parts.withColumn("key", F.coalesce("missed", F.xxhash64("rid"))).join(unigrams, (F.col("key") == F.col("word")) & F.col("missed").isNotNull(), "left")
+    value = F.col("value") + F.coalesce(F.log(F.col("f") / F.lit(float(total))), F.lit(0.0))
+    sums = asked.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("score"))
     return sums.drop("rid")
