@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` with its file system; where that is unset (tests), the context's or a temporary one."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(path)
+    plain = context._jvm.org.apache.hadoop.fs.Path(path)
+    whole = plain.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(plain).toString().rstrip("/")
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
