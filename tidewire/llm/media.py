@@ -18,7 +18,6 @@ import hashlib
 import io
 import struct
 import tarfile
-import uuid
 import zlib
 
 import numpy as np
@@ -27,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, width
+from ..plans.session import shared_folder
+from .common import materialize, width
 
 ROW = 576
 SHARD_BYTES = 16_000_000
@@ -165,7 +165,7 @@ def store(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     offset, length and n_bytes; columns of ``docs`` with those names are left
     out) and the shards' folder.
     """
-    folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    folder = shared_folder(docs.sparkSession, "media")
     added = {c.split()[0] for c in INDEX_SCHEMA.split(", ")}
     docs = docs.select(*[c for c in docs.columns if c == text_col or c not in added])
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != text_col)

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUE, INVERSE, materialize, mix, powers, shared_dir, width
+from ..plans.session import shared_folder
+from .common import BASE, BYTE_VALUE, INVERSE, materialize, mix, powers, width
 
 WIDTH, GRAM = 200, 32
 #: Distinct contents of an anchor that one task sorts: some 40 MB.
@@ -262,7 +263,7 @@ class Repeats:
         spark = docs.sparkSession
         n, self.wide, self.gram, self.hot = width(spark), wide, gram, hot
         numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-        name, path = f"repeats_{uuid.uuid4().hex}", f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
+        name, path = f"repeats_{uuid.uuid4().hex}", shared_folder(spark, "repeats")
         numbered.repartition(n, "__rid").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "__rid").saveAsTable(name)
         self.texts = spark.table(name).withColumn("__bytes", F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))
 
