@@ -49,7 +49,7 @@ def test_chain_and_large_family(spark, monkeypatch):
         docs.append(" ".join(words))
         words[r.randrange(60)] = f"n{k}"
     monkeypatch.setattr(near_dup, "STAR", 7)
-    monkeypatch.setattr(near_dup, "FEW", 0)
+    monkeypatch.setattr(near_dup, "STARS", 1)
     check(spark, docs)
 
 

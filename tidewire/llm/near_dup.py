@@ -12,9 +12,11 @@ chunks must differ twice: 1.1e-6). Links are confirmed on the full sets.
 
 Within the classes of one key, links are sought from star centres first; what
 those connect needs no pairs among itself. Keys that still hold several
-components get another centre, and finally the pairs across their components,
-so that no link that could join components is lost and no group is expanded
-into all its pairs.
+components get one more centre, the class with the fewest shingles of its own,
+and finally the pairs across their components, so that no link that could join
+components is lost and no group is expanded into all its pairs. Those last
+steps leave out pairs that can't reach the similarity because of the shingles
+that no other class in question has.
 
 Sets of fewer than 4 shingles reach 0.8 only when equal, so those classes make
 no candidates. Null and empty texts have no set and link with nothing. Repeated
@@ -45,12 +47,10 @@ SYMBOLS, BITS, CHUNKS = 32, 16, 8
 FAR = 20
 #: Texts that are confirmed against one copy of a centre; larger stars are dealt out in so many.
 STAR = 1000
-#: Centres of a key in each star round, and star rounds before the pairs across components.
-STARS, TURNS = 3, 3
+#: Centres of a key in the first star round.
+STARS = 3
 #: Rows that a task takes on with ease.
 ROWS = 100_000
-#: With at most so many pairs a row left, the pairs across components come at once.
-FEW = 8
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -176,56 +176,82 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 
 def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame | None:
-    """(node, component) of the class graph, for the classes that have links; ``classes`` has node, text_key and signature, ``texts`` text_key and text."""
+    """(node, component) of the class graph, for the classes that have links; ``classes`` has node, text_key, signature and n, ``texts`` text_key and text."""
     keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
     # Written first, so that the join's sides are plain exchanges and skewed keys can be split.
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     nodes = buckets.select("node").distinct()
-    wanted = materialize(classes.join(nodes, "node").select("node", "text_key", "signature"), "signatures")
+    wanted = materialize(classes.join(nodes, "node").select("node", "text_key", "signature", "n"), "signatures")
     signs = wanted.select("node", "signature")
     # Copies of a text come more than once; one does.
     texts = texts.join(wanted.select("node", "text_key"), "text_key").groupBy("text_key", "node").agg(F.first("text").alias("text"))
     texts = materialize(texts.select("node", "text"), "texts")
-    near = _distance("sa", "sb") <= FAR
-
-    def with_signs(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(signs.select(F.col("node").alias("centre"), F.col("signature").alias("sb")), "centre")
-        pairs = pairs.join(signs.select("node", F.col("signature").alias("sa")), "node")
-        return pairs.filter(near).select("node", "centre")
-
-    labels = tried = None
-    open_keys, turn, n_rows = buckets.withColumn("component", F.col("node")), 0, buckets.count()
-    while n_rows:
-        fit = lambda df: df.coalesce(max(8, min(width(df.sparkSession), n_rows // ROWS + 1)))  # noqa: B023, E731
-        if turn < TURNS:
-            # Any fixed orders of nodes will do; each gives every key a centre of its own.
-            orders = [F.struct(F.xxhash64("node", F.lit(turn * STARS + k)).alias("o") if turn + k else F.col("node").alias("o"), "node") for k in range(STARS)]
-            centres = open_keys.groupBy("key").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("c"))
-            centres = fit(centres).select("key", F.explode("c").alias("centre"))
-            pairs = fit(open_keys.join(centres, "key")).filter("node != centre").select("node", "centre").distinct()
-        else:
-            other = open_keys.select("key", F.col("node").alias("centre"), F.col("component").alias("to"))
-            pairs = fit(open_keys.join(other, "key").filter("component < to")).select("node", "centre").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "centre"], "left_anti")
-        pairs = materialize(fit(with_signs(fit(pairs))), "pairs")
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.union(pairs)
-            found = confirm(pairs, texts, shingle, percent)
-            if labels is not None:
-                found = found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = materialize(fit(components(found)), "labels")
-            labelled = fit(buckets.join(labels, "node", "left")).withColumn("component", F.coalesce("component", "node"))
-            many = fit(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))).filter("x < y").select("key")
-            open_keys = materialize(fit(labelled.join(many, "key")).select("key", "node", "component"), "open")
-        if turn >= TURNS:
-            break
-        size = fit(open_keys.groupBy("key").agg(F.count("*").alias("n"))).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        if not size["rows"]:
-            break
-        turn = TURNS if size["pairs"] <= FEW * size["rows"] else turn + 1
-    return labels
+    n_rows = buckets.count()
+    parts = max(8, min(width(classes.sparkSession), n_rows // ROWS + 1))
+    fit = lambda df: df.coalesce(parts)
+
+    def named(facts: DataFrame, node: str, mark: str) -> DataFrame:
+        return facts.select(F.col("node").alias(node), *[F.col(c).alias(c + mark) for c in facts.columns if c != "node"])
+
+    def linked(pairs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Labels with the links among ``pairs``, and the members of keys that still hold several components."""
+        found = confirm(pairs, texts, shingle, percent)
+        if labels is not None:
+            found = found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = materialize(fit(components(found)), "labels")
+        now = fit(buckets.join(labels, "node", "left")).withColumn("component", F.coalesce("component", "node"))
+        many = fit(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))).filter("x < y").select("key")
+        return labels, materialize(fit(now.join(many, "key")).select("key", "node", "component"), "open")
+
+    # First stars: centres by the order of nodes and by two hashes.
+    orders = [F.struct((F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias("o"), "node") for k in range(STARS)]
+    centres = fit(buckets.groupBy("key").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("c"))).select("key", F.explode("c").alias("centre"))
+    pairs = buckets.join(centres, "key").filter("node != centre").select("node", "centre").distinct()
+    near = _distance("signature_c", "signature_n") <= FAR
+    pairs = pairs.join(named(signs, "centre", "_c"), "centre").join(named(signs, "node", "_n"), "node").filter(near).select("node", "centre")
+    tried = materialize(pairs, "pairs")
+    labels, open_keys = linked(tried, None)
+    if open_keys.isEmpty():
+        return labels
+
+    # Shingles that no other open class has can't be shared: with u of n, a pair shares min(n - u) at most.
+    still = texts.join(open_keys.select("node").distinct(), "node")
+    alone = still.mapInArrow(_shingles(shingle), "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    facts = wanted.select("node", "signature", "n").join(alone.groupBy("node").agg(F.count("*").alias("u")), "node", "left")
+    facts = materialize(facts.join(open_keys.select("node").distinct(), "node").withColumn("u", F.coalesce("u", F.lit(0))), "facts")
+    most = F.least(F.col("n_c") - F.col("u_c"), F.col("n_n") - F.col("u_n"))
+    likely = near & (100 * most >= percent * (F.col("n_c") + F.col("n_n") - most))
+
+    def candidates(centres: DataFrame, apart) -> DataFrame:
+        members = open_keys.join(named(facts, "node", "_n"), "node")
+        middle = centres.join(named(facts, "centre", "_c"), "centre")
+        close = members.join(middle, (members["key"] == middle["key"]) & apart & likely)
+        return materialize(fit(close.select("node", "centre").distinct()).join(tried, ["node", "centre"], "left_anti"), "pairs")
+
+    # More stars, around the classes with the fewest shingles of their own.
+    own = F.struct((F.col("u") / F.col("n")).alias("o"), "node")
+    ranked = open_keys.join(facts.select("node", "n", "u"), "node").groupBy("key").agg(F.min(own)["node"].alias("centre"))
+    pairs = candidates(fit(ranked), F.col("node") != F.col("centre"))
+    if not pairs.isEmpty():
+        tried = tried.union(pairs)
+        labels, open_keys = linked(pairs, labels)
+    # What is left: the pairs across components.
+    other = open_keys.select("key", F.col("node").alias("centre"), F.col("component").alias("to"))
+    pairs = candidates(other, F.col("component") < F.col("to"))
+    return labels if pairs.isEmpty() else linked(pairs, labels)[0]
+
+
+def _shingles(shingle: int):
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = shingle_sets(as_bytes(batch.column("text")), shingle)
+                node = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -237,8 +263,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     docs = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"))
     described = materialize(with_row_id(docs, "rid").mapInArrow(_describe(shingle), CLASSES), "described")
-    classes = described.filter("set_key is not null").groupBy("set_key").agg(F.min_by(F.struct("rid", "text_key", "signature"), "rid").alias("c"))
-    classes = materialize(classes.select("set_key", F.col("c.rid").alias("node"), F.col("c.text_key").alias("text_key"), F.col("c.signature").alias("signature")), "classes")
+    classes = described.filter("set_key is not null").groupBy("set_key").agg(F.min_by(F.struct("rid", "text_key", "signature", "n_shingles"), "rid").alias("c"))
+    classes = materialize(classes.select("set_key", F.col("c.rid").alias("node"), F.col("c.text_key").alias("text_key"), F.col("c.signature").alias("signature"), F.col("c.n_shingles").alias("n")), "classes")
     labels = links(classes.filter("signature is not null"), docs.select("text_key", "text"), shingle, percent)
     grouped = classes.select("set_key", "node")
     if labels is None:
