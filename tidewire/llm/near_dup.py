@@ -27,7 +27,6 @@ least id reachable, null if there is none. An empty table gives no row.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
