@@ -37,7 +37,9 @@ from .common import as_bytes, chunks, materialize, span_hashes, width, word_span
 
 BACKOFF, LEAST, COMMON = 0.4, 2, 500_000
 #: Bytes of text whose equal first words share a row, and n-grams that are counted together.
-CHUNK, TOGETHER = 8_000_000, 500_000
+CHUNK, TOGETHER = 24_000_000, 500_000
+#: Texts whose sums a task keeps before it gives them out.
+KEPT_SUMS = 1_000_000
 #: Stands for the end of a text: its last word counts too, though nothing follows it.
 END = 0
 
@@ -128,28 +130,39 @@ def _score(heavy: np.ndarray, heavy_f: np.ndarray, common: np.ndarray, common_f:
         value = np.where(held, np.log(pair_f / first_f), np.where(found, alone, 0.0) + math.log(backoff))
         return rid[inside], value[inside], (~held & ~found)[inside], second[inside]
 
-    def table(rid, value, missed, second, doc_id=None, n_words=None):
-        """One row for each text, and one for each word to be asked for."""
+    def table(rid, value, missed=None, doc_id=None, n_words=None):
+        none = pa.nulls(len(rid), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(value), none if missed is None else pa.array(missed), none if doc_id is None else doc_id, none if n_words is None else n_words], [c.split()[0] for c in PARTS.split(", ")])
+
+    def summed(parts):
+        """One value for each text."""
+        rid, value = map(np.concatenate, zip(*parts))
         texts, k = np.unique(rid, return_inverse=True)
-        sums = np.bincount(k, weights=value, minlength=len(texts))
-        ids, no = np.concatenate((texts, rid[missed])), len(texts)
-        ask = pa.array(np.concatenate((np.zeros(no, dtype=np.int64), second[missed])), mask=np.arange(len(ids)) < no)
-        pad = pa.nulls(len(ids) - no, pa.int64())
-        docs = [pa.concat_arrays([x, pad]) if x is not None else pa.nulls(len(ids), pa.int64()) for x in (doc_id, n_words)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate((sums, np.zeros(len(ids) - no)))), ask, *docs], [c.split()[0] for c in PARTS.split(", ")])
+        return texts, np.bincount(k, weights=value, minlength=len(texts))
 
     def run(batches):
-        held, size, before = [], 0, None
+        held, size, before, sums = [], 0, None, []
+
+        def counted():
+            """Score what is held; the sums stay, the words to be asked for go out."""
+            rid, value, missed, second = score(*map(np.concatenate, zip(*held)))
+            sums.append((rid, value))
+            sums[:] = [summed(sums)]
+            if missed.any():
+                yield table(rid[missed], np.zeros(missed.sum()), second[missed])
+            if len(sums[0][0]) > KEPT_SUMS:
+                yield table(*sums.pop())
+
         for batch in batches:
             head = batch.filter(pa.compute.is_null(batch.column("first")))
             if head.num_rows:
                 words = head.column("seconds").flatten().to_numpy()
                 rid = head.column("base").to_numpy() + head.column("rows").flatten().to_numpy()
                 found, alone = known(words)
-                order = np.argsort(rid, kind="stable")
-                value = np.where(found & (words != END), alone, 0.0)
-                docs, lengths = head.column("doc_id").take(pa.array(order)), head.column("n_words").take(pa.array(order))
-                yield table(rid[order], value[order], (~found & (words != END))[order], words[order], docs, lengths)
+                yield table(rid, np.where(found & (words != END), alone, 0.0), None, head.column("doc_id"), head.column("n_words"))
+                ask = ~found & (words != END)
+                if ask.any():
+                    yield table(rid[ask], np.zeros(ask.sum()), words[ask])
             batch = batch.filter(pa.compute.is_valid(batch.column("first")))
             if not batch.num_rows:
                 continue
@@ -161,12 +174,14 @@ def _score(heavy: np.ndarray, heavy_f: np.ndarray, common: np.ndarray, common_f:
                 new = np.flatnonzero((parts[0] != before[0]) | (parts[1] != before[1]))
                 if len(new):
                     held.append([c[: new[0]] for c in parts])
-                    yield table(*score(*map(np.concatenate, zip(*held))))
+                    yield from counted()
                     held, size, parts = [], 0, [c[new[0] :] for c in parts]
             held.append(parts)
             size, before = size + len(parts[0]), (parts[0][-1], parts[1][-1])
         if held:
-            yield table(*score(*map(np.concatenate, zip(*held))))
+            yield from counted()
+        if sums:
+            yield table(*sums.pop())
 
     return run
 
@@ -189,7 +204,8 @@ def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, com
     dealt = docs.mapInArrow(_grams(heaviest, n), GRAMS).repartition(n, "first", "deal").sortWithinPartitions("first", "deal")
     parts = dealt.mapInArrow(_score(heaviest, heavy_f, commonest, common_f, total, backoff, least), PARTS)
     # Rows that ask for nothing are spread out and meet no word.
-    asked = parts.withColumn("key", F.coalesce("missed", F.xxhash64("rid"))).join(unigrams, (F.col("key") == F.col("word")) & F.col("missed").isNotNull(), "left")
+    parts = parts.select("rid", "value", F.col("missed").isNotNull().alias("ask"), F.coalesce("missed", -F.col("rid")).alias("key"), "doc_id", "n_words")
+    asked = parts.join(unigrams, (F.col("key") == F.col("word")) & F.col("ask"), "left")
     value = F.col("value") + F.coalesce(F.log(F.col("f") / F.lit(float(total))), F.lit(0.0))
     sums = asked.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("score"))
     return sums.drop("rid")
