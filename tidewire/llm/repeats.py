@@ -204,13 +204,24 @@ def _contents(wide: int):
     return run
 
 
-def _compare(wide: int):
+def _compare(wide: int, reach: bool):
+    """Members of the maximal repeats of each anchor; with ``reach``, only how far those of each content reach together."""
+
     def run(batches):
         now, keys, texts, offsets, out = None, [], [], [], []
 
         def close():
-            for g, (left, right, members) in enumerate(maximal_repeats(texts, offsets, wide)):
-                out.extend((now, keys[m], g, left, right) for m in members)
+            found = maximal_repeats(texts, offsets, wide)
+            if not reach:
+                for g, (left, right, members) in enumerate(found):
+                    out.extend((now, keys[m], g, left, right) for m in members)
+                return
+            far: dict[int, tuple[int, int]] = {}
+            for left, right, members in found:
+                for m in members:
+                    a, b = far.get(m, (0, 0))
+                    far[m] = (max(a, left), max(b, right))
+            out.extend((now, keys[m], 0, left, right) for m, (left, right) in far.items())
 
         def table():
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -283,13 +294,13 @@ class Repeats:
         cut = materialize(cut.mapInArrow(_contents(wide), "anchor long, content long, m long, offset long, bytes binary"), "bytes")
 
         cold = cut.filter(F.col("m") <= hot).repartition(n, "anchor").sortWithinPartitions("anchor")
-        #: Members of the maximal repeats of all but the hot anchors.
-        self.members = materialize(cold.select("anchor", "content", "offset", "bytes").mapInArrow(_compare(wide), FOUND), "members")
+        self.cold = cold.select("anchor", "content", "offset", "bytes")
+        cold_found = self.cold.mapInArrow(_compare(wide, reach=True), FOUND).select("anchor", "content", "left", "right")
         strings = cut.filter(F.col("m") > hot).mapInArrow(_strings(wide), "one long, two long, anchor long, content long, left long, right long")
         twice = strings.groupBy("one", "two").agg(F.count("*").alias("c")).filter("c > 1").select("one", "two")
         hot_found = strings.join(twice, ["one", "two"]).select("anchor", "content", "left", "right")
         whole = kinds.filter("n > 1").select("anchor", "content", (F.col("at") - F.col("lo")).alias("left"), (F.col("hi") + wide - F.col("at")).alias("right"))
-        found = self.members.select("anchor", "content", "left", "right").union(hot_found).union(whole)
+        found = cold_found.union(hot_found).union(whole)
         # All found around one anchor overlap there, so their union is one range.
         reach = materialize(found.groupBy("anchor", "content").agg(F.max("left").alias("left"), F.max("right").alias("right")), "reach")
         several = self.places.filter("several").join(reach, ["anchor", "content"])
@@ -306,7 +317,7 @@ class Repeats:
         """
         whole = self.places.groupBy("anchor", "content").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "content")
         whole = self.places.join(whole, ["anchor", "content"]).select("anchor", F.lit(-1).alias("grp"), (F.col("hi") + self.wide - F.col("lo")).alias("n_bytes"), "rid", F.col("lo").alias("start"))
-        part = self.places.join(self.members, ["anchor", "content"])
+        part = self.places.join(self.cold.mapInArrow(_compare(self.wide, reach=False), FOUND), ["anchor", "content"])
         return whole.union(part.select("anchor", "grp", F.col("left") + F.col("right"), "rid", F.col("at") - F.col("left")))
 
     def removed(self, text_to: str | None = None) -> DataFrame:
