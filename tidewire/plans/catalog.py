@@ -16,7 +16,7 @@ from ..operators.project import project, time_parts, warehouse
 from ..sinks import cbor, csv
 from ..sources import pcap
 from ..sources.events import packets
-from ..streaming.match import match_stream
+from ..streaming.match import flush_row, match_stream
 from .schema import columns
 from .session import shared_folder
 
@@ -416,18 +416,34 @@ def csv_files(spark, sf_dir):
     return spark.read.text(folder).filter(F.col("value") != csv.header(flags)).select(F.col("value").alias("line"))
 
 
-@query(f"WITH {matching()} SELECT req_seq, resp_seq FROM m WHERE req_seq IS NOT NULL AND resp_seq IS NOT NULL")
-def match_streaming(spark, sf_dir):
-    """The stateful matcher over the packets as a file stream; what it pairs."""
+def streamed(packets: DataFrame, watermark: str = "60 days") -> DataFrame:
+    """The stateful matcher over ``packets`` as a file stream, and once more over the row that ends the stream."""
+    spark = packets.sparkSession
     source, sink, state = (shared_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
-    packets(spark, sf_dir).write.parquet(source)
+    packets.write.parquet(source)
     schema = spark.read.parquet(source).schema
+    last = spark.read.parquet(source).agg(F.max("ts_us")).first()[0]
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        found = match_stream(spark.readStream.schema(schema).parquet(source), WINDOW, watermark="60 days")
-        job = found.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(sink)
-        job.awaitTermination()
+        found = match_stream(spark.readStream.schema(schema).parquet(source), WINDOW, watermark=watermark)
+        for end in (False, True):
+            if end and last is not None:
+                flush_row(spark, schema, last, WINDOW, watermark).write.mode("append").parquet(source)
+            job = found.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(sink)
+            job.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return spark.read.schema(found.schema).parquet(sink).filter("req_seq is not null and resp_seq is not null").select("req_seq", "resp_seq")
+    return spark.read.schema(found.schema).parquet(sink)
+
+
+@query(f"WITH {matching()} SELECT req_seq, resp_seq FROM m WHERE req_seq IS NOT NULL AND resp_seq IS NOT NULL")
+def match_streaming(spark, sf_dir):
+    """What the stream pairs; ``match_streaming_all`` has the lone rows too."""
+    return streamed(packets(spark, sf_dir)).filter("req_seq is not null and resp_seq is not null").select("req_seq", "resp_seq")
+
+
+@query(f"WITH {matching()} SELECT * FROM m")
+def match_streaming_all(spark, sf_dir):
+    """All rows of the stream: pairs, lone requests and lone responses."""
+    return streamed(packets(spark, sf_dir)).select("seq", "ts_us", "req_seq", "resp_seq")

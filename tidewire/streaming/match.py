@@ -3,15 +3,18 @@
 The semantics are those of the batch operator. Spark drops rows behind the
 watermark, so its delay must be at least the disorder of the input; rows of a
 micro-batch are put in order of ``seq`` within their key. What is pending when
-a stream ends is given out by a late row (``flush_row``) or a batch pass.
+a stream ends is given out by a late row (``flush_row``): it moves the watermark
+past the window of all requests, so that their timers fire. It must come last,
+since rows after it are behind the watermark.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import directed
 from ..operators.match import SEARCH_CAP
@@ -40,7 +43,8 @@ def matcher(window_us: int, match_qname: bool):
             return pd.DataFrame({n: pd.array([r[k] for r in out], dtype="Int64") for k, n in enumerate(("seq", "ts_us", "req_seq", "resp_seq", "delay_us"))})
 
         def handleInputRows(self, key, rows, timerValues):
-            data = pd.concat(list(rows), ignore_index=True).sort_values("seq")
+            # Flush rows have no seq; they only move the watermark.
+            data = pd.concat([r[r["seq"].notna()] for r in rows], ignore_index=True).sort_values("seq")
             pending, out = self._load(), []
             for seq, ts, response, name in zip(data["seq"], data["ts_us"], data["is_response"], data["qname"]):
                 seq, ts = int(seq), int(ts)
@@ -79,3 +83,10 @@ def match_stream(packets: DataFrame, window_us: int, match_qname: bool = False,
     return rows.groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=matcher(window_us, match_qname), outputStructType=OUT, outputMode="append", timeMode="EventTime",
     )
+
+
+def flush_row(spark: SparkSession, schema: StructType, last_us: int, window_us: int, watermark: str = "1 minute") -> DataFrame:
+    """A packet of ``schema`` for the end of a stream whose last packet is of ``last_us``; it gives no row of its own."""
+    late = F.timestamp_micros(F.lit(last_us + window_us + 2_000_000)) + F.expr(f"INTERVAL {watermark}")
+    facts = {"ts_us": F.unix_micros(late), "is_response": F.lit(False)}
+    return spark.range(1).select(*[facts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
