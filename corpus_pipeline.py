@@ -24,9 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(_carried(docs), docs, labels).filter("predicted = 0").select("__row.*")
 
 
+#: Words of a shingle in the near-duplicate stage; the query op4_near_duplicates takes two.
+SHINGLE = 5
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least doc_id."""
-    judged = materialize(near_dup.near_duplicates(docs).select("doc_id", "text_key", "first"), "judged")
+    judged = materialize(near_dup.near_duplicates(docs, SHINGLE).select("doc_id", "text_key", "first"), "judged")
     keys = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     kept = judged.filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__other"))
     left = docs.withColumn("__key", keys)
