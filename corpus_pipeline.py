@@ -18,6 +18,12 @@ def _carried(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("__row"), "doc_id", "text")
 
 
+def _with_text(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The carried rows with the text of ``out``."""
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"__row.`{c}`") for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -44,15 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that occur more than once go; every document stays, with the text that is left."""
-    out = repeats.Repeats(_carried(docs)).removed(text_to="text")
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"__row.`{c}`") for c in docs.columns])
+    return _with_text(repeats.Repeats(_carried(docs)).removed(text_to="text"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items beyond the coverage limit go."""
+    """Documents that hold benchmark items beyond the coverage limit go; passages beyond the length limit are cut out of the others."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(_carried(docs), benchmark).filter("not contaminated").select("__row.*")
+    return _with_text(decontaminate.decontaminate(_carried(docs), benchmark, text_to="text").filter("not contaminated"), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,23 @@ def test_automaton_knows_all_substrings():
             state = a.next[state][a.vocabulary[w]]
     spans, found = a.scan(items[2][1])
     assert "2" in {a.ids[k] for k in found} and spans[-1] == (0, 12)
+
+
+def test_spans_are_cut(spark):
+    """Passages over the length limit go wherever they are, whole short items from contaminated rows alone."""
+    item = [f"q{k}" for k in range(30)]
+    around = [f"z{k}" for k in range(2000)]
+    bench = spark.createDataFrame([("a", " ".join(item)), ("b", "tiny item")], ITEMS)
+    docs = [
+        f"{' '.join(around[:900])} É, {' '.join(item).upper()}; {' '.join(around[900:])}",
+        f"{' '.join(around)} {' '.join(item[4:16])} end",  # one word less than a window
+        f"{' '.join(around)} tiny, item end",
+        "start tiny, item end",
+        None,
+        f"{' '.join(item)}",
+        f"{' '.join(around)} {' '.join(item[:13])} x {' '.join(item[17:])}",
+    ]
+    want = [(False, f"{' '.join(around[:900])} É, ; {' '.join(around[900:])}"), (False, docs[1]), (False, docs[2]), (True, "start  end"), (False, None), (True, ""), (False, f"{' '.join(around)}  x ")]
+    for block in (200_000, 2):
+        got = decontaminate(table(spark, docs), bench, block_words=block, text_to="text").collect()
+        assert [(r["contaminated"], r["text"]) for r in sorted(got, key=lambda r: r["doc_id"])] == want

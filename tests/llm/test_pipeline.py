@@ -53,6 +53,15 @@ def test_near_copies_by_five_words(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 1]
 
 
+def test_passages_are_cut(spark, folder):
+    """A long document that quotes an item stays without the passage."""
+    path, docs, _ = folder
+    left = {r["doc_id"]: r for r in corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()}
+    long = next(k for k, d in enumerate(docs) if d and d.startswith("z0"))
+    assert left[long]["text"] == docs[long][: docs[long].index("q0")] and left[long]["n_chars"] == len(left[long]["text"])
+    assert all(r["text"] == docs[k] for k, r in left.items() if k != long)
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)

@@ -9,6 +9,11 @@ Null text has no words and no hits; an item without words has no window. Items
 with equal texts all count. Rows are judged one by one, so repeated rows get
 equal results and empty tables give none.
 
+With ``text_to`` the text comes back without the spans over a limit: those of
+``window`` words or more, and all spans of a contaminated row (whole shorter
+items are cut only there). A cut goes from a span's first to its last byte; what
+surrounds it stays as it was, and isn't judged again.
+
 The items travel to the tasks as one closure of at most ``BLOCK_WORDS`` words;
 a larger benchmark goes in blocks whose spans are merged per document.
 """
@@ -175,14 +180,31 @@ def judge(n_words: int, spans, items) -> dict:
     }
 
 
-def _append(batch: pa.RecordBatch, rows: list[dict]) -> list[pa.RecordBatch]:
+def cut(text: str | None, found: dict, window: int) -> str | None:
+    """The text without the spans of ``found`` (a row of ``judge``) that exceed a limit."""
+    gone = [s for s in found["spans"] if found["contaminated"] or s["past"] - s["first"] >= window]
+    if not gone:
+        return text
+    data = text.encode()
+    at = [m.span() for m in WORD.finditer(data.lower())]
+    out, done = [], 0
+    for s in gone:
+        out.append(data[done : at[s["first"]][0]])
+        done = at[s["past"] - 1][1]
+    return b"".join([*out, data[done:]]).decode()
+
+
+def _append(batch: pa.RecordBatch, rows: list[dict], text_col: str, text_to: str | None, window: int) -> list[pa.RecordBatch]:
     table = pa.Table.from_batches([batch])
+    if text_to:
+        left = [cut(t, r, window) for t, r in zip(batch.column(text_col).to_pylist(), rows)]
+        table = table.select([c for c in table.column_names if c != text_to])
     for name, kind in KINDS.items():
         table = table.append_column(name, pa.array([r[name] for r in rows], kind))
-    return table.to_batches()
+    return (table.append_column(text_to, pa.array(left, pa.string())) if text_to else table).to_batches()
 
 
-def _match(automaton: Automaton, text_col: str):
+def _match(automaton: Automaton, text_col: str, text_to: str | None = None):
     ids = automaton.ids
 
     def run(batches):
@@ -192,23 +214,30 @@ def _match(automaton: Automaton, text_col: str):
                 words = words_of(text)
                 spans, items = automaton.scan(words)
                 rows.append(judge(len(words), spans, {ids[k] for k in items if ids[k] is not None}))
-            yield from _append(batch, rows)
+            yield from _append(batch, rows, text_col, text_to, automaton.window)
 
     return run
 
 
-def _combine(batches):
-    for batch in batches:
-        rows = []
-        for n, spans, items in zip(*(batch.column(c).to_pylist() for c in ("__n", "__spans", "__items"))):
-            rows.append(judge(n, [(s["first"], s["past"]) for part in spans for s in part], {i for part in items for i in part}))
-        yield from _append(batch.select([c for c in batch.schema.names if c not in ("__n", "__spans", "__items")]), rows)
+def _combine(text_col: str, text_to: str | None, window: int):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for n, spans, items in zip(*(batch.column(c).to_pylist() for c in ("__n", "__spans", "__items"))):
+                rows.append(judge(n, [(s["first"], s["past"]) for part in spans for s in part], {i for part in items for i in part}))
+            own = batch.select([c for c in batch.schema.names if c not in ("__n", "__spans", "__items")])
+            yield from _append(own, rows, text_col, text_to, window)
+
+    return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, text_to: str | None = None
+) -> DataFrame:
     """All columns of ``docs`` with hit spans, items and the verdict for each row.
 
-    Columns of ``docs`` named like a result are replaced.
+    Columns of ``docs`` named like a result are replaced. With ``text_to``, that
+    column gets the text without the spans over a limit.
     """
     docs = docs.select(*[c for c in docs.columns if c not in KINDS])
     blocks, block, size = [], [], 0
@@ -220,9 +249,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         block.append((row["i"], words))
         size += len(words)
     blocks.append(block)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    schema = "".join(f"`{n}` {t}, " for n, t in docs.dtypes if n != text_to) + RESULT + (f", `{text_to}` string" if text_to else "")
     if len(blocks) == 1:
-        return docs.mapInArrow(_match(Automaton(block, window), text_col), f"{schema}, {RESULT}")
+        return docs.mapInArrow(_match(Automaton(block, window), text_col, text_to), schema)
     held = materialize(with_row_id(docs), "decontaminate")
     found = None
     for block in blocks:
@@ -232,4 +261,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     merged = found.groupBy("__rid").agg(
         F.max("n_words").alias("__n"), F.collect_list("spans").alias("__spans"), F.collect_list("items").alias("__items")
     )
-    return held.join(merged, "__rid").drop("__rid").mapInArrow(_combine, f"{schema}, {RESULT}")
+    return held.join(merged, "__rid").drop("__rid").mapInArrow(_combine(text_col, text_to, window), schema)
