@@ -56,6 +56,23 @@ def test_groups_hold_all_occurrences(spark):
         assert places == every and len(every) > 1
 
 
+@pytest.mark.parametrize("wide,gram", [(40, 12), (200, 32)])
+def test_groups_of_hot_anchors(spark, wide, gram):
+    """Groups are the same whichever way an anchor is resolved."""
+    r = random.Random(8)
+    passage = texts(6, 4)[-4][:260]
+    docs = texts(5, 20) + [f"{r.random()} {passage[r.randrange(9):-1 - r.randrange(9)]} {r.random()}" for _ in range(40)] + ["ab" * 200, "xab" * 90 + "c"]
+    found = []
+    for hot in (2000, 1):
+        groups = defaultdict(set)
+        held = Repeats(table(spark, docs).coalesce(1), wide=wide, gram=gram, hot=hot)
+        ids = {x["__rid"]: x["doc_id"] for x in held.texts.select("__rid", "doc_id").collect()}
+        for x in held.groups().collect():
+            groups[x["anchor"], x["grp"], x["n_bytes"]].add((ids[x["rid"]], x["start"]))
+        found.append(Counter((anchor, n, frozenset(members)) for (anchor, grp, n), members in groups.items() if grp >= 0))
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
 def test_anchors_follow_content():
     r = random.Random(2)
     a = bytes(r.randrange(97, 100) for _ in range(3000))

@@ -16,6 +16,10 @@ it is given out with all of its members.
 Copies never meet in one task: equal contents are counted by partial
 aggregates. An anchor with more than ``HOT`` distinct contents is resolved by
 hashes of its single strings, aggregated the same way, with the same result.
+Its groups come from hashes too: a string is a maximal repeat if the bytes
+before all its occurrences differ, and those behind them (an end differs from
+everything). What precedes and what follows the anchor are first tested alone;
+only ends that pass on both sides are combined.
 
 Null text is an empty one. Texts shorter than ``WIDTH`` have no repeats.
 Repeated rows are copies of each other. An empty table gives no row. Columns of
@@ -267,6 +271,77 @@ def _strings(wide: int):
     return run
 
 
+def _two(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each data[start:end], from both directions."""
+    n = len(data)
+    with np.errstate(over="ignore"):
+        return Hashes(data).of(starts, ends).view(np.int64), Hashes(data[::-1]).of(n - ends, n - starts).view(np.int64)
+
+
+def _beside(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The byte at each place; -1 outside."""
+    return np.where((places >= 0) & (places < len(data)), data[np.clip(places, 0, len(data) - 1)].astype(np.int64), -1)
+
+
+ENDS = "anchor long, content long, side int, size long, one long, two long, beside long"
+PAIRS = "anchor long, content long, left long, right long, one long, two long, before long, behind long"
+
+
+def _ends(wide: int):
+    """For each content, what lies before (side 0) and after (side 1) its anchor, cut at every place where a repeat may end."""
+
+    def run(batches):
+        for batch in batches:
+            for anchor, content, offset, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "offset", "bytes"))):
+                data = np.frombuffer(text, dtype=np.uint8)
+                k = np.arange(len(data) - wide + 1)
+                start = np.concatenate([k, np.full(len(k), offset)])
+                past = np.concatenate([np.full(len(k), offset), k + wide])
+                one, two = _two(data, start, past)
+                near = np.concatenate([_beside(data, k - 1), _beside(data, k + wide)])
+                n = len(start)
+                columns = [np.full(n, anchor), np.full(n, content), np.repeat(np.array([0, 1], dtype=np.int32), len(k)), past - start, one, two, near]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in ENDS.split(", ")])
+
+    return run
+
+
+def _spans(wide: int):
+    """Strings around the anchor from any of the ``lefts`` to any of the ``rights``."""
+
+    def run(batches):
+        for batch in batches:
+            for anchor, content, offset, text, lefts, rights in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "offset", "bytes", "lefts", "rights"))):
+                data = np.frombuffer(text, dtype=np.uint8)
+                left, right = (x.ravel() for x in np.meshgrid(np.array(lefts, dtype=np.int64), np.array(rights, dtype=np.int64)))
+                left, right = left[left + right >= wide], right[left + right >= wide]
+                one, two = _two(data, offset - left, offset + right)
+                columns = [np.full(len(left), anchor), np.full(len(left), content), left, right, one, two, _beside(data, offset - left - 1), _beside(data, offset + right)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in PAIRS.split(", ")])
+
+    return run
+
+
+def _differ(column: str):
+    """Whether a group can't be extended by the bytes of ``column``."""
+    return (F.min(column) < 0) | (F.min(column) < F.max(column))
+
+
+def hot_members(contents: DataFrame, wide: int) -> DataFrame:
+    """(anchor, content, grp, left, right) of all maximal repeats, like ``_compare``, by partial aggregates alone."""
+    ends = materialize(contents.mapInArrow(_ends(wide), ENDS), "ends")
+    names = ["anchor", "side", "size", "one", "two"]
+    branching = ends.groupBy(*names).agg(F.count("*").alias("c"), _differ("beside").alias("d")).filter("c > 1 and d").select(*names)
+    sides = ends.join(branching, names).groupBy("anchor", "content").agg(
+        F.collect_list(F.when(F.col("side") == 0, F.col("size"))).alias("lefts"), F.collect_list(F.when(F.col("side") == 1, F.col("size"))).alias("rights")
+    )
+    spans = materialize(contents.join(sides, ["anchor", "content"]).mapInArrow(_spans(wide), PAIRS), "spans")
+    names = ["anchor", "left", "right", "one", "two"]
+    maximal = spans.groupBy(*names).agg(F.count("*").alias("c"), (_differ("before") & _differ("behind")).alias("d")).filter("c > 1 and d").select(*names)
+    grp = F.xxhash64("left", "right", "one", "two").bitwiseAND(F.lit(2**63 - 1))
+    return spans.join(maximal, names).select("anchor", "content", grp.alias("grp"), "left", "right")
+
+
 class Repeats:
     """The stages' tables. ``texts`` is bucketed by row, so that it moves once and joins in place after."""
 
@@ -296,7 +371,8 @@ class Repeats:
         cold = cut.filter(F.col("m") <= hot).repartition(n, "anchor").sortWithinPartitions("anchor")
         self.cold = cold.select("anchor", "content", "offset", "bytes")
         cold_found = self.cold.mapInArrow(_compare(wide, reach=True), FOUND).select("anchor", "content", "left", "right")
-        strings = cut.filter(F.col("m") > hot).mapInArrow(_strings(wide), "one long, two long, anchor long, content long, left long, right long")
+        self.warm = cut.filter(F.col("m") > hot).select("anchor", "content", "offset", "bytes")
+        strings = self.warm.mapInArrow(_strings(wide), "one long, two long, anchor long, content long, left long, right long")
         twice = strings.groupBy("one", "two").agg(F.count("*").alias("c")).filter("c > 1").select("one", "two")
         hot_found = strings.join(twice, ["one", "two"]).select("anchor", "content", "left", "right")
         whole = kinds.filter("n > 1").select("anchor", "content", (F.col("at") - F.col("lo")).alias("left"), (F.col("hi") + wide - F.col("at")).alias("right"))
@@ -312,12 +388,15 @@ class Repeats:
     def groups(self) -> DataFrame:
         """(anchor, grp, n_bytes, rid, start): maximal repeat groups with all their occurrences.
 
-        Contents that repeat as a whole are groups with grp -1; the strings of
-        hot anchors aren't listed here.
+        Contents that repeat as a whole are groups with grp -1. The groups of hot
+        anchors are numbered by hash.
         """
         whole = self.places.groupBy("anchor", "content").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", "content")
         whole = self.places.join(whole, ["anchor", "content"]).select("anchor", F.lit(-1).alias("grp"), (F.col("hi") + self.wide - F.col("lo")).alias("n_bytes"), "rid", F.col("lo").alias("start"))
-        part = self.places.join(self.cold.mapInArrow(_compare(self.wide, reach=False), FOUND), ["anchor", "content"])
+        found = self.cold.mapInArrow(_compare(self.wide, reach=False), FOUND)
+        if not self.warm.isEmpty():
+            found = found.union(hot_members(self.warm, self.wide))
+        part = self.places.join(found, ["anchor", "content"])
         return whole.union(part.select("anchor", "grp", F.col("left") + F.col("right"), "rid", F.col("at") - F.col("left")))
 
     def removed(self, text_to: str | None = None) -> DataFrame:
