@@ -35,17 +35,20 @@ SHINGLE = 5
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least doc_id."""
-    judged = materialize(near_dup.near_duplicates(docs, SHINGLE).select("doc_id", "text_key", "first"), "judged")
+    """One document of each group of near copies stays, that of the least doc_id. All rows without words stay."""
+    judged = near_dup.near_duplicates(docs, SHINGLE).select("doc_id", "text_key", "first", (F.col("n_shingles") > 0).alias("words"))
+    judged = materialize(judged, "judged")
     keys = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = judged.filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__other"))
-    left = docs.withColumn("__key", keys)
-    left = left.join(kept, left["doc_id"].eqNullSafe(kept["__id"]) & (left["__key"] == kept["__other"]), "left_semi")
+    kept = judged.filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__other"), F.col("words").alias("__words"))
     counts = judged.agg(F.count("*").alias("rows"), F.count_distinct(F.struct("doc_id", "text_key")).alias("different")).first()
-    if counts["rows"] > counts["different"]:
-        # Rows that are repeated with id and text: one of them stays.
-        left = left.dropDuplicates(["doc_id", "__key"])
-    return left.drop("__key")
+    repeated = counts["rows"] > counts["different"]
+    left = docs.withColumns({"__key": keys, "__rid": F.monotonically_increasing_id()})
+    kept = kept.distinct() if repeated else kept
+    left = left.join(kept, left["doc_id"].eqNullSafe(kept["__id"]) & (left["__key"] == kept["__other"]))
+    if repeated:
+        # Rows that are repeated with id and text: one of them stays, but all without words.
+        left = left.withColumn("__own", F.when(~F.col("__words"), F.col("__rid"))).dropDuplicates(["doc_id", "__key", "__own"])
+    return left.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,15 @@ def test_near_copies_by_five_words(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 1]
 
 
+def test_rows_without_words_stay(spark):
+    """Repeated rows are one document, but each row without words is one of its own."""
+    rows = [(None, None), (None, None), (None, ""), (1, ""), (1, ""), (1, " "), (2, "a b c"), (2, "a b c"), (None, "d e"), (None, "d e")]
+    left = corpus_pipeline.drop_near_duplicates(spark, table(spark, [t for _, t in rows], [i for i, _ in rows]), SF)
+    assert left.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert got == sorted([*rows[:6], rows[6], rows[8]], key=repr)
+
+
 def test_passages_are_cut(spark, folder):
     """A long document that quotes an item stays without the passage."""
     path, docs, _ = folder
