@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 from tidewire.llm import lm_score
-from tidewire.llm.lm_score import lm_scores
+from tidewire.llm.lm_score import lm_scores, ngram_scores
 from tidewire.llm.queries import ORACLE_SQL, QUERIES
 
 from ..oracle import compare, connect
@@ -58,3 +58,27 @@ def test_the_bounded_words(spark):
     table_ = spark.createDataFrame([(k, k) for k in range(1, 101)], "word long, f long")
     words, _ = lm_score._bounded(table_, 5050, 60)
     assert words.tolist() == list(range(85, 101)) and len(words) < 60
+
+
+def brute_ngrams(docs, order, least):
+    words = [re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for t in docs]
+    f = Counter(tuple(x[i : i + k]) for x in words for k in range(1, order + 1) for i in range(len(x) - k + 1))
+    f[()] = sum(map(len, words))
+
+    def s(gram):
+        if len(gram) == 1 or f[gram] >= least:
+            return math.log(f[gram] / f[gram[:-1]])
+        return math.log(0.4) + s(gram[1:])
+
+    return [(len(x), round(sum(s(tuple(x[max(0, i - order + 1) : i + 1])) for i in range(len(x))), 6)) for x in words]
+
+
+def test_any_order(spark):
+    docs = texts(1) + ODD + ["Über straße ÜBER x1 X1"]
+    for order, least in ((3, 1), (3, 2), (4, 3), (2, 2)):
+        got = ngram_scores(table(spark, docs).repartition(3), order, least=least).collect()
+        want = brute_ngrams(docs, order, least)
+        assert len(got) == len(docs)
+        assert all((r["n_words"], round(r["score"], 6)) == want[r["doc_id"]] for r in got)
+    assert want == brute(docs)
+    assert ngram_scores(empty(spark)).count() == 0

@@ -18,6 +18,9 @@ so their number is bounded), the others go to the unigram table by one more
 exchange. First words that alone would fill a good part of a partition (at most
 four times the number of partitions are such) are dealt out by both words.
 
+``ngram_scores`` takes any order, backs off level by level, and counts all
+n-grams unless ``least`` is more than 1. Its tables and joins are Spark's own.
+
 Null and empty texts, and texts without words, have n_words 0 and score 0.
 Repeated rows count and are scored one by one. An empty table gives no row.
 """
@@ -33,9 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, materialize, span_hashes, width, word_spans
+from .common import as_bytes, chunks, materialize, mix, span_hashes, width, with_row_id, word_spans
 
 BACKOFF, LEAST, COMMON = 0.4, 2, 500_000
+#: Words of the longest n-gram in ``ngram_scores``.
+ORDER = 3
 #: Bytes of text whose equal first words share a row, and n-grams that are counted together.
 CHUNK, TOGETHER = 24_000_000, 500_000
 #: Texts whose sums a task keeps before it gives them out.
@@ -209,3 +214,58 @@ def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, com
     value = F.col("value") + F.coalesce(F.log(F.col("f") / F.lit(float(total))), F.lit(0.0))
     sums = asked.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("score"))
     return sums.drop("rid")
+
+
+def _ngrams(order: int):
+    """For each word the hashes of the 1 to ``order`` words that end with it, and of each but its last word."""
+
+    def run(batches):
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            for a, b in chunks(texts):
+                word, at = hashed(texts[a:b])
+                n = len(word)
+                place = np.arange(n) - np.searchsorted(at, at)
+                grams, contexts = np.zeros((n, order), dtype=np.uint64), np.zeros((n, order), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    grams[:, 0] = word.view(np.uint64)
+                    for k in range(1, order):
+                        contexts[1:, k] = grams[:-1, k - 1]
+                        grams[:, k] = mix(contexts[:, k] * np.uint64(0x9E3779B97F4A7C15) + grams[:, 0] + np.uint64(k))
+                inside = place[:, None] >= np.arange(order)
+                starts = np.cumsum(inside.sum(axis=1)) - inside.sum(axis=1)
+                lists = [_lists(x[inside].view(np.int64), starts) for x in (grams, contexts)]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("__rid").to_numpy()[a:b][at]), *lists], ["rid", "grams", "contexts"])
+
+    return run
+
+
+def ngram_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = 1) -> DataFrame:
+    """(doc_id, n_words, score) for each row of ``docs`` (doc_id, text), under n-grams of up to ``order`` words.
+
+    n-grams of two words or more that occur less than ``least`` times back off,
+    each time by ``backoff``. With least = 1 those of the corpus itself never do.
+    """
+    held = materialize(with_row_id(docs.select("doc_id", "text")), "ngram-docs")
+    rows = materialize(held.mapInArrow(_ngrams(order), "rid long, grams array<long>, contexts array<long>"), "ngrams")
+    total, below, tables = float(rows.count() or 1), None, []
+    for k in range(order):
+        counted = rows.filter(F.size("grams") > k).select(F.col("grams")[k].alias("gram"), F.col("contexts")[k].alias("context"))
+        counts = materialize(counted.groupBy("gram").agg(F.min("context").alias("context"), F.count("*").alias("f")), "counts")
+        if k:
+            of = below.select(F.col("gram").alias("context"), F.col("f").alias("g"))
+            tables.append(counts.filter(F.col("f") >= least).join(of, "context").select("gram", F.log(F.col("f") / F.col("g")).alias("value")))
+        else:
+            tables.append(counts.select("gram", F.log(F.col("f") / F.lit(total)).alias("value")))
+        below = counts
+    sums, missed = None, None
+    for k in reversed(range(order)):
+        asked = rows.filter(F.size("grams") == k + 1).select("rid", "grams", F.lit(0.0).alias("back"))
+        asked = (asked if missed is None else asked.union(missed)).withColumn("gram", F.col("grams")[k])
+        met = materialize(asked.join(tables[k], "gram", "left").select("rid", "grams", "back", "value"), "met")
+        part = met.filter("value is not null").groupBy("rid").agg(F.sum(F.col("value") + F.col("back")).alias("score"), F.count("*").alias("n"))
+        sums = part if sums is None else sums.union(part)
+        missed = met.filter("value is null").select("rid", "grams", (F.col("back") + math.log(backoff)).alias("back"))
+    sums = sums.groupBy("rid").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+    out = held.drop("text").join(sums, F.col("__rid") == F.col("rid"), "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
