@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from tidewire.llm import toxicity
@@ -11,8 +12,9 @@ LABELS = "doc_id long, quality int, toxic int"
 def test_folding_and_phrases():
     assert folded_words("Y0u ID10T, m0r0n 2024 іdiot sc@m $$$ 3 a-b") == ["you", "idiot", "moron", "2024", "idiot", "scam", "3", "a", "b"]
     find = matcher({"trash": 2.0, "tra": 1.0, "clown": 3.0})
-    assert find("trash travel clown trash can".split()) == (3, 6.0)
-    assert find([]) == (0, 0.0)
+    assert find("trash travel clown trash can".split()) == {1: 2.0, 7: 1.0, 14: 3.0}
+    assert find([]) == {}
+    assert matcher({"trash": 2.0}, ("nice trash",))("trash nice trash".split()) == {1: 2.0}
 
 
 def test_held_out(spark):
@@ -51,3 +53,39 @@ def test_lexicon_is_bounded(spark, monkeypatch):
     docs = table(spark, [f"{'badone badtwo' if k % 2 else 'fine'} {k}" for k in range(80)])
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(80)], LABELS)
     assert len(toxicity.learn_lexicon(toxicity.training_rows(docs, labels))) == 1
+
+
+def brute(text, lexicon, exceptions):
+    """Hits word by word, phrases by plain comparison."""
+    words = folded_words(text)
+    spared = set()
+    for phrase in exceptions:
+        p = phrase.split()
+        for k in range(len(words) - len(p) + 1):
+            if words[k : k + len(p)] == p:
+                spared.update(range(k, k + len(p)))
+    weights = [max((w for p, w in lexicon.items() if x.startswith(p)), default=None) for x in words]
+    hits = [w for k, w in enumerate(weights) if w is not None and k not in spared]
+    return len(words), len(hits), round(sum(hits), 9)
+
+
+def test_brute_force(spark):
+    r = random.Random(4)
+    stems = ["id", "idi", "idiot", "moron", "tra", "trash", "clown"]
+    lexicon = {s: r.random() * 3 for s in stems}
+    exceptions = ("trash can", "class clown", "very big idiot", "idiot idiot")
+    vocabulary = [*stems, "idiotic", "1d10t", "m0r0n", "can", "class", "very", "big", "other", "travel", "іdiot", "-"]
+    docs = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(40))) for _ in range(150)] + ODD + [" ".join(r.choice(vocabulary) for _ in range(20_000))]
+    got = toxicity.measure(table(spark, docs), lexicon, exceptions).collect()
+    assert len(got) == len(docs)
+    assert all((g["n_words"], g["n_hits"], round(g["weight"], 9)) == brute(docs[g["doc_id"]], lexicon, exceptions) for g in got)
+
+
+def test_learned_exceptions(spark):
+    """A word that insults everywhere but beside one other word."""
+    docs = [f"you clown number {k}" if k % 2 else f"class clown number {k}" if k % 4 else f"fine day number {k}" for k in range(240)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(240)], LABELS)
+    rows = toxicity.training_rows(table(spark, docs), labels)
+    learned = toxicity.learn_exceptions(rows, {"clown": 2.0})
+    assert "class clown" in learned and not any(p.startswith("you") for p in learned)
+    assert toxicity.learn_exceptions(rows, {}) == ()

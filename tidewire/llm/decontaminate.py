@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -194,41 +195,60 @@ def cut(text: str | None, found: dict, window: int) -> str | None:
     return b"".join([*out, data[done:]]).decode()
 
 
-def _append(batch: pa.RecordBatch, rows: list[dict], text_col: str, text_to: str | None, window: int) -> list[pa.RecordBatch]:
-    table = pa.Table.from_batches([batch])
-    if text_to:
-        left = [cut(t, r, window) for t, r in zip(batch.column(text_col).to_pylist(), rows)]
-        table = table.select([c for c in table.column_names if c != text_to])
-    for name, kind in KINDS.items():
-        table = table.append_column(name, pa.array([r[name] for r in rows], kind))
-    return (table.append_column(text_to, pa.array(left, pa.string())) if text_to else table).to_batches()
+def _verdicts(rows: list[dict], texts: list[str | None] | None, window: int) -> list[pa.Array]:
+    """Columns of ``KINDS``, and the texts that something was cut out of (null: nothing)."""
+    left = [None] * len(rows)
+    if texts is not None:
+        for k, (t, r) in enumerate(zip(texts, rows)):
+            if r["spans"] and (now := cut(t, r, window)) is not t:
+                left[k] = now
+    return [*[pa.array([r[name] for r in rows], kind) for name, kind in KINDS.items()], pa.array(left, pa.string())]
 
 
-def _match(automaton: Automaton, text_col: str, text_to: str | None = None):
+CUT = "__cut"
+NAMES = [*KINDS, CUT]
+#: Texts that are taken out of an Arrow batch together.
+SLICE = 500
+
+
+def _matcher(automaton: Automaton, with_cut: bool):
     ids = automaton.ids
 
-    def run(batches):
-        for batch in batches:
+    def match(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            parts = []
+            for at in range(0, max(len(array), 1), SLICE):
+                some = array.slice(at, SLICE).to_pylist()
+                rows = []
+                for text in some:
+                    words = words_of(text)
+                    spans, items = automaton.scan(words)
+                    rows.append(judge(len(words), spans, {ids[k] for k in items if ids[k] is not None}))
+                parts.append(_verdicts(rows, some if with_cut else None, automaton.window))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], NAMES)
+
+    return match
+
+
+def _combiner(with_cut: bool, window: int):
+    def combine(inputs: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for counts, spans, items, texts in inputs:
             rows = []
-            for text in batch.column(text_col).to_pylist():
-                words = words_of(text)
-                spans, items = automaton.scan(words)
-                rows.append(judge(len(words), spans, {ids[k] for k in items if ids[k] is not None}))
-            yield from _append(batch, rows, text_col, text_to, automaton.window)
+            for n, parts, found in zip(counts.to_pylist(), spans.to_pylist(), items.to_pylist()):
+                rows.append(judge(n, [(s["first"], s["past"]) for part in parts for s in part], {i for part in found for i in part}))
+            yield pa.StructArray.from_arrays(_verdicts(rows, texts.to_pylist() if with_cut else None, window), NAMES)
 
-    return run
+    return combine
 
 
-def _combine(text_col: str, text_to: str | None, window: int):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for n, spans, items in zip(*(batch.column(c).to_pylist() for c in ("__n", "__spans", "__items"))):
-                rows.append(judge(n, [(s["first"], s["past"]) for part in spans for s in part], {i for part in items for i in part}))
-            own = batch.select([c for c in batch.schema.names if c not in ("__n", "__spans", "__items")])
-            yield from _append(own, rows, text_col, text_to, window)
-
-    return run
+def _judged(docs: DataFrame, udf, inputs: list[str], text_col: str, text_to: str | None) -> DataFrame:
+    """``docs`` with the columns of the UDF's struct. Only its inputs go to Python."""
+    call = F.arrow_udf(udf, f"{RESULT}, {CUT} string").asNondeterministic()  # not called anew for each use of its fields
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    docs = docs.select(*own, call(*[F.col(f"`{c}`") for c in inputs]).alias("__judged"))
+    out = [c for c, n in zip(own, docs.columns) if n not in ("__n", "__spans", "__items") and n != text_to]
+    out += [F.col(f"__judged.{n}").alias(n) for n in KINDS]
+    return docs.select(*out, *([F.coalesce(f"__judged.{CUT}", F.col(f"`{text_col}`")).alias(text_to)] if text_to else []))
 
 
 def decontaminate(
@@ -239,7 +259,7 @@ def decontaminate(
     Columns of ``docs`` named like a result are replaced. With ``text_to``, that
     column gets the text without the spans over a limit.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in KINDS])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in KINDS])
     blocks, block, size = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
         words = words_of(row["t"])
@@ -249,16 +269,15 @@ def decontaminate(
         block.append((row["i"], words))
         size += len(words)
     blocks.append(block)
-    schema = "".join(f"`{n}` {t}, " for n, t in docs.dtypes if n != text_to) + RESULT + (f", `{text_to}` string" if text_to else "")
     if len(blocks) == 1:
-        return docs.mapInArrow(_match(Automaton(block, window), text_col, text_to), schema)
+        return _judged(docs, _matcher(Automaton(block, window), bool(text_to)), [text_col], text_col, text_to)
     held = materialize(with_row_id(docs), "decontaminate")
     found = None
     for block in blocks:
-        part = held.select("__rid", text_col).mapInArrow(_match(Automaton(block, window), text_col), f"__rid long, `{text_col}` string, {RESULT}")
+        part = _judged(held.select("__rid", text_col), _matcher(Automaton(block, window), False), [text_col], text_col, None)
         part = part.select("__rid", "n_words", "spans", "items")
         found = part if found is None else found.union(part)
     merged = found.groupBy("__rid").agg(
         F.max("n_words").alias("__n"), F.collect_list("spans").alias("__spans"), F.collect_list("items").alias("__items")
     )
-    return held.join(merged, "__rid").drop("__rid").mapInArrow(_combine(text_col, text_to, window), schema)
+    return _judged(held.join(merged, "__rid").drop("__rid"), _combiner(bool(text_to), window), ["__n", "__spans", "__items", text_col], text_col, text_to)

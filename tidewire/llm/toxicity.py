@@ -8,14 +8,19 @@ weight, plain and in proportion to the text's length, goes through a logistic
 curve.
 
 The lexicon holds word beginnings that are much more frequent in toxic
-training documents (weight: the log of the ratio of the two frequencies). It
-and the curve are learned from at most ``SAMPLE`` labelled rows, chosen by a
-hash of their id among those that are not held out; this bound is the fitting
-sample's alone, every document is scored.
+training documents (weight: the log of the ratio of the two frequencies).
+Exception phrases are a hit word with a neighbour that clean training documents
+have together so often, and toxic ones never, that the word's own frequencies
+don't explain it; a few fixed ones stand beside them. All this and the curve
+are learned from at most ``SAMPLE`` labelled rows, chosen by a hash of their id
+among those that are not held out; this bound is the fitting sample's alone,
+every document is scored.
 
 Null and empty texts have no hits and get the score of any text without hits.
 Repeated rows are scored one by one. Without labels, or toxic ones among them,
-all scores are 0. Other columns of the tables are never used.
+all scores are 0. Very long texts are scored whole. An empty table gives no
+row. Other columns of the tables are never used; those named like a result are
+replaced. Only texts go to Python; the rest of a row stays where it is.
 """
 
 from __future__ import annotations
@@ -23,12 +28,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Labelled rows that are read for fitting, and patterns kept of them, at most.
 SAMPLE = 20_000
 PATTERNS = 2_000
@@ -38,6 +46,8 @@ SHORTEST, LONGEST = 3, 12
 SUPPORT, LEAST_WEIGHT = 3, 1.6
 #: Least likelihood-ratio statistic of a pattern (about one in ten thousand by chance).
 EVIDENCE = 15.0
+#: Exception phrases that are learned, at most.
+PHRASES = 2_000
 #: Words added to a length, so that one hit in a very short text isn't everything.
 SLACK = 20
 
@@ -71,20 +81,20 @@ def beginnings(words: list[str]) -> set[str]:
     return {w[:n] for w in distinct for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
 
 
-def matcher(lexicon: dict[str, float]):
-    """words -> (hits, summed weight)."""
+def matcher(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
+    """words -> weight of each hit that counts, by its place in the words' text (from 1)."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
     for pattern, weight in lexicon.items():
         automaton.add_word(f" {pattern}", (len(pattern), weight))
-    for phrase in EXCEPTIONS:
+    for phrase in exceptions:
         automaton.add_word(f" {phrase} ", (len(phrase), None))
     automaton.make_automaton()
 
-    def find(words: list[str]) -> tuple[int, float]:
+    def find(words: list[str]) -> dict[int, float]:
         best: dict[int, float] = {}
-        spared = []
+        spared: list[tuple[int, int]] = []
         for end, (size, weight) in automaton.iter(f" {' '.join(words)} "):
             if weight is None:
                 spared.append((end - size, end))
@@ -93,7 +103,7 @@ def matcher(lexicon: dict[str, float]):
                 best[at] = max(best.get(at, 0.0), weight)
         if spared:
             best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
-        return len(best), math.fsum(best.values())
+        return best
 
     return find
 
@@ -160,26 +170,66 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     return dict(sorted(kept.items(), key=lambda x: (-good[x[0]][1], x[0]))[:PATTERNS])
 
 
-def measure(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` (but the results' names) with hits, weight and density."""
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    docs = docs.select(*[c for c in docs.columns if c not in names])
+def _phrases(lexicon: dict[str, float]):
+    """Each hit word alone and with the word before or after it: the clean and the toxic documents that have it."""
 
     def run(batches):
-        find = matcher(lexicon)
+        find = matcher(lexicon, ())
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            rows = []
-            for text in batch.column(text_col).to_pylist():
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 words = folded_words(text)
-                hits, total = find(words)
-                rows.append((len(words), hits, total, 100 * total / (len(words) + SLACK)))
-            table = pa.Table.from_batches([batch])
-            for k, name in enumerate(names):
-                table = table.append_column(name, pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()))
-            yield from table.to_batches()
+                place, found, at = {}, set(), 1
+                for k, w in enumerate(words):
+                    place[at] = k
+                    at += len(w) + 1
+                for k in map(place.__getitem__, find(words)):
+                    found.add((words[k], words[k]))
+                    found.update((words[k], f"{a} {b}") for a, b in zip(words[max(0, k - 1) : k + 1], words[max(1, k) : k + 2]))
+                counts[toxic > 0].update(found)
+        rows = [(*k, counts[0][k], counts[1][k]) for k in counts[0].keys() | counts[1].keys()]
+        w, p, a, b = zip(*rows) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(p, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["word", "phrase", "clean", "toxic"])
+
+    return run
+
+
+def learn_exceptions(rows: DataFrame, lexicon: dict[str, float]) -> tuple[str, ...]:
+    """Phrases that only clean documents have, more often than chance would allow. Bounded by the fitting sample."""
+    if not lexicon:
+        return ()
+    counts = rows.mapInArrow(_phrases(lexicon), "word string, phrase string, clean long, toxic long").groupBy("word", "phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    alone = counts.filter("word = phrase").select("word", ((F.col("toxic") + 0.5) / (F.col("clean") + F.col("toxic") + 1)).alias("share"))
+    evidence = -2 * F.col("clean") * F.log(1 - F.col("share"))
+    good = counts.filter("word != phrase and toxic = 0").join(alone, "word").withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE)
+    return tuple(r["phrase"] for r in good.groupBy("phrase").agg(F.max("evidence").alias("e")).orderBy(F.desc("e"), "phrase").limit(PHRASES).collect())
+
+
+#: Texts that are taken out of an Arrow batch together.
+SLICE = 500
+
+
+def measure(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` (but the results' names) with hits, weight and density."""
+    names = [c.split()[0] for c in RESULT.split(", ")]
+
+    def measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find = matcher(lexicon, exceptions)
+        for array in texts:
+            rows = []
+            for at in range(0, len(array), SLICE):
+                for text in array.slice(at, SLICE).to_pylist():
+                    words = folded_words(text)
+                    found = find(words)
+                    total = math.fsum(found.values())
+                    rows.append((len(words), len(found), total, 100 * total / (len(words) + SLACK)))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names)
 
-    own = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{own}, {RESULT}")
+    # Not called anew for each use of its fields.
+    call = F.arrow_udf(measured, RESULT).asNondeterministic()
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], call(F.col(f"`{text_col}`")).alias("__measured"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "__measured"], *[F.col(f"__measured.{n}").alias(n) for n in names])
 
 
 def fit_curve(measured: DataFrame) -> list[float] | None:
@@ -212,9 +262,11 @@ def score(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, text_col
     All columns of ``docs`` with n_words, n_hits, weight, density, held_out,
     score and predicted (1 from a score of 0.5).
     """
-    rows = training_rows(labelled_docs, labels)
+    # At most SAMPLE rows, read four times.
+    rows = materialize(training_rows(labelled_docs, labels), "labelled")
     lexicon = learn_lexicon(rows)
-    beta = fit_curve(measure(rows, lexicon))
-    docs = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")])
-    out = measure(docs, lexicon, text_col).withColumn("score", score_column(beta))
+    exceptions = EXCEPTIONS + learn_exceptions(rows, lexicon)
+    beta = fit_curve(measure(rows, lexicon, exceptions))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")])
+    out = measure(docs, lexicon, exceptions, text_col).withColumn("score", score_column(beta))
     return out.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
