@@ -1,7 +1,11 @@
 """From raw documents to token ids: five of the corpus operators in a row.
 
 Each stage's result is written as Parquet and read again by the next. All
-stages but the last return the columns of their documents.
+stages but the last return the columns of their documents, whatever the other
+columns' names: they are carried as one and never used. Null and empty texts
+stay in every stage (null becomes empty where a stage rewrites the text) and
+end without ids. Repeated rows are copies: one stays. Texts of any length are
+taken whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,20 +18,21 @@ from tidewire.llm.common import materialize
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """doc_id and text beside the whole row, so that no column can clash with a result."""
-    return docs.select(F.struct("*").alias("__row"), "doc_id", "text")
+    """doc_id and text beside all other columns as one, so that no column can clash with a result."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select((F.struct(*rest) if rest else F.lit(None)).alias("__row"), "doc_id", "text")
 
 
-def _with_text(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The carried rows with the text of ``out``."""
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"__row.`{c}`") for c in docs.columns])
+def _whole(out: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """The carried rows as columns of ``docs`` again; ``changed``: with n_chars of the text of ``out``."""
+    now = {"doc_id": F.col("doc_id"), "text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if changed else {})
+    return out.select(*[now[c].alias(c) if c in now else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity lexicon rejects go."""
+    """Documents that the toxicity lexicon rejects go. Rows without text stay, as any without hits."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(_carried(docs), docs, labels).filter("predicted = 0").select("__row.*")
+    return _whole(toxicity.score(_carried(docs), docs, labels).filter("predicted = 0"), docs)
 
 
 #: Words of a shingle in the near-duplicate stage; the query op4_near_duplicates takes two.
@@ -42,24 +47,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = judged.filter("first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__other"), F.col("words").alias("__words"))
     counts = judged.agg(F.count("*").alias("rows"), F.count_distinct(F.struct("doc_id", "text_key")).alias("different")).first()
     repeated = counts["rows"] > counts["different"]
-    left = docs.withColumns({"__key": keys, "__rid": F.monotonically_increasing_id()})
+    left = _carried(docs).withColumns({"__key": keys, "__rid": F.monotonically_increasing_id()})
     kept = kept.distinct() if repeated else kept
     left = left.join(kept, left["doc_id"].eqNullSafe(kept["__id"]) & (left["__key"] == kept["__other"]))
     if repeated:
         # Rows that are repeated with id and text: one of them stays, but all without words.
         left = left.withColumn("__own", F.when(~F.col("__words"), F.col("__rid"))).dropDuplicates(["doc_id", "__key", "__own"])
-    return left.select(*docs.columns)
+    return _whole(left, docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that occur more than once go; every document stays, with the text that is left."""
-    return _with_text(repeats.Repeats(_carried(docs)).removed(text_to="text"), docs)
+    """Byte strings that occur more than once go; every document stays, with the text that is left (empty for null)."""
+    return _whole(repeats.Repeats(_carried(docs)).removed(text_to="text"), docs, True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items beyond the coverage limit go; passages beyond the length limit are cut out of the others."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _with_text(decontaminate.decontaminate(_carried(docs), benchmark, text_to="text").filter("not contaminated"), docs)
+    return _whole(decontaminate.decontaminate(_carried(docs), benchmark, text_to="text").filter("not contaminated"), docs, True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
