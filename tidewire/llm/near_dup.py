@@ -10,13 +10,19 @@ every pair under that distance is a candidate; a pair of similarity 0.8 goes
 beyond it with a probability below 1e-4, and even then mostly shares a key (all
 chunks must differ twice: 1.1e-6). Links are confirmed on the full sets.
 
+Each class also has an odd sketch of its full set: as many bits as a few times
+its shingles, each the parity of the shingles that fall on it. The number of
+bits in which two sketches differ never exceeds the number of shingles that are
+in one set alone, so a pair whose sketches differ in too many bits can't reach
+the similarity; such pairs are left out before any text moves.
+
 Within the classes of one key, links are sought from star centres first; what
 those connect needs no pairs among itself. Keys that still hold several
-components get one more centre, the class with the fewest shingles of its own,
-and finally the pairs across their components, so that no link that could join
-components is lost and no group is expanded into all its pairs. Those last
-steps leave out pairs that can't reach the similarity because of the shingles
-that no other class in question has.
+components compare the sketches across these, in blocks that are dealt out, and
+give a spanning forest of the pairs that may link: no more pairs than classes.
+What is confirmed joins components, what isn't is not asked again, and this goes
+on until no pair that may link two components is left. So no link that could
+join components is lost and no group is expanded into all its pairs.
 
 Sets of fewer than 4 shingles reach 0.8 only when equal, so those classes make
 no candidates. Null and empty texts have no set and link with nothing. Repeated
@@ -27,6 +33,7 @@ least id reachable, null if there is none. An empty table gives no row.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +57,16 @@ STAR = 1000
 STARS = 3
 #: Rows that a task takes on with ease.
 ROWS = 100_000
+#: Bits of an odd sketch for each shingle, and of the smallest sketch.
+SKETCH, LEAST_BITS = 2, 256
+#: Members of a key, and bytes of their sketches, that are compared in one task; larger keys are dealt out.
+BLOCK, BLOCK_BYTES = 8_192, 8_000_000
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 
-CLASSES = "rid long, doc_id long, text_key binary, n_shingles long, set_key binary, signature binary"
+CLASSES = "rid long, doc_id long, text_key binary, n_shingles long, set_key binary, signature binary, sketch binary"
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -96,6 +107,28 @@ def signature(values: np.ndarray) -> bytes:
         return (mix(least) & np.uint64(2**BITS - 1)).astype("<u2").tobytes()
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Parities of the values by their lowest bits."""
+    bits = LEAST_BITS
+    while bits < SKETCH * len(values):
+        bits *= 2
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketches (64-bit words) made as short as ``size``, by adding halves."""
+    while sketches.shape[1] > size:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def may_link(apart, n_shingles, percent: int):
+    """Whether sets of ``n_shingles`` together can link if ``apart`` or more shingles are in one of them alone."""
+    return (100 + percent) * apart <= (100 - percent) * n_shingles
+
+
 def _describe(shingle: int):
     def run(batches):
         for whole in batches:
@@ -103,10 +136,10 @@ def _describe(shingle: int):
                 batch = whole.slice(at, 1000)
                 sets = shingle_sets(as_bytes(batch.column("text")), shingle)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                signs = [signature(s) if len(s) >= LEAST_SET else None for s in sets]
+                signs, sketches = ([f(s) if len(s) >= LEAST_SET else None for s in sets] for f in (signature, sketch))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rid"), batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-                    ["rid", "doc_id", "text_key", "n_shingles", "set_key", "signature"],
+                    [batch.column("rid"), batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in (keys, signs, sketches)]],
+                    ["rid", "doc_id", "text_key", "n_shingles", "set_key", "signature", "sketch"],
                 )
 
     return run
@@ -174,15 +207,99 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return ordered.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
-def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame | None:
-    """(node, component) of the class graph, for the classes that have links; ``classes`` has node, text_key, signature and n, ``texts`` text_key and text."""
+def _possible(percent: int):
+    """Whether the sketches of two classes leave room for a link."""
+
+    def possible(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for first, second, n, m in columns:
+            out = []
+            for a, b, size in zip(first.to_pylist(), second.to_pylist(), (n.to_numpy() + m.to_numpy()).tolist()):
+                a, b = sorted((a, b), key=len)
+                x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+                while bits > 8 * len(a):
+                    bits //= 2
+                    y = (y >> bits) ^ (y & ((1 << bits) - 1))
+                out.append(may_link((x ^ y).bit_count(), size, percent))
+            yield pa.array(out, pa.bool_())
+
+    return possible
+
+
+def forest(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, n: np.ndarray, sketches: list[bytes], failed: dict[int, list[int]], percent: int):
+    """Pairs (node, node) that may link different components, no more of them than join what they can join.
+
+    With ``side``, only nodes of different sides are compared. ``failed`` has,
+    for places in ``nodes``, nodes that are known not to link.
+    """
+    labels = np.unique(labels, return_inverse=True)[1]
+    place = {v: k for k, v in enumerate(nodes.tolist())} if failed else {}
+    size = np.array([len(x) for x in sketches])
+    groups = {}
+    for bytes_ in np.unique(size):
+        at = np.flatnonzero(size == bytes_)
+        groups[bytes_ // 8] = at, np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), -1)
+    for words, (at, own) in sorted(groups.items()):
+        for other, (to, theirs) in sorted(groups.items()):
+            if other < words or percent * other > 200 * words:  # sets that link differ less in size
+                continue
+            theirs = folded(theirs, words)
+            step = max(1, 2_000_000 // theirs.size)
+            for begin in range(0, len(at), step):
+                some = at[begin : begin + step]
+                apart = np.bitwise_count(own[begin : begin + step, None] ^ theirs[None]).sum(axis=2, dtype=np.int64)
+                total = n[some, None] + n[None, to]
+                good = may_link(apart, total, percent) & (labels[some, None] != labels[None, to])
+                if side is not None:
+                    good &= side[some, None] != side[None, to]
+                for k, i in enumerate(some.tolist()):
+                    for v in failed.get(i, ()):
+                        if v in place:
+                            good[k] &= to != place[v]
+                x, y = np.nonzero(good)
+                # The likeliest first.
+                for k in np.argsort(apart[x, y] / total[x, y], kind="stable").tolist():
+                    i, j = some[x[k]], to[y[k]]
+                    if labels[i] != labels[j]:
+                        labels[labels == labels[j]] = labels[i]
+                        yield int(nodes[i]), int(nodes[j])
+
+
+def _forests(percent: int):
+    """Forests of the groups (key, one, two): the members of blocks ``one`` and ``two`` of a key."""
+
+    def run(batches):
+        now, rows = None, []
+
+        def close():
+            nodes, labels, block, n, sketches, failed = zip(*rows)
+            if len(set(labels)) < 2:
+                return None
+            side = np.array(block) if now[1] != now[2] else None
+            gone = {k: f for k, f in enumerate(failed) if f}
+            pairs = list(forest(np.array(nodes), np.array(labels), side, np.array(n), list(sketches), gone, percent))
+            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], ["node", "centre"])
+
+        for batch in batches:
+            for key, one, two, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "one", "two", "node", "component", "block", "n", "sketch", "failed"))):
+                if (key, one, two) != now:
+                    if rows and (out := close()):
+                        yield out
+                    now, rows = (key, one, two), []
+                rows.append(row)
+        if rows and (out := close()):
+            yield out
+
+    return run
+
+
+def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the class graph, for the classes that have links; ``classes`` has node, text_key, signature, sketch and n, ``texts`` text_key and text."""
     keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
     # Written first, so that the join's sides are plain exchanges and skewed keys can be split.
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     nodes = buckets.select("node").distinct()
-    wanted = materialize(classes.join(nodes, "node").select("node", "text_key", "signature", "n"), "signatures")
-    signs = wanted.select("node", "signature")
+    wanted = materialize(classes.join(nodes, "node").select("node", "text_key", "signature", "sketch", "n"), "signatures")
     # Copies of a text come more than once; one does.
     texts = texts.join(wanted.select("node", "text_key"), "text_key").groupBy("text_key", "node").agg(F.first("text").alias("text"))
     texts = materialize(texts.select("node", "text"), "texts")
@@ -190,67 +307,48 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     parts = max(8, min(width(classes.sparkSession), n_rows // ROWS + 1))
     fit = lambda df: df.coalesce(parts)
 
-    def named(facts: DataFrame, node: str, mark: str) -> DataFrame:
-        return facts.select(F.col("node").alias(node), *[F.col(c).alias(c + mark) for c in facts.columns if c != "node"])
+    def named(columns: list[str], node: str, mark: str) -> DataFrame:
+        return wanted.select(F.col("node").alias(node), *[F.col(c).alias(c + mark) for c in columns])
 
-    def linked(pairs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Labels with the links among ``pairs``, and the members of keys that still hold several components."""
-        found = confirm(pairs, texts, shingle, percent)
-        if labels is not None:
-            found = found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = materialize(fit(components(found)), "labels")
-        now = fit(buckets.join(labels, "node", "left")).withColumn("component", F.coalesce("component", "node"))
+    def reopened(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those members of keys that still hold several components."""
+        now = fit(members.join(labels, "node", "left")).withColumn("component", F.coalesce("component", "node"))
         many = fit(now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))).filter("x < y").select("key")
-        return labels, materialize(fit(now.join(many, "key")).select("key", "node", "component"), "open")
+        return materialize(fit(now.join(many, "key")).select("key", "node", "component"), "open")
 
-    # First stars: centres by the order of nodes and by two hashes.
+    # Stars: centres by the order of nodes and by two hashes.
     orders = [F.struct((F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias("o"), "node") for k in range(STARS)]
     centres = fit(buckets.groupBy("key").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("c"))).select("key", F.explode("c").alias("centre"))
     pairs = buckets.join(centres, "key").filter("node != centre").select("node", "centre").distinct()
     near = _distance("signature_c", "signature_n") <= FAR
-    pairs = pairs.join(named(signs, "centre", "_c"), "centre").join(named(signs, "node", "_n"), "node").filter(near).select("node", "centre")
-    tried = materialize(pairs, "pairs")
-    labels, open_keys = linked(tried, None)
-    if open_keys.isEmpty():
-        return labels
-
-    # Shingles that no other open class has can't be shared: with u of n, a pair shares min(n - u) at most.
-    still = texts.join(open_keys.select("node").distinct(), "node")
-    alone = still.mapInArrow(_shingles(shingle), "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
-    facts = wanted.select("node", "signature", "n").join(alone.groupBy("node").agg(F.count("*").alias("u")), "node", "left")
-    facts = materialize(facts.join(open_keys.select("node").distinct(), "node").withColumn("u", F.coalesce("u", F.lit(0))), "facts")
-    most = F.least(F.col("n_c") - F.col("u_c"), F.col("n_n") - F.col("u_n"))
-    likely = near & (100 * most >= percent * (F.col("n_c") + F.col("n_n") - most))
-
-    def candidates(centres: DataFrame, apart) -> DataFrame:
-        members = open_keys.join(named(facts, "node", "_n"), "node")
-        middle = centres.join(named(facts, "centre", "_c"), "centre")
-        close = members.join(middle, (members["key"] == middle["key"]) & apart & likely)
-        return materialize(fit(close.select("node", "centre").distinct()).join(tried, ["node", "centre"], "left_anti"), "pairs")
-
-    # More stars, around the classes with the fewest shingles of their own.
-    own = F.struct((F.col("u") / F.col("n")).alias("o"), "node")
-    ranked = open_keys.join(facts.select("node", "n", "u"), "node").groupBy("key").agg(F.min(own)["node"].alias("centre"))
-    pairs = candidates(fit(ranked), F.col("node") != F.col("centre"))
-    if not pairs.isEmpty():
-        tried = tried.union(pairs)
-        labels, open_keys = linked(pairs, labels)
-    # What is left: the pairs across components.
-    other = open_keys.select("key", F.col("node").alias("centre"), F.col("component").alias("to"))
-    pairs = candidates(other, F.col("component") < F.col("to"))
-    return labels if pairs.isEmpty() else linked(pairs, labels)[0]
-
-
-def _shingles(shingle: int):
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = shingle_sets(as_bytes(batch.column("text")), shingle)
-                node = np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
-
-    return run
+    pairs = pairs.join(named(["signature"], "centre", "_c"), "centre").join(named(["signature"], "node", "_n"), "node").filter(near).select("node", "centre")
+    pairs = materialize(pairs, "near").join(named(["sketch", "n"], "centre", "_c"), "centre").join(named(["sketch", "n"], "node", "_n"), "node")
+    possible = F.arrow_udf(_possible(percent), "boolean")
+    pairs = materialize(pairs.filter(possible("sketch_c", "sketch_n", "n_c", "n_n")).select("node", "centre"), "pairs")
+    labels = materialize(fit(components(confirm(pairs, texts, shingle, percent))), "labels")
+    open_keys, failed = reopened(buckets, labels), None
+    while not open_keys.isEmpty():
+        # Across components: a key's members in blocks, each with each.
+        blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+        members = open_keys.join(wanted.select("node", "n", "sketch"), "node")
+        members = members.withColumn("failed", F.lit(None).cast("array<long>")) if failed is None else members.join(failed, "node", "left")
+        members = materialize(members, "members")
+        sizes = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.length("sketch")).alias("bytes")).select("key", blocks.alias("blocks"))
+        dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumns({"one": F.least("block", "with"), "two": F.greatest("block", "with")}).drop("with", "blocks")
+        groups = dealt.repartition(width(classes.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two")
+        pairs = materialize(groups.mapInArrow(_forests(percent), "node long, centre long").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        found = materialize(confirm(pairs, texts, shingle, percent), "found")
+        lost = pairs.join(found, (pairs["node"] == found["a"]) & (pairs["centre"] == found["b"]), "left_anti")
+        lost = lost.union(lost.select("centre", "node")).groupBy("node").agg(F.collect_set("centre").alias("failed"))
+        if failed is not None:
+            lost = lost.union(failed).groupBy("node").agg(F.flatten(F.collect_list("failed")).alias("failed"))
+        failed = materialize(fit(lost), "failed")
+        labels = materialize(fit(components(found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))), "labels")
+        open_keys = reopened(open_keys.select("key", "node"), labels)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -262,14 +360,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     docs = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"))
     described = materialize(with_row_id(docs, "rid").mapInArrow(_describe(shingle), CLASSES), "described")
-    classes = described.filter("set_key is not null").groupBy("set_key").agg(F.min_by(F.struct("rid", "text_key", "signature", "n_shingles"), "rid").alias("c"))
-    classes = materialize(classes.select("set_key", F.col("c.rid").alias("node"), F.col("c.text_key").alias("text_key"), F.col("c.signature").alias("signature"), F.col("c.n_shingles").alias("n")), "classes")
+    classes = described.filter("set_key is not null").groupBy("set_key").agg(F.min_by(F.struct("rid", "text_key", "signature", "sketch", "n_shingles"), "rid").alias("c"))
+    classes = materialize(classes.select("set_key", F.col("c.rid").alias("node"), F.col("c.text_key").alias("text_key"), F.col("c.signature").alias("signature"), F.col("c.sketch").alias("sketch"), F.col("c.n_shingles").alias("n")), "classes")
     labels = links(classes.filter("signature is not null"), docs.select("text_key", "text"), shingle, percent)
     grouped = classes.select("set_key", "node")
-    if labels is None:
-        grouped = grouped.withColumn("component", F.col("node"))
-    else:
-        grouped = grouped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = grouped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = described.join(grouped, "set_key", "left").select("rid", "doc_id", "text_key", "n_shingles", F.col("node").alias("class_id"), F.coalesce("component", "rid").alias("group_id"))
     rows = materialize(rows, "members")
     least = rows.groupBy("group_id").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("f"))
