@@ -20,8 +20,9 @@ Within the classes of one key, links are sought from star centres first; what
 those connect needs no pairs among itself. Keys that still hold several
 components compare the sketches across these, in blocks that are dealt out, and
 give a spanning forest of the pairs that may link: no more pairs than classes.
-What is confirmed joins components, what isn't is not asked again, and this goes
-on until no pair that may link two components is left. So no link that could
+What is confirmed joins components, what isn't is not asked again (some more
+pairs of the same classes are, instead), and this goes on until no pair that may
+link two components is left. So no link that could
 join components is lost and no group is expanded into all its pairs.
 
 Sets of fewer than 4 shingles reach 0.8 only when equal, so those classes make
@@ -225,13 +226,15 @@ def _possible(percent: int):
     return possible
 
 
-def forest(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, n: np.ndarray, sketches: list[bytes], failed: dict[int, list[int]], percent: int):
+def forest(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, n: np.ndarray, sketches: list[bytes], failed: dict[int, list[int]], percent: int, more: int = 0):
     """Pairs (node, node) that may link different components, no more of them than join what they can join.
 
     With ``side``, only nodes of different sides are compared. ``failed`` has,
-    for places in ``nodes``, nodes that are known not to link.
+    for places in ``nodes``, nodes that are known not to link. ``more`` further
+    pairs of each node are given out, the likeliest ones.
     """
     labels = np.unique(labels, return_inverse=True)[1]
+    before = labels.copy()
     place = {v: k for k, v in enumerate(nodes.tolist())} if failed else {}
     size = np.array([len(x) for x in sketches])
     groups = {}
@@ -248,14 +251,19 @@ def forest(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, n: np
                 some = at[begin : begin + step]
                 apart = np.bitwise_count(own[begin : begin + step, None] ^ theirs[None]).sum(axis=2, dtype=np.int64)
                 total = n[some, None] + n[None, to]
-                good = may_link(apart, total, percent) & (labels[some, None] != labels[None, to])
+                good = may_link(apart, total, percent) & (before[some, None] != before[None, to])
                 if side is not None:
                     good &= side[some, None] != side[None, to]
                 for k, i in enumerate(some.tolist()):
                     for v in failed.get(i, ()):
                         if v in place:
                             good[k] &= to != place[v]
-                x, y = np.nonzero(good)
+                if more:
+                    for k in np.flatnonzero(good.any(axis=1)).tolist():
+                        y = np.flatnonzero(good[k])
+                        for j in to[y[np.argsort(apart[k, y] / total[k, y], kind="stable")[:more]]]:
+                            yield int(nodes[some[k]]), int(nodes[j])
+                x, y = np.nonzero(good & (labels[some, None] != labels[None, to]))
                 # The likeliest first.
                 for k in np.argsort(apart[x, y] / total[x, y], kind="stable").tolist():
                     i, j = some[x[k]], to[y[k]]
@@ -264,7 +272,7 @@ def forest(nodes: np.ndarray, labels: np.ndarray, side: np.ndarray | None, n: np
                         yield int(nodes[i]), int(nodes[j])
 
 
-def _forests(percent: int):
+def _forests(percent: int, more: int):
     """Forests of the groups (key, one, two): the members of blocks ``one`` and ``two`` of a key."""
 
     def run(batches):
@@ -276,7 +284,7 @@ def _forests(percent: int):
                 return None
             side = np.array(block) if now[1] != now[2] else None
             gone = {k: f for k, f in enumerate(failed) if f}
-            pairs = list(forest(np.array(nodes), np.array(labels), side, np.array(n), list(sketches), gone, percent))
+            pairs = list(forest(np.array(nodes), np.array(labels), side, np.array(n), list(sketches), gone, percent, more))
             return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], ["node", "centre"])
 
         for batch in batches:
@@ -326,7 +334,7 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     possible = F.arrow_udf(_possible(percent), "boolean")
     pairs = materialize(pairs.filter(possible("sketch_c", "sketch_n", "n_c", "n_n")).select("node", "centre"), "pairs")
     labels = materialize(fit(components(confirm(pairs, texts, shingle, percent))), "labels")
-    open_keys, failed = reopened(buckets, labels), None
+    open_keys, failed, more = reopened(buckets, labels), None, 0
     while not open_keys.isEmpty():
         # Across components: a key's members in blocks, each with each.
         blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
@@ -337,17 +345,20 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
         dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"one": F.least("block", "with"), "two": F.greatest("block", "with")}).drop("with", "blocks")
         groups = dealt.repartition(width(classes.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two")
-        pairs = materialize(groups.mapInArrow(_forests(percent), "node long, centre long").distinct(), "pairs")
+        pairs = materialize(groups.mapInArrow(_forests(percent, more), "node long, centre long").distinct(), "pairs")
         if pairs.isEmpty():
             break
         found = materialize(confirm(pairs, texts, shingle, percent), "found")
+        # Where the forest's pairs don't link, others may; more of them are asked each time.
+        more = 16 * more or 16
         lost = pairs.join(found, (pairs["node"] == found["a"]) & (pairs["centre"] == found["b"]), "left_anti")
         lost = lost.union(lost.select("centre", "node")).groupBy("node").agg(F.collect_set("centre").alias("failed"))
         if failed is not None:
             lost = lost.union(failed).groupBy("node").agg(F.flatten(F.collect_list("failed")).alias("failed"))
         failed = materialize(fit(lost), "failed")
-        labels = materialize(fit(components(found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))), "labels")
-        open_keys = reopened(open_keys.select("key", "node"), labels)
+        if not found.isEmpty():
+            labels = materialize(fit(components(found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))), "labels")
+            open_keys = reopened(open_keys.select("key", "node"), labels)
     return labels
 
 
