@@ -1,13 +1,17 @@
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from tidewire.llm import lm_score
 from tidewire.llm.lm_score import lm_scores, ngram_scores
 from tidewire.llm.queries import ORACLE_SQL, QUERIES
 
 from ..oracle import compare, connect
-from .data import ODD, SF, empty, table, texts
+from .data import ODD, SF, empty, sentence, table, texts
 
 
 def brute(docs):
@@ -19,7 +23,7 @@ def brute(docs):
     for x in words:
         s = math.log(uni[x[0]] / n) if x else 0.0
         for p in zip(x, x[1:]):
-            s += math.log(bi[p] / uni[p[0]]) if bi[p] >= 2 else math.log(0.4 * uni[p[1]] / n)
+            s += math.log(bi[p] / uni[p[0]])
         out.append((len(x), round(s, 6)))
     return out
 
@@ -33,9 +37,11 @@ def check(spark, docs, **kw):
 
 
 def test_brute_force(spark):
-    docs = texts(1) + ODD + ["Über straße ÜBER x1 X1"]
+    r = random.Random(2)
+    docs = texts(1) + ODD + ["Über straße ÜBER x1 X1", sentence(r, 20_000, 900), "pair word " * 5000]
     check(spark, docs)
-    check(spark, docs, heavy=10_000, common=5)  # all first words are dealt out by both words, few counts are sent along
+    check(spark, docs, heavy=10_000)  # all first words are dealt out by both words
+    check(spark, docs, heavy=1)  # none is
 
 
 def test_twin(spark):
@@ -48,10 +54,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert lm_scores(empty(spark)).count() == 0
 
 
-def test_counts_across_batches(spark, monkeypatch):
-    """Groups of n-grams that come in several batches are counted whole."""
-    monkeypatch.setattr(lm_score, "TOGETHER", 10)
-    check(spark, texts(3))
+def test_small_chunks(monkeypatch):
+    """Rows of many small chunks and packs hold the same bigrams as one."""
+
+    def grams(docs):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(docs)), pa.int64()), "text": docs})
+        found = Counter()
+        for out in lm_score._grams(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)([batch]):
+            for row in out.to_pylist():
+                begin = 0
+                for second, end in zip(row["seconds"], row["ends"]):
+                    found.update((row["first"], second, row["base"] + t) for t in row["texts"][begin:end])
+                    begin = end
+        return found
+
+    monkeypatch.setattr(lm_score, "TaskContext", type("Task", (), {"get": lambda: type("T", (), {"partitionId": lambda self: 0})()}))
+    docs = texts(3) + ODD
+    whole = grams(docs)
+    monkeypatch.setattr(lm_score, "CHUNK", 500)
+    monkeypatch.setattr(lm_score, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(lm_score, "PACKED", 2)
+    assert grams(docs) == whole and sum(whole.values()) > 1000
 
 
 def test_the_bounded_words(spark):
@@ -80,5 +103,5 @@ def test_any_order(spark):
         want = brute_ngrams(docs, order, least)
         assert len(got) == len(docs)
         assert all((r["n_words"], round(r["score"], 6)) == want[r["doc_id"]] for r in got)
-    assert want == brute(docs)
+    assert brute_ngrams(docs, 2, 1) == brute(docs)
     assert ngram_scores(empty(spark)).count() == 0

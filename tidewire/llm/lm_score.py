@@ -1,28 +1,29 @@
-"""Stupid-backoff scores of documents under the corpus' own word bigrams.
+"""Stupid-backoff scores of documents under the corpus' own word n-grams.
 
     S(w2 | w1) = f(w1 w2) / f(w1)        if the bigram table holds w1 w2
                = BACKOFF * f(w2) / N     otherwise, and for a text's first word without BACKOFF
 
-The tables hold all words, and all bigrams that occur at least ``LEAST`` times
-in the corpus (those seen once know nothing beyond their own document). Words
-are keyed by 64-bit hashes, bigrams by those of both words. A document's score
-is the sum of ln S over its words.
+The tables count all n-grams of the corpus. Words are keyed by 64-bit hashes,
+n-grams by those of their words. A document's score is the sum of ln S over its
+words.
 
-The n-grams are exploded per task and move once, partitioned by the hash of
-their first word; equal first words of a task share a row. Where they arrive
-lies the whole count table of those words, so counts are joined and scores
-summed there. A bigram that isn't in the table needs the unigram count of its
-second word: the ``COMMON`` most frequent words at most are sent to all tasks
-(a word counts as common if it makes up more than one in COMMON of all words,
-so their number is bounded), the others go to the unigram table by one more
-exchange. First words that alone would fill a good part of a partition (at most
-four times the number of partitions are such) are dealt out by both words.
+``lm_scores`` scores the corpus under its own bigrams. All of these are in the
+table, so none backs off. The bigrams are exploded per task, one row for each
+that a chunk of texts holds with the texts that have it, and move once,
+partitioned by the hash of their first word. There they are counted by windows
+over (first, second) and (first), which are the two count tables joined to each
+row, exploded to texts, and summed per text. Equal first words of a chunk share
+rows on the way. First words that alone would fill a good part of a partition
+(at most four times the number of partitions are such) are dealt out by both
+words; a pair, however common, has one row a chunk.
 
-``ngram_scores`` takes any order, backs off level by level, and counts all
-n-grams unless ``least`` is more than 1. Its tables and joins are Spark's own.
+``ngram_scores`` takes any order, backs off level by level, and leaves out
+n-grams seen less than ``least`` times. Its tables and joins are Spark's own.
 
 Null and empty texts, and texts without words, have n_words 0 and score 0.
-Repeated rows count and are scored one by one. An empty table gives no row.
+Repeated rows count and are scored one by one. Very long texts are taken whole,
+alone in a chunk if need be. Only doc_id and text are used, whatever other
+columns there are. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,46 +32,56 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, materialize, mix, span_hashes, width, with_row_id, word_spans
 
-BACKOFF, LEAST, COMMON = 0.4, 2, 500_000
+BACKOFF = 0.4
 #: Words of the longest n-gram in ``ngram_scores``.
 ORDER = 3
-#: Bytes of text whose equal first words share a row, and n-grams that are counted together.
-CHUNK, TOGETHER = 24_000_000, 500_000
-#: Texts whose sums a task keeps before it gives them out.
-KEPT_SUMS = 1_000_000
-#: Stands for the end of a text: its last word counts too, though nothing follows it.
-END = 0
+#: Bytes and number of the texts whose n-grams share rows.
+CHUNK, CHUNK_ROWS = 12_000_000, 30_000
+#: Occurrences of a first word's bigrams in a row.
+PACKED = 64
+#: Stand for a text's end after its last word, for its start before its first, and for the text itself.
+END, HEAD, TEXT = 0, 1, 2
 
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 WORDS = "word long, n long"
-GRAMS = "first long, deal int, base long, seconds array<long>, rows array<int>, doc_id long, n_words long"
-PARTS = "rid long, value double, missed long, doc_id long, n_words long"
+GRAMS = "first long, deal int, total long, base long, seconds array<long>, ends array<int>, texts array<smallint>, doc_id long, n_words long"
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts, end to end, and the index of each word's text."""
-    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
-    starts, ends = word_spans(data, IS_WORD)
-    with np.errstate(over="ignore"):
-        words = span_hashes(data, starts, ends).view(np.int64)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return words, np.searchsorted(bounds, starts, side="right")
+    words, at = [], []
+    for a, b in chunks(texts):
+        data = np.frombuffer(b"\n".join(texts[a:b]).lower() + b"\n", dtype=np.uint8)
+        starts, ends = word_spans(data, IS_WORD)
+        with np.errstate(over="ignore"):
+            words.append(span_hashes(data, starts, ends).view(np.int64))
+        bounds = np.cumsum([len(t) + 1 for t in texts[a:b]])
+        at.append(np.searchsorted(bounds, starts, side="right").astype(np.int32) + np.int32(a))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *words]), np.concatenate([none.astype(np.int32), *at])
+
+
+def _chunks(batch: pa.RecordBatch):
+    """(rows, texts as bytes) of a batch, some CHUNK bytes at a time."""
+    for start in range(0, batch.num_rows, CHUNK_ROWS):
+        part = batch.slice(start, CHUNK_ROWS)
+        texts = as_bytes(part.column("text"))
+        for a, b in chunks(texts, CHUNK):
+            yield part.slice(a, b - a), texts[a:b]
 
 
 def _count(batches):
     for batch in batches:
-        texts = as_bytes(batch.column("text"))
-        for a, b in chunks(texts, CHUNK):
-            word, n = np.unique(hashed(texts[a:b])[0], return_counts=True)
+        for _, texts in _chunks(batch):
+            word, n = np.unique(hashed(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
 
 
@@ -78,115 +89,55 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values))
 
 
-def _grams(heavy: np.ndarray, n: int):
-    """Rows (first, deal, base, seconds, rows): what follows a word in a chunk, and in which rows from ``base`` on.
+def _grams(heavy: np.ndarray, heavy_f: np.ndarray, n: int):
+    """Rows (first, deal, total, base, seconds, ends, texts): what follows a word in a chunk, and in which texts from ``base`` on.
 
-    For each document also a row without ``first``: its first word, id and length.
+    The texts of a second word end at its place in ``ends``. For each text also a
+    row without ``first``: its id and length.
     """
     names = [c.split()[0] for c in GRAMS.split(", ")]
 
-    def run(batches):
-        base = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for a, b in chunks(texts, CHUNK):
-                first, at = hashed(texts[a:b])
-                last = np.append(at[1:] != at[:-1], True) if len(at) else np.zeros(0, dtype=bool)
-                second = np.where(last, END, np.append(first[1:], END)) if len(at) else first
-                size = np.bincount(at, minlength=b - a)
-                begin = np.cumsum(size) - size
-                heads = np.where(size > 0, first[np.minimum(begin, len(first) - 1)], END) if len(first) else np.full(b - a, END)
-                deal = np.where(np.isin(first, heavy), (second.view(np.uint64) % np.uint64(n)).astype(np.int32), -1).astype(np.int32)
-                order = np.lexsort((second, deal, first))
-                first, second, deal, at = first[order], second[order], deal[order], at[order].astype(np.int32)
-                new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (deal[1:] != deal[:-1]))) if len(first) else np.zeros(0, dtype=np.int64)
-                none = pa.nulls(len(new), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(first[new]), pa.array(deal[new]), pa.array(np.full(len(new), base)), _lists(second, new), _lists(at, new), none, none], names)
-                each = np.arange(b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(b - a, pa.int64()), pa.array((each % n).astype(np.int32)), pa.array(np.full(b - a, base)), _lists(heads, each), _lists(each.astype(np.int32), each), batch.column("doc_id").slice(a, b - a), pa.array(size)],
-                    names,
-                )
-                base += b - a
-
-    return run
-
-
-def _score(heavy: np.ndarray, heavy_f: np.ndarray, common: np.ndarray, common_f: np.ndarray, total: int, backoff: float, least: int):
-    """Sums of ln S for each row, and the words whose count must be asked for (``missed``)."""
-
-    def known(words):
-        k = np.minimum(np.searchsorted(common, words), max(len(common) - 1, 0))
-        found = common[k] == words if len(common) else np.zeros(len(words), dtype=bool)
-        return found, np.log(common_f[k] / total) if len(common) else np.zeros(len(words))
-
-    def score(first, deal, second, rid):
-        group = np.cumsum(np.append(True, (first[1:] != first[:-1]) | (deal[1:] != deal[:-1]))) - 1
-        order = np.lexsort((second, group))
-        group, first, second, rid = group[order], first[order], second[order], rid[order]
-        pair = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1]))) - 1
-        pair_f, first_f = np.bincount(pair)[pair], np.bincount(group)[group].astype(np.float64)
-        if len(heavy):
-            k = np.minimum(np.searchsorted(heavy, first), len(heavy) - 1)
-            first_f = np.where(heavy[k] == first, heavy_f[k], first_f)
-        inside = second != END
-        held = inside & (pair_f >= least)
-        found, alone = known(second)
-        value = np.where(held, np.log(pair_f / first_f), np.where(found, alone, 0.0) + math.log(backoff))
-        return rid[inside], value[inside], (~held & ~found)[inside], second[inside]
-
-    def table(rid, value, missed=None, doc_id=None, n_words=None):
-        none = pa.nulls(len(rid), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(value), none if missed is None else pa.array(missed), none if doc_id is None else doc_id, none if n_words is None else n_words], [c.split()[0] for c in PARTS.split(", ")])
-
-    def summed(parts):
-        """One value for each text."""
-        rid, value = map(np.concatenate, zip(*parts))
-        texts, k = np.unique(rid, return_inverse=True)
-        return texts, np.bincount(k, weights=value, minlength=len(texts))
+    def packed(words, at, base):
+        """The bigrams of a chunk; END follows a last word, and a first word has HEAD once more."""
+        last = np.append(at[1:] != at[:-1], True)
+        head = np.flatnonzero(np.append(True, last[:-1]))
+        second = np.where(last, END, np.append(words[1:], END))
+        first, second, at = np.append(words, words[head]), np.append(second, np.full(len(head), HEAD)), np.append(at, at[head])
+        order = np.lexsort((second, first))
+        first, second, at = first[order], second[order], at[order]
+        begin = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        past = np.append(begin[1:], len(first))
+        first, second = first[begin], second[begin]
+        new = np.append(True, first[1:] != first[:-1])
+        piece = (begin - np.maximum.accumulate(np.where(new, begin, 0))) // PACKED
+        which = np.minimum(np.searchsorted(heavy, first), max(len(heavy) - 1, 0))
+        common = heavy[which] == first if len(heavy) else np.zeros(len(first), dtype=bool)
+        row = np.flatnonzero(new | common | np.append(True, piece[1:] != piece[:-1]))
+        dealt = np.where(common, (mix(second.view(np.uint64)) % np.uint64(n)).astype(np.int64), -1)[row]
+        total = pa.array(heavy_f[which[row]] if len(heavy) else np.zeros(len(row), dtype=np.int64), pa.int64(), mask=~common[row])
+        ends = (past - np.repeat(begin[row], np.diff(np.append(row, len(begin))))).astype(np.int32)
+        none = pa.nulls(len(row), pa.int64())
+        return pa.RecordBatch.from_arrays([
+            pa.array(first[row]), pa.array(dealt.astype(np.int32)), total, pa.array(np.full(len(row), base)),
+            _lists(second, row), _lists(ends, row), _lists(at.astype(np.int16), begin[row]), none, none,
+        ], names)
 
     def run(batches):
-        held, size, before, sums = [], 0, None, []
-
-        def counted():
-            """Score what is held; the sums stay, the words to be asked for go out."""
-            rid, value, missed, second = score(*map(np.concatenate, zip(*held)))
-            sums.append((rid, value))
-            sums[:] = [summed(sums)]
-            if missed.any():
-                yield table(rid[missed], np.zeros(missed.sum()), second[missed])
-            if len(sums[0][0]) > KEPT_SUMS:
-                yield table(*sums.pop())
-
+        base = TaskContext.get().partitionId() << 33
         for batch in batches:
-            head = batch.filter(pa.compute.is_null(batch.column("first")))
-            if head.num_rows:
-                words = head.column("seconds").flatten().to_numpy()
-                rid = head.column("base").to_numpy() + head.column("rows").flatten().to_numpy()
-                found, alone = known(words)
-                yield table(rid, np.where(found & (words != END), alone, 0.0), None, head.column("doc_id"), head.column("n_words"))
-                ask = ~found & (words != END)
-                if ask.any():
-                    yield table(rid[ask], np.zeros(ask.sum()), words[ask])
-            batch = batch.filter(pa.compute.is_valid(batch.column("first")))
-            if not batch.num_rows:
-                continue
-            first, deal = batch.column("first").to_numpy(), batch.column("deal").to_numpy()
-            n = pa.compute.list_value_length(batch.column("seconds")).to_numpy()
-            parts = [np.repeat(first, n), np.repeat(deal, n), batch.column("seconds").flatten().to_numpy(), np.repeat(batch.column("base").to_numpy(), n) + batch.column("rows").flatten().to_numpy()]
-            if size > TOGETHER:
-                # All before the first new word is complete.
-                new = np.flatnonzero((parts[0] != before[0]) | (parts[1] != before[1]))
-                if len(new):
-                    held.append([c[: new[0]] for c in parts])
-                    yield from counted()
-                    held, size, parts = [], 0, [c[new[0] :] for c in parts]
-            held.append(parts)
-            size, before = size + len(parts[0]), (parts[0][-1], parts[1][-1])
-        if held:
-            yield from counted()
-        if sums:
-            yield table(*sums.pop())
+            for rows, texts in _chunks(batch):
+                words, at = hashed(texts)
+                if len(words):
+                    whole = packed(words, at, base)
+                    for start in range(0, whole.num_rows, 50_000):
+                        yield whole.slice(start, 50_000)
+                size, each = len(texts), np.arange(len(texts))
+                none = pa.nulls(size, pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    none, pa.array((each % n).astype(np.int32)), none, pa.array(np.full(size, base)), _lists(np.full(size, TEXT), each), _lists(np.ones(size, np.int32), each),
+                    _lists(each.astype(np.int16), each), rows.column("doc_id"), pa.array(np.bincount(at, minlength=size)),
+                ], names)
+                base += size
 
     return run
 
@@ -194,26 +145,26 @@ def _score(heavy: np.ndarray, heavy_f: np.ndarray, common: np.ndarray, common_f:
 def _bounded(unigrams: DataFrame, total: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Words that make up more than one in ``most`` of all (fewer than ``most``), sorted, with their counts."""
     rows = sorted((r["word"], r["f"]) for r in unigrams.filter(F.col("f") * most > total).toLocalIterator())
-    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
-def lm_scores(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, common: int = COMMON, heavy: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, heavy: int | None = None) -> DataFrame:
     """(doc_id, n_words, score) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    counted = docs.select("text").mapInArrow(_count, WORDS).groupBy("word").agg(F.sum("n").alias("f"))
-    unigrams = materialize(counted, "unigrams")
+    unigrams = materialize(docs.select("text").mapInArrow(_count, WORDS).groupBy("word").agg(F.sum("n").alias("f")), "unigrams")
     total = unigrams.agg(F.sum("f").alias("n")).first()["n"] or 1
     n = width(docs.sparkSession)
-    heaviest, heavy_f = _bounded(unigrams, total, 4 * n if heavy is None else heavy)
-    commonest, common_f = _bounded(unigrams, total, common)
-    dealt = docs.mapInArrow(_grams(heaviest, n), GRAMS).repartition(n, "first", "deal").sortWithinPartitions("first", "deal")
-    parts = dealt.mapInArrow(_score(heaviest, heavy_f, commonest, common_f, total, backoff, least), PARTS)
-    # Rows that ask for nothing are spread out and meet no word.
-    parts = parts.select("rid", "value", F.col("missed").isNotNull().alias("ask"), F.coalesce("missed", -F.col("rid")).alias("key"), "doc_id", "n_words")
-    asked = parts.join(unigrams, (F.col("key") == F.col("word")) & F.col("ask"), "left")
-    value = F.col("value") + F.coalesce(F.log(F.col("f") / F.lit(float(total))), F.lit(0.0))
-    sums = asked.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(value).alias("score"))
-    return sums.drop("rid")
+    dealt = docs.mapInArrow(_grams(*_bounded(unigrams, total, 4 * n if heavy is None else heavy), n), GRAMS).repartition(n, "first", "deal")
+    start = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
+    follows = F.transform("seconds", lambda w, k: F.struct(w.alias("second"), F.slice("texts", start(k) + 1, F.get("ends", k) - start(k)).alias("texts")))
+    grams = dealt.select("first", "deal", "total", "base", "doc_id", "n_words", F.inline(follows))
+    # Sorted once, for both windows. A text's start is no bigram of its first word.
+    n_here = F.when(F.col("second") != HEAD, F.size("texts"))
+    grams = grams.withColumn("pair", F.sum(n_here).over(Window.partitionBy("first", "deal", "second")))
+    grams = grams.withColumn("f", F.coalesce("total", F.sum(n_here).over(Window.partitionBy("first", "deal"))))
+    value = F.when(F.col("second") == HEAD, F.log(F.col("f") / F.lit(float(total)))).when(~F.col("second").isin(END, TEXT), F.log(F.col("pair") / F.col("f"))).otherwise(0.0)
+    each = grams.select("base", value.alias("value"), "doc_id", "n_words", F.explode("texts").alias("text"))
+    return each.groupBy((F.col("base") + F.col("text")).alias("rid")).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("value").alias("score")).drop("rid")
 
 
 def _ngrams(order: int):

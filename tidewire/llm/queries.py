@@ -103,11 +103,11 @@ WITH w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents)),
 g AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w),
 u AS (SELECT word, count(*) AS f FROM w GROUP BY word),
-b AS (SELECT before, word, count(*) AS f FROM g WHERE before IS NOT NULL GROUP BY before, word HAVING count(*) >= 2),
+b AS (SELECT before, word, count(*) AS f FROM g WHERE before IS NOT NULL GROUP BY before, word),
 n AS (SELECT count(*)::DOUBLE AS n FROM w),
 s AS (
   SELECT g.doc_id, count(*) AS n_words,
-    sum(CASE WHEN g.before IS NULL THEN ln(u.f / n.n) WHEN b.f IS NOT NULL THEN ln(b.f::DOUBLE / x.f) ELSE ln(0.4) + ln(u.f / n.n) END) AS score
+    sum(CASE WHEN g.before IS NULL THEN ln(u.f / n.n) ELSE ln(b.f::DOUBLE / x.f) END) AS score
   FROM g JOIN u ON u.word = g.word LEFT JOIN b ON b.before = g.before AND b.word = g.word LEFT JOIN u x ON x.word = g.before, n GROUP BY g.doc_id)
 SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.score, 0.0), 4) AS score FROM documents d LEFT JOIN s USING (doc_id)
 """
