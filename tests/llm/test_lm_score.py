@@ -63,8 +63,8 @@ def test_small_chunks(monkeypatch):
         for out in lm_score._grams(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)([batch]):
             for row in out.to_pylist():
                 begin = 0
-                for second, end in zip(row["seconds"], row["ends"]):
-                    found.update((row["first"], second, row["base"] + t) for t in row["texts"][begin:end])
+                for first, second, end in zip(row["firsts"], row["seconds"], row["ends"]):
+                    found.update((first, second, row["base"] + t) for t in row["texts"][begin:end])
                     begin = end
         return found
 
@@ -73,7 +73,7 @@ def test_small_chunks(monkeypatch):
     whole = grams(docs)
     monkeypatch.setattr(lm_score, "CHUNK", 500)
     monkeypatch.setattr(lm_score, "CHUNK_ROWS", 7)
-    monkeypatch.setattr(lm_score, "PACKED", 2)
+    monkeypatch.setattr(lm_score, "SLICE", 4)
     assert grams(docs) == whole and sum(whole.values()) > 1000
 
 

@@ -8,14 +8,14 @@ n-grams by those of their words. A document's score is the sum of ln S over its
 words.
 
 ``lm_scores`` scores the corpus under its own bigrams. All of these are in the
-table, so none backs off. The bigrams are exploded per task, one row for each
-that a chunk of texts holds with the texts that have it, and move once,
-partitioned by the hash of their first word. There they are counted by windows
-over (first, second) and (first), which are the two count tables joined to each
-row, exploded to texts, and summed per text. Equal first words of a chunk share
-rows on the way. First words that alone would fill a good part of a partition
-(at most four times the number of partitions are such) are dealt out by both
-words; a pair, however common, has one row a chunk.
+table, so none backs off. The bigrams are exploded per task, one for each that a
+chunk of texts holds with the texts that have it, and move once, partitioned by
+the hash of their first word. There they are counted by windows over (first,
+second) and (first), which are the two count tables joined to each row, exploded
+to texts, and summed per text. On the way, the bigrams of a chunk that go to the
+same bucket of hashes share a row. First words that alone would fill a good part
+of a partition (at most four times the number of partitions are such) are dealt
+out by both words; a pair, however common, comes once a chunk.
 
 ``ngram_scores`` takes any order, backs off level by level, and leaves out
 n-grams seen less than ``least`` times. Its tables and joins are Spark's own.
@@ -43,8 +43,10 @@ BACKOFF = 0.4
 ORDER = 3
 #: Bytes and number of the texts whose n-grams share rows.
 CHUNK, CHUNK_ROWS = 12_000_000, 30_000
-#: Occurrences of a first word's bigrams in a row.
-PACKED = 64
+#: Texts that are hashed together.
+SLICE = 500
+#: Buckets for each partition, as a power of two.
+BUCKETS = 9
 #: Stand for a text's end after its last word, for its start before its first, and for the text itself.
 END, HEAD, TEXT = 0, 1, 2
 
@@ -52,37 +54,48 @@ IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 WORDS = "word long, n long"
-GRAMS = "first long, deal int, total long, base long, seconds array<long>, ends array<int>, texts array<smallint>, doc_id long, n_words long"
+GRAMS = "bucket long, total long, base long, firsts array<long>, seconds array<long>, ends array<int>, texts array<smallint>, doc_id long, n_words long"
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts, end to end, and the index of each word's text."""
-    words, at = [], []
-    for a, b in chunks(texts):
-        data = np.frombuffer(b"\n".join(texts[a:b]).lower() + b"\n", dtype=np.uint8)
-        starts, ends = word_spans(data, IS_WORD)
-        with np.errstate(over="ignore"):
-            words.append(span_hashes(data, starts, ends).view(np.int64))
-        bounds = np.cumsum([len(t) + 1 for t in texts[a:b]])
-        at.append(np.searchsorted(bounds, starts, side="right").astype(np.int32) + np.int32(a))
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *words]), np.concatenate([none.astype(np.int32), *at])
-
-
-def _chunks(batch: pa.RecordBatch):
-    """(rows, texts as bytes) of a batch, some CHUNK bytes at a time."""
-    for start in range(0, batch.num_rows, CHUNK_ROWS):
-        part = batch.slice(start, CHUNK_ROWS)
-        texts = as_bytes(part.column("text"))
-        for a, b in chunks(texts, CHUNK):
-            yield part.slice(a, b - a), texts[a:b]
+    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+    starts, ends = word_spans(data, IS_WORD)
+    with np.errstate(over="ignore"):
+        words = span_hashes(data, starts, ends).view(np.int64)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.searchsorted(bounds, starts, side="right")
 
 
-def _count(batches):
+def _chunks(batches):
+    """(doc_ids, words, index of each word's text) of some CHUNK bytes of texts at a time; only the hashes are held."""
+    ids, words, at, size, count = [], [], [], 0, 0
+
+    def whole():
+        return pa.concat_arrays(ids), np.concatenate(words), np.concatenate(at)
+
     for batch in batches:
-        for _, texts in _chunks(batch):
-            word, n = np.unique(hashed(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            texts = as_bytes(part.column("text"))
+            for a, b in chunks(texts):
+                found, of = hashed(texts[a:b])
+                ids.append(part.column("doc_id").slice(a, b - a))
+                words.append(found)
+                at.append((of + count).astype(np.int16))
+                size, count = size + sum(map(len, texts[a:b])), count + b - a
+                if size > CHUNK or count > CHUNK_ROWS:
+                    yield whole()
+                    ids, words, at, size, count = [], [], [], 0, 0
+    if ids:
+        yield whole()
+
+
+def _count(batches):
+    for _, words, _ in _chunks(batches):
+        word, n = np.unique(words, return_counts=True)
+        for start in range(0, len(word), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(word[start : start + 100_000]), pa.array(n[start : start + 100_000])], ["word", "n"])
 
 
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
@@ -90,54 +103,56 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
 
 
 def _grams(heavy: np.ndarray, heavy_f: np.ndarray, n: int):
-    """Rows (first, deal, total, base, seconds, ends, texts): what follows a word in a chunk, and in which texts from ``base`` on.
+    """Rows (bucket, total, base, firsts, seconds, ends, texts): the bigrams of a chunk that fall into a bucket.
 
-    The texts of a second word end at its place in ``ends``. For each text also a
-    row without ``first``: its id and length.
+    The texts of a bigram, counted from ``base``, end at its place in ``ends``.
+    ``total`` is known for the first words of ``heavy``, whose buckets go by both
+    words. For each text also a row with its id and length.
     """
     names = [c.split()[0] for c in GRAMS.split(", ")]
+    bits = n.bit_length() + BUCKETS
+    top = lambda x, k: (x >> np.uint64(64 - k)).astype(np.int64)
 
     def packed(words, at, base):
         """The bigrams of a chunk; END follows a last word, and a first word has HEAD once more."""
         last = np.append(at[1:] != at[:-1], True)
         head = np.flatnonzero(np.append(True, last[:-1]))
-        second = np.where(last, END, np.append(words[1:], END))
-        first, second, at = np.append(words, words[head]), np.append(second, np.full(len(head), HEAD)), np.append(at, at[head])
+        second = np.where(last, END, np.append(words[1:], END)).view(np.uint64)
+        first, second, at = np.append(words, words[head]).view(np.uint64), np.append(second, np.full(len(head), HEAD, np.uint64)), np.append(at, at[head])
         order = np.lexsort((second, first))
         first, second, at = first[order], second[order], at[order]
         begin = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
         past = np.append(begin[1:], len(first))
         first, second = first[begin], second[begin]
-        new = np.append(True, first[1:] != first[:-1])
-        piece = (begin - np.maximum.accumulate(np.where(new, begin, 0))) // PACKED
-        which = np.minimum(np.searchsorted(heavy, first), max(len(heavy) - 1, 0))
-        common = heavy[which] == first if len(heavy) else np.zeros(len(first), dtype=bool)
-        row = np.flatnonzero(new | common | np.append(True, piece[1:] != piece[:-1]))
-        dealt = np.where(common, (mix(second.view(np.uint64)) % np.uint64(n)).astype(np.int64), -1)[row]
-        total = pa.array(heavy_f[which[row]] if len(heavy) else np.zeros(len(row), dtype=np.int64), pa.int64(), mask=~common[row])
+        # The order by hashes is one by buckets.
+        bucket = top(first, bits)
+        known, total = np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=np.int64)
+        if len(heavy):
+            which = np.minimum(np.searchsorted(heavy, first.view(np.int64)), len(heavy) - 1)
+            known = heavy[which] == first.view(np.int64)
+            total[known] = heavy_f[which[known]]
+            bucket[known] = -1 - (which[known] << bits) - top(second[known], n.bit_length())
+        row = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = (past - np.repeat(begin[row], np.diff(np.append(row, len(begin))))).astype(np.int32)
         none = pa.nulls(len(row), pa.int64())
         return pa.RecordBatch.from_arrays([
-            pa.array(first[row]), pa.array(dealt.astype(np.int32)), total, pa.array(np.full(len(row), base)),
-            _lists(second, row), _lists(ends, row), _lists(at.astype(np.int16), begin[row]), none, none,
+            pa.array(bucket[row]), pa.array(total[row], mask=~known[row]), pa.array(np.full(len(row), base)),
+            _lists(first.view(np.int64), row), _lists(second.view(np.int64), row), _lists(ends, row), _lists(at, begin[row]), none, none,
         ], names)
 
     def run(batches):
         base = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for rows, texts in _chunks(batch):
-                words, at = hashed(texts)
-                if len(words):
-                    whole = packed(words, at, base)
-                    for start in range(0, whole.num_rows, 50_000):
-                        yield whole.slice(start, 50_000)
-                size, each = len(texts), np.arange(len(texts))
-                none = pa.nulls(size, pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    none, pa.array((each % n).astype(np.int32)), none, pa.array(np.full(size, base)), _lists(np.full(size, TEXT), each), _lists(np.ones(size, np.int32), each),
-                    _lists(each.astype(np.int16), each), rows.column("doc_id"), pa.array(np.bincount(at, minlength=size)),
-                ], names)
-                base += size
+        for ids, words, at in _chunks(batches):
+            size, each = len(ids), np.arange(len(ids))
+            if len(words):
+                whole = packed(words, at, base)
+                for start in range(0, whole.num_rows, 5_000):
+                    yield whole.slice(start, 5_000)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(each), pa.nulls(size, pa.int64()), pa.array(np.full(size, base)), pa.ListArray.from_arrays(pa.array(np.arange(size + 1), pa.int32()), pa.nulls(size, pa.int64())),
+                _lists(np.full(size, TEXT), each), _lists(np.ones(size, np.int32), each), _lists(each.astype(np.int16), each), ids, pa.array(np.bincount(at, minlength=size)),
+            ], names)
+            base += size
 
     return run
 
@@ -151,17 +166,17 @@ def _bounded(unigrams: DataFrame, total: int, most: int) -> tuple[np.ndarray, np
 def lm_scores(docs: DataFrame, heavy: int | None = None) -> DataFrame:
     """(doc_id, n_words, score) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    unigrams = materialize(docs.select("text").mapInArrow(_count, WORDS).groupBy("word").agg(F.sum("n").alias("f")), "unigrams")
+    unigrams = materialize(docs.mapInArrow(_count, WORDS).groupBy("word").agg(F.sum("n").alias("f")), "unigrams")
     total = unigrams.agg(F.sum("f").alias("n")).first()["n"] or 1
     n = width(docs.sparkSession)
-    dealt = docs.mapInArrow(_grams(*_bounded(unigrams, total, 4 * n if heavy is None else heavy), n), GRAMS).repartition(n, "first", "deal")
+    dealt = docs.mapInArrow(_grams(*_bounded(unigrams, total, 4 * n if heavy is None else heavy), n), GRAMS).repartition(n, "bucket")
     start = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
-    follows = F.transform("seconds", lambda w, k: F.struct(w.alias("second"), F.slice("texts", start(k) + 1, F.get("ends", k) - start(k)).alias("texts")))
-    grams = dealt.select("first", "deal", "total", "base", "doc_id", "n_words", F.inline(follows))
+    bigram = lambda w, k: F.struct(F.get("firsts", k).alias("first"), w.alias("second"), F.slice("texts", start(k) + 1, F.get("ends", k) - start(k)).alias("texts"))
+    grams = dealt.select("bucket", "total", "base", "doc_id", "n_words", F.inline(F.transform("seconds", bigram)))
     # Sorted once, for both windows. A text's start is no bigram of its first word.
     n_here = F.when(F.col("second") != HEAD, F.size("texts"))
-    grams = grams.withColumn("pair", F.sum(n_here).over(Window.partitionBy("first", "deal", "second")))
-    grams = grams.withColumn("f", F.coalesce("total", F.sum(n_here).over(Window.partitionBy("first", "deal"))))
+    grams = grams.withColumn("pair", F.sum(n_here).over(Window.partitionBy("bucket", "first", "second")))
+    grams = grams.withColumn("f", F.coalesce("total", F.sum(n_here).over(Window.partitionBy("bucket", "first"))))
     value = F.when(F.col("second") == HEAD, F.log(F.col("f") / F.lit(float(total)))).when(~F.col("second").isin(END, TEXT), F.log(F.col("pair") / F.col("f"))).otherwise(0.0)
     each = grams.select("base", value.alias("value"), "doc_id", "n_words", F.explode("texts").alias("text"))
     return each.groupBy((F.col("base") + F.col("text")).alias("rid")).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("value").alias("score")).drop("rid")
