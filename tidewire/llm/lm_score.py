@@ -45,8 +45,8 @@ ORDER = 3
 CHUNK, CHUNK_ROWS = 12_000_000, 30_000
 #: Texts that are hashed together.
 SLICE = 500
-#: Buckets for each partition, as a power of two.
-BUCKETS = 9
+#: Bits of the buckets: some 50 occurrences of a full chunk each. More where there are many partitions to fill evenly.
+BUCKETS, SPREAD = 15, 4
 #: Stand for a text's end after its last word, for its start before its first, and for the text itself.
 END, HEAD, TEXT = 0, 1, 2
 
@@ -110,7 +110,7 @@ def _grams(heavy: np.ndarray, heavy_f: np.ndarray, n: int):
     words. For each text also a row with its id and length.
     """
     names = [c.split()[0] for c in GRAMS.split(", ")]
-    bits = n.bit_length() + BUCKETS
+    bits = max(BUCKETS, n.bit_length() + SPREAD)
     top = lambda x, k: (x >> np.uint64(64 - k)).astype(np.int64)
 
     def packed(words, at, base):
