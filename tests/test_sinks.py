@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,30 @@ def test_token_bucket(spark):
     assert dump.limited(spark.createDataFrame(rows, "seq long, ts_us long, net_len int"), 0).filter("admitted").count() == 6
 
 
+def test_token_bucket_against_a_loop(spark):
+    r = random.Random(8)
+    rows, ts = [], 0
+    for seq in range(600):
+        ts += r.choice([0, 1_000, 900_000, 5_000_000]) - r.choice([0, 0, 500])
+        rows.append((seq, max(ts, 0), r.randrange(20, 900)))
+    want, state = {}, {}
+    for seq, ts, size in rows:
+        tokens, clock = state.get(ts // 60_000_000, (300 * dump.BURST, ts))
+        if ts > clock:
+            tokens, clock = min(300 * dump.BURST, tokens + 300 * (ts - clock) / 1e6), ts
+        want[seq] = tokens >= 0
+        state[ts // 60_000_000] = tokens - size * want[seq], clock
+    got = dump.limited(spark.createDataFrame(rows, "seq long, ts_us long, net_len int").repartition(5), 300, 60).collect()
+    assert {r["seq"]: r["admitted"] for r in got} == want and len(set(want.values())) == 2
+
+
+def test_long_periods_go_in_parts(spark, records, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv, "FILE_SEQS", 50)
+    csv.write(records, str(tmp_path / "out"), ["id"], period_sec=86_400)
+    assert csv.read(spark, str(tmp_path / "out"), ["id"]).count() == records.count()
+    assert all(p.read_text().startswith("id\n") for p in (tmp_path / "out").rglob("part-*.txt"))
+
+
 def test_command_line(spark, tmp_path):
     from tidewire import cli
     from tidewire.functions import build

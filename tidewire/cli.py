@@ -37,7 +37,8 @@ def run(spark: SparkSession, files: list[str], out: str, config: Config) -> None
     frames = decode(pcap.read(spark, ",".join(files), config.input_snaplen))
     frames = frames.filter(capture_filter(config.input_filter))
     window = int(config.match_window * 1e6)
-    pairs = (match_fold if config.match_qname else match)(frames, window)
+    # What was captured isn't needed any more: only decoded columns move.
+    pairs = (match_fold if config.match_qname else match)(frames.drop("raw", "payload"), window)
     records = project(pairs, config.output_fields, config.output_type == "cbor")
     compression = "gzip" if config.output_pipe_cmd.split()[:1] == ["gzip"] else None
     if config.output_type == "csv":

@@ -3,7 +3,9 @@
     port 53 and (udp or ip6) and not host 192.0.2.1
 
 ``port``, ``host`` and ``net`` may be led by ``src`` or ``dst``; ``udp``, ``tcp``, ``icmp``,
-``icmp6``, ``ip``, ``ip6`` and ``portrange`` are known too. An empty filter takes everything.
+``icmp6``, ``ip``, ``ip6`` and ``portrange`` are known too; ``domain`` is port 53. An empty
+filter takes everything. A packet without ports or addresses (a fragment, a broken one) has
+none of those asked for, so that ``not port 53`` takes it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: IANA protocol numbers.
 PROTOCOLS = {"udp": 17, "tcp": 6, "icmp": 1, "icmp6": 58}
+PORTS = {"domain": 53}
 
 
 def capture_filter(text: str) -> Column:
@@ -53,6 +56,9 @@ def capture_filter(text: str) -> Column:
             inner = either()
             take(")")
             return inner
+        return F.coalesce(primitive(word), F.lit(False))
+
+    def primitive(word: str) -> Column:
         if word in ("ip", "ip6") and (not words or words[0] in ("and", "or", ")")):
             return F.col("net_ipv") == (4 if word == "ip" else 6)
         if word in PROTOCOLS:
@@ -65,7 +71,8 @@ def capture_filter(text: str) -> Column:
                 words.insert(0, word)
                 word = "host"
         if word == "port":
-            n = int(take())
+            name = take()
+            n = PORTS[name] if name in PORTS else int(name)
             return any_of(F.col(f"{s}_port") == n for s in sides)
         if word == "portrange":
             a, _, b = take().partition("-")

@@ -157,10 +157,13 @@ def filter_expression(spark, sf_dir):
     return scalar.directed(packets(spark, sf_dir).filter(wanted)).select(*SCANNED)
 
 
-@query(f"WITH {PACKETS} SELECT seq, least(dns_len, 40) AS captured, dns_len FROM p")
+@query(f"""WITH {PACKETS} SELECT ts_us, CAST(net_ipv AS BIGINT) AS net_ipv, CAST(net_proto AS BIGINT) AS net_proto, CAST(40 AS BIGINT) AS captured,
+CASE WHEN net_ipv = 4 AND net_proto = 17 THEN CAST(12 AS BIGINT) END AS payload_bytes, CASE WHEN net_ipv <> 4 OR net_proto <> 17 THEN 'network' END AS reason FROM p""")
 def snap_length(spark, sf_dir):
-    payload = F.rpad(F.lit(""), F.col("dns_len"), F.lit("x"))
-    return packets(spark, sf_dir).select("seq", F.length(F.substring(payload, 1, 40)).alias("captured"), "dns_len")
+    """Capture files read with 40 bytes a packet: that leaves 12 of a message over IPv4 and UDP, and cuts into all other headers."""
+    folder = shared_folder(spark, "capture")
+    pcap.write(build.frames(packets(spark, sf_dir)), folder)
+    return pcap.read(spark, folder, snaplen=40).select("ts_us", "net_ipv", "net_proto", F.length("raw").alias("captured"), F.length("payload").alias("payload_bytes"), F.col("drop_reason").alias("reason"))
 
 
 @query(f"WITH {PACKETS} SELECT coalesce(drop_reason, 'valid') AS drop_reason, count(*) AS packets, CAST(sum(net_len) AS BIGINT) AS bytes FROM p GROUP BY 1")
@@ -366,15 +369,26 @@ def frame_stats(spark, sf_dir):
     return stats.frame_stats(p, match(p, WINDOW, slice_us=SLICE), 3_600_000_000)
 
 
-@query()
+RATE = 0.02
+#: The token bucket packet by packet: one recursion step for each place in a file.
+BUCKET = f"""WITH RECURSIVE {PACKETS},
+d AS (SELECT seq, ts_us, net_len AS size, ts_us - ts_us % {PERIOD * 10**6} AS file_us, row_number() OVER (PARTITION BY ts_us - ts_us % {PERIOD * 10**6} ORDER BY seq) AS k FROM p WHERE drop_reason IS NOT NULL),
+b AS (
+  SELECT seq, file_us, ts_us, size, k, TRUE AS admitted, {RATE} * {dump.BURST}::DOUBLE - size AS left_, ts_us AS clock FROM d WHERE k = 1
+  UNION ALL
+  SELECT seq, file_us, ts_us, size, k, t >= 0, t - CASE WHEN t >= 0 THEN size ELSE 0 END, greatest(clock, ts_us) FROM (
+    SELECT d.*, b.clock, CASE WHEN d.ts_us > b.clock THEN least({RATE} * {dump.BURST}::DOUBLE, b.left_ + {RATE}::DOUBLE * (d.ts_us - b.clock) / 1e6) ELSE b.left_ END AS t
+    FROM b JOIN d ON d.file_us = b.file_us AND d.k = b.k + 1))"""
+
+
+@query(f"{BUCKET} SELECT seq, file_us, ts_us, size, admitted FROM b")
 def dump_rate_limit(spark, sf_dir):
-    """The token bucket is a fold over packets; a test holds it against a plain loop."""
-    return dump.limited(dump.invalid(packets(spark, sf_dir)), 0.02, PERIOD)
+    return dump.limited(dump.invalid(packets(spark, sf_dir)), RATE, PERIOD)
 
 
-@query()
+@query(f"{BUCKET} SELECT file_us, count(*) FILTER (admitted) AS dumped, CAST(coalesce(sum(size) FILTER (admitted), 0) AS BIGINT) AS dumped_bytes, count(*) FILTER (NOT admitted) AS skipped FROM b GROUP BY 1")
 def dump_stats(spark, sf_dir):
-    return stats.dump_stats(dump.limited(dump.invalid(packets(spark, sf_dir)), 0.02, PERIOD))
+    return stats.dump_stats(dump.limited(dump.invalid(packets(spark, sf_dir)), RATE, PERIOD))
 
 
 #: Columns that come back from a capture file as they went in.
@@ -397,6 +411,41 @@ def capture_drop_reasons(spark, sf_dir):
     return stats.drop_counts(wire.decode(pcap.read(spark, folder))).drop("bytes")
 
 
+def spoiled(frames: DataFrame) -> DataFrame:
+    """Frames of which some have a fault that the reader or decoder drops them for, by ``seq`` modulo 8."""
+    at = lambda k: F.substring("raw", k + 1, 1)
+    v4, kind, tcp = F.hex(at(0)) == "45", F.pmod("seq", F.lit(8)), F.hex(at(9)) == "06"
+
+    def put(k: int, digits: str):
+        new = F.unhex(F.lit(digits))
+        return F.concat(F.substring("raw", 1, k), new, F.expr(f"substring(raw, {k + 1 + len(digits) // 2})"))
+
+    # Too short for an IP header; a fragment; another protocol; SYN; a short TCP header; a wrong length prefix.
+    raw = F.when(kind == 0, F.substring("raw", 1, 15)).when(v4 & (kind == 1), put(6, "2000")).when(v4 & (kind == 2), put(9, "84"))
+    raw = raw.when(v4 & tcp & (kind == 3), put(33, "02")).when(v4 & tcp & (kind == 4), F.substring("raw", 1, 30)).when(v4 & tcp & (kind == 5), put(40, "0005"))
+    return frames.withColumn("raw", raw.otherwise(F.col("raw")))
+
+
+@query(f"""WITH {PACKETS}, s AS (SELECT CASE WHEN seq % 8 = 0 THEN 'network' WHEN net_ipv = 4 AND seq % 8 = 1 THEN 'fragmented' WHEN net_ipv = 4 AND seq % 8 = 2 THEN 'transport'
+  WHEN net_ipv = 4 AND net_proto = 6 AND seq % 8 = 3 THEN 'transport' WHEN net_ipv = 4 AND net_proto = 6 AND seq % 8 = 4 THEN 'network' WHEN net_ipv = 4 AND net_proto = 6 AND seq % 8 = 5 THEN 'transport'
+  ELSE coalesce(drop_reason, 'valid') END AS drop_reason, ts_us FROM p)
+SELECT drop_reason, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM s GROUP BY 1""")
+def capture_faults(spark, sf_dir):
+    """Every reason to drop a packet, from capture files with such packets."""
+    folder = shared_folder(spark, "capture")
+    pcap.write(spoiled(build.frames(packets(spark, sf_dir))), folder)
+    read = wire.decode(pcap.read(spark, folder))
+    return read.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("drop_reason")).agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+@query(f"WITH {PACKETS} SELECT ts_us, drop_reason FROM p WHERE drop_reason IS NOT NULL OR client_port <> 1124 AND server_port <> 1124")
+def filter_not_port(spark, sf_dir):
+    """Packets without ports pass a negated filter."""
+    rows = packets(spark, sf_dir)
+    bare = [F.when(F.col("drop_reason").isNull(), F.col(c)).alias(c) if c.endswith("_port") else F.col(c) for c in rows.columns]
+    return rows.select(*bare).filter(capture_filter("not port 1124")).select("ts_us", "drop_reason")
+
+
 @query(f"WITH {PAIRS} SELECT seq, delay_us, q_net_len AS req_net_len, qname FROM (SELECT *, CAST(a_ts - q_ts AS BIGINT) AS delay_us FROM r)")
 def cbor_round_trip(spark, sf_dir):
     """Records to CBOR files and back; the reader gives JSON items, the first of each file its names."""
@@ -408,12 +457,12 @@ def cbor_round_trip(spark, sf_dir):
     return items.select(at["id"].cast("long").alias("seq"), at["delay_us"].cast("long").alias("delay_us"), at["req_net_len"].cast("long").alias("req_net_len"), at["qname"].alias("qname"))
 
 
-@query(csv_sql(["id", "delay_us", "qname"], ",").replace("CAST(dns_id AS VARCHAR)", "CAST(seq AS VARCHAR)").replace("SELECT seq, concat_ws", "SELECT concat_ws"))
+@query(f"WITH {PAIRS} SELECT CAST(seq AS VARCHAR) AS id, coalesce(CAST(CAST(a_ts - q_ts AS BIGINT) AS VARCHAR), '') AS delay_us, qname FROM r")
 def csv_files(spark, sf_dir):
-    """Lines written by period with headers, read back."""
+    """Records written by period with headers, read back as text columns."""
     folder, flags = shared_folder(spark, "csv"), ["id", "delay_us", "qname"]
     csv.write(project(pairs(spark, sf_dir), flags).withColumn("id", F.col("seq").cast("int")), folder, flags, period_sec=PERIOD, compression="gzip")
-    return spark.read.text(folder).filter(F.col("value") != csv.header(flags)).select(F.col("value").alias("line"))
+    return csv.read(spark, folder, flags).select("id", "delay_us", "qname")
 
 
 def streamed(packets: DataFrame, watermark: str = "60 days") -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` with its file system; where that is unset (tests), the context's or a temporary one."""
+    """``spark.checkpoint.dir`` with its file system; where that is unset, the context's, or in local mode (tests) a temporary one."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(path)
     plain = context._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,6 +11,8 @@ from ..plans.schema import columns
 
 #: Fixed value: a missing string. A missing number is empty.
 NULL_STRING = "\\N"
+#: Length of the runs of ``seq`` by which a period is dealt out.
+FILE_SEQS = 5_000_000
 GUARDED = {"qname", "client_addr", "server_addr", "edns_client_subnet", "edns_other"}
 
 
@@ -51,14 +53,16 @@ def write(records: DataFrame, path: str, flags=None, separator: str = ",", inlin
     """Write text files, a folder for each aligned period; without records nothing is written.
 
     Each file has its lines by ``seq`` and, with ``inline_header``, the header
-    first. ``header_path`` gets a file with the header alone.
+    first. A period of many records is dealt out by runs of ``FILE_SEQS`` of
+    ``seq``, so that no task writes all of it. ``header_path`` gets a file with
+    the header alone.
     """
     rows = lines(records, flags, separator)
     if rows.isEmpty():
         return
     if period_sec:
         rows = rows.withColumn("period", strftime(rotation_start(F.col("ts_us"), period_sec), path_format))
-        rows = rows.repartition("period")
+        rows = rows.repartition("period", F.floor(F.col("seq") / FILE_SEQS))
         names = ["period"]
     else:
         names = []
