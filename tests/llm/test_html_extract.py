@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from tidewire.llm.html_extract import NAMES, Page, extract, train
@@ -70,3 +73,21 @@ def test_no_contradictions():
     nav = p.tag.index("nav")
     odds[nav] = -50.0
     assert "Menu" not in p.decode(__import__("numpy").array(odds))
+
+
+def test_decoding_against_all_subtrees():
+    """The kept nodes have the greatest sum among all sets that are closed towards the root."""
+    r = random.Random(6)
+    for _ in range(60):
+        page = Page("")
+        n = r.randrange(2, 10)
+        page.parent = [-1] + [r.randrange(k) for k in range(1, n)]
+        odds = np.array([r.uniform(-3, 2) for _ in range(n)])
+        best = -np.inf
+        for mask in range(1 << (n - 1)):
+            inside = [True] + [bool(mask >> k & 1) for k in range(n - 1)]
+            if all(not inside[k] or inside[page.parent[k]] for k in range(1, n)):
+                best = max(best, odds[inside].sum())
+        kept = page.kept(odds)
+        assert all(not kept[k] or kept[page.parent[k]] for k in range(1, n))
+        assert odds[kept].sum() == pytest.approx(best)

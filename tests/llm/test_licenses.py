@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from tidewire.llm.licenses import PHRASES, scan
+from tidewire.llm.licenses import COVERAGE, LONG, NEIGHBOUR, NOTICES, PHRASES, SHORT, TEXTS, scan
 
 from .data import ODD, empty, table
 
@@ -48,3 +49,47 @@ def test_native_and_rows(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
     assert [r["n_base"] for r in out.collect()] == [1, 1]
     assert scan(empty(spark)).count() == 0
+
+
+def brute_labels(text):
+    """Labels and score by plain lists of hits, diagonal by diagonal."""
+    split = lambda t: re.findall(r"[0-9a-z]+", (t or "").lower())
+    w, labels, score = split(text), set(), 0.0
+    for k, (label, template) in enumerate(PHRASES + NOTICES + TEXTS):
+        t, size = split(template), SHORT if k < len(PHRASES + NOTICES) else LONG
+        grams = [t[i : i + size] for i in range(len(t) - size + 1)]
+        diagonals = {}
+        for at, gram in enumerate(grams):
+            for pos in range(len(w) - size + 1):
+                if w[pos : pos + size] == gram:
+                    diagonals.setdefault(pos - at, set()).add(at)
+        runs, before = [], None
+        for d in sorted(diagonals):
+            if before is None or k < len(PHRASES) or d - before > NEIGHBOUR:
+                runs.append(set())
+            runs[-1] |= diagonals[d]
+            before = d
+        for run in runs:
+            share = len(run) / len(grams)
+            if k >= len(PHRASES) or share == 1:
+                score = max(score, share)
+            if share == 1 or k >= len(PHRASES) and share >= COVERAGE:
+                labels.add(label)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_notices_against_brute_force(spark):
+    r = random.Random(11)
+    docs = []
+    for label, text in [*NOTICES, *TEXTS]:
+        words = text.split()
+        for change in (0, 0.02, 0.2):
+            edited = [x for x in words if r.random() >= change / 2]
+            edited = [y for x in edited for y in ([x, "indeed"] if r.random() < change / 2 else [x])]
+            docs.append(f"{' '.join(f'z{r.randrange(99)}' for _ in range(r.randrange(40)))} {' '.join(edited)} the end of the text")
+        docs.append(" ".join(words[: len(words) // 2]))
+    docs.append(" ".join(r.choice(" ".join(t for _, t in TEXTS).split()) for _ in range(20_000)))
+    got = {x["doc_id"]: (x["labels"], round(x["score"], 9)) for x in scan(table(spark, docs)).collect()}
+    assert got == {k: brute_labels(d) for k, d in enumerate(docs)}
+    whole = [k for k in range(len(NOTICES) * 4, len(docs) - 1) if k % 4 == 0]
+    assert all(TEXTS[k // 4 - len(NOTICES)][0] in got[k][0].split(",") and got[k][1] == 1 for k in whole)
