@@ -42,11 +42,11 @@ BACKOFF = 0.4
 #: Words of the longest n-gram in ``ngram_scores``.
 ORDER = 3
 #: Bytes and number of the texts whose n-grams share rows.
-CHUNK, CHUNK_ROWS = 12_000_000, 30_000
-#: Texts that are hashed together.
-SLICE = 500
+CHUNK, CHUNK_ROWS = 6_000_000, 30_000
+#: Texts, and bytes of them, that are hashed together: some 50 bytes of memory for each.
+SLICE, PIECE = 500, 400_000
 #: Bits of the buckets: some 50 occurrences of a full chunk each. More where there are many partitions to fill evenly.
-BUCKETS, SPREAD = 15, 4
+BUCKETS, SPREAD = 14, 4
 #: Stand for a text's end after its last word, for its start before its first, and for the text itself.
 END, HEAD, TEXT = 0, 1, 2
 
@@ -78,7 +78,7 @@ def _chunks(batches):
         for start in range(0, batch.num_rows, SLICE):
             part = batch.slice(start, SLICE)
             texts = as_bytes(part.column("text"))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, PIECE):
                 found, of = hashed(texts[a:b])
                 ids.append(part.column("doc_id").slice(a, b - a))
                 words.append(found)
