@@ -20,7 +20,10 @@ decrease along ``seq``; the default is without slices, which doesn't.
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,45 +81,94 @@ def match(packets: DataFrame, window_us: int, match_qname: bool = False, slice_u
     )
 
 
+class Open:
+    """Requests of one key that wait for their responses, in the order of packets."""
+
+    def __init__(self, window_us: int, match_qname: bool, pick: str):
+        self.window, self.names, self.newest = window_us, match_qname, pick == "newest"
+        self.waiting: deque[tuple[int, int, str | None]] = deque()
+        self.rising = True  # times don't decrease among those that wait
+
+    def ask(self, request: int, ts: int, name: str | None) -> None:
+        self.rising = not self.waiting or (self.rising and self.waiting[-1][1] <= ts)
+        self.waiting.append((request, ts, name))
+
+    def expire(self, ts: int) -> list[int]:
+        """Requests that are a window or more older than ``ts``; they wait no more."""
+        gone = []
+        if self.rising:
+            while self.waiting and ts - self.waiting[0][1] >= self.window:
+                gone.append(self.waiting.popleft()[0])
+        else:
+            gone = [w[0] for w in self.waiting if ts - w[1] >= self.window]
+            self.waiting = deque(w for w in self.waiting if ts - w[1] < self.window)
+        return gone
+
+    def answer(self, name: str | None) -> int | None:
+        """The request that a response takes, if any."""
+        n = len(self.waiting)
+        for tried in range(min(n, SEARCH_CAP + 1)):
+            k = n - 1 - tried if self.newest else tried
+            request, _, asked = self.waiting[k]
+            if not self.names or name == "." or asked == name:
+                del self.waiting[k]
+                return request
+        return None
+
+
 def fold(group: pd.DataFrame, window_us: int, match_qname: bool, pick: str = "newest") -> list[int]:
     """Position of each row's partner in a group sorted by seq, -1 without."""
-    partner = [-1] * len(group)
-    pending: list[tuple[int, int, str]] = []
-    rows = zip(group["is_response"], group["ts_us"], group["qname"] if match_qname else group["ts_us"])
-    for i, (response, ts, name) in enumerate(rows):
-        pending = [p for p in pending if ts - p[1] < window_us]
+    partner, pending = [-1] * len(group), Open(window_us, match_qname, pick)
+    names = group["qname"].astype(object).where(group["qname"].notna(), None)
+    for i, (response, ts, name) in enumerate(zip(group["is_response"], group["ts_us"], names)):
+        pending.expire(ts)
         if not response:
-            pending.append((i, ts, name))
-            continue
-        rejected = 0
-        order = range(len(pending) - 1, -1, -1) if pick == "newest" else range(len(pending))
-        for k in order:
-            j, _, asked = pending[k]
-            if not match_qname or name == "." or asked == name or (pd.isna(asked) and pd.isna(name)):
-                partner[i], partner[j] = j, i
-                del pending[k]
-                break
-            rejected += 1
-            if rejected > SEARCH_CAP:
-                break
+            pending.ask(i, ts, name)
+        elif (j := pending.answer(name)) is not None:
+            partner[i], partner[j] = j, i
     return partner
 
 
+def _pairs(rows: list[tuple[int, int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["seq", "mate"])
+
+
 def match_fold(packets: DataFrame, window_us: int, match_qname: bool = True, slice_us: int | None = None, pick: str = "newest") -> DataFrame:
     """Like ``match``, packet by packet within each key: names with the root as wildcard, and the search cap."""
     packets = directed(packets.filter("drop_reason is null"))
     names = packets.columns
     spread, key, own = _sliced(packets, window_us, slice_us)
-    slim = spread.select(*key, "seq", "ts_us", "is_response", "qname", own.alias("own"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq", kind="stable").reset_index(drop=True)
-        partner = fold(group, window_us, match_qname, pick)
-        seq = group["seq"].tolist()
-        out = [(s, seq[p] if p >= 0 else None) for s, p, r, o in zip(seq, partner, group["is_response"], group["own"]) if o and not (r and p >= 0)]
-        return pd.DataFrame({"seq": pd.Series([x[0] for x in out], dtype="int64"), "mate": pd.Series([x[1] for x in out], dtype="Int64")})
-
-    found = slim.groupBy(*key).applyInPandas(run, "seq long, mate long")
+    order = Window.partitionBy(*key).orderBy("seq")
+    slim = spread.select(*key, "seq", "ts_us", "is_response", "qname", own.alias("own")).withColumn("first", F.row_number().over(order) == 1)
+    slim = slim.sortWithinPartitions(*key, "seq").select("first", "seq", "ts_us", "is_response", "qname", "own")
+
+    def run(batches):
+        # Groups follow each other; of each, only what waits is kept.
+        pending, owned = Open(window_us, match_qname, pick), set()
+        for batch in batches:
+            out: list[tuple[int, int | None]] = []
+            for first, seq, ts, response, name, here in zip(*(c.to_pylist() for c in batch.columns)):
+                if first:
+                    out += [(s, None) for s in owned]
+                    pending, owned = Open(window_us, match_qname, pick), set()
+                for s in pending.expire(ts):
+                    if s in owned:
+                        owned.remove(s)
+                        out.append((s, None))
+                if not response:
+                    pending.ask(seq, ts, name)
+                    if here:
+                        owned.add(seq)
+                elif (s := pending.answer(name)) is None:
+                    if here:
+                        out.append((seq, None))
+                elif s in owned:
+                    owned.remove(s)
+                    out.append((s, seq))
+            yield _pairs(out)
+        yield _pairs([(s, None) for s in owned])
+
+    found = slim.mapInArrow(run, "seq long, mate long")
     row = F.struct(*names)
     whole = packets.select(F.col("seq").alias("__seq"), row.alias("row"))
     one = found.join(whole.withColumnRenamed("__seq", "seq"), "seq")
