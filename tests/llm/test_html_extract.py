@@ -75,6 +75,33 @@ def test_no_contradictions():
     assert "Menu" not in p.decode(__import__("numpy").array(odds))
 
 
+def test_names_are_learned_from_pages(spark):
+    """Blocks under names of no list: outside the article in the sample, within it or without a mark in other pages."""
+    r = random.Random(3)
+    say = lambda n: " ".join(f"{r.choice('abcdefg')}{r.randrange(300)}" for _ in range(n)).capitalize() + "."
+    thread = lambda: "<div class='discussion-thread'>" + "".join(f"<p>{say(20)}</p>" for _ in range(r.randrange(1, 4))) + "</div>"
+    rail = lambda: f"<section id='zone-rail'><p>{say(25)}</p></section>"
+    story = lambda: f"<div class='wrap'><h1>{say(4)}</h1>" + "".join(f"<p class='graf'>{say(30)}</p>" for _ in range(r.randrange(2, 6))) + "</div>"
+    sample = [f"<html><body class='site'>{rail()}<article>{story()}</article>{thread()}</body></html>" for _ in range(60)]
+    rows = spark.createDataFrame([(k, "u", h) for k, h in enumerate(sample)], SCHEMA)
+    learned = train(rows)
+    pages = []
+    for k in range(10):
+        a, b, c = story(), thread(), rail()
+        pages += [(f"<html><body class='site'><article>{a}{b}</article>{c}</body></html>", a), (f"<html><body class='site'><div>{c}{a}{b}</div></body></html>", a)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(pages)], SCHEMA), model=learned).collect()}
+    for k, (_, a) in enumerate(pages):
+        p = Page(a)
+        assert got[k] == p.decode(np.ones(len(p.tag)))
+
+
+def test_a_long_page(spark, model):
+    body = "<p>Kept text, and more.</p>" * 40_000
+    rows = spark.createDataFrame([(1, "u", page(BODIES[0], body)), (2, "u", page(BODIES[0]))], SCHEMA)
+    got = {r["page_id"]: r["text"] for r in extract(rows, model=model).collect()}
+    assert got == {1: "Head" + " Kept text, and more." * 40_000, 2: TEXT}
+
+
 def test_decoding_against_all_subtrees():
     """The kept nodes have the greatest sum among all sets that are closed towards the root."""
     r = random.Random(6)

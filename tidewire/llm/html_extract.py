@@ -11,10 +11,14 @@ outweighed by its subtree.
 
 Labels for training come from pages that mark their article themselves
 (``article`` or ``main``): text in it counts, except below elements that are
-boilerplate by tag or attribute. So that the trees don't lean on the mark
-alone, every sample page is also shown without it, and with its boilerplate
-moved into the article. The sample is the ``SAMPLE_PAGES`` marked pages with
-the least hash; every page is extracted.
+boilerplate by tag or attribute; text outside doesn't, whatever its names. So
+that the trees don't lean on the mark alone, every sample page is also shown
+without it, and with the named blocks from outside moved into the article, where
+they still don't count. Attribute tokens of a node and of what lies above it go
+into the features, as counts of listed words and as ``BUCKETS`` hashed indicators
+of all others, so names that pages use outside their articles are learned from
+the pages. The sample is the
+``SAMPLE_PAGES`` marked pages with the least hash; every page is extracted.
 
 Null and empty html give an empty text. Pages cut off anywhere are read as far
 as they go. Without a marked page nothing can be learned; then what the label
@@ -22,23 +26,27 @@ rule excludes is left out and all else kept. Repeated rows are extracted one by
 one; an empty table gives no row. Columns named like a result are replaced.
 Very long pages are read whole.
 
-What the trees know of attributes are hits in two fixed lists of words, and the
-labels they learn from use the same lists. So on pages that the lists describe,
-the result is the lists' own; boilerplate in blocks whose names say nothing is
-told from the article by tags, links, density and place alone, and often isn't.
+Within marked articles, labels and two of the features use the same fixed list of
+words: an article's own block under a listed name goes. Names of boilerplate
+that no sample page has outside its article, and no list names, say nothing.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks
+
 SAMPLE_PAGES = 200
+#: Hashed indicators of attribute tokens, one bit of an integer each.
+BUCKETS = 64
 TREES, DEPTH = 20, 4
 
 #: Fixed values of HTML: elements without content, with raw text, and those that close an open paragraph.
@@ -78,9 +86,19 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NAMES = (
     "mark", "boiler_tag", "boiler_words", "content_words", "below_mark", "below_boiler_tag", "below_boiler_words", "below_content_words", "page_has_mark",
     "depth", "children", "siblings", "place", "boiler_siblings", "text", "own_text", "share", "link_share", "density", "stops", "heading", "paragraph", "is_text",
+    *(f"token_{k}" for k in range(BUCKETS)),
 )
 
 
+def hashed(words) -> int:
+    """The buckets of attribute tokens as bits; listed words have features of their own."""
+    bits = 0
+    for w in words:
+        if w not in BOILER_WORDS and w not in CONTENT_WORDS:
+            bits |= 1 << zlib.crc32(w.encode()) % BUCKETS
+    return bits
+
+
 class Page:
     """Tree of a page: parents, tags ("#" for text runs), attribute word counts and texts.
 
@@ -90,17 +108,20 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.text = [-1], ["#root"], [""]
-        self.boiler, self.content, self.linked = [0], [0], [0]
+        self.boiler, self.content, self.linked, self.tokens = [0], [0], [0], [0]
+        #: Whether the node was moved into the article, or lies below one that was.
+        self.moved: np.ndarray | None = None
         #: Open elements: tag, node (the one around it for inline elements), whether in a link.
         stack, at, n = [("#root", 0, False)], 0, len(source)
 
-        def add(tag, text="", boiler=0, content=0):
+        def add(tag, text="", boiler=0, content=0, tokens=0):
             self.parent.append(stack[-1][1])
             self.tag.append(tag)
             self.text.append(text)
             self.boiler.append(boiler)
             self.content.append(content)
             self.linked.append(0)
+            self.tokens.append(tokens)
             return len(self.tag) - 1
 
         def write(text):
@@ -144,7 +165,7 @@ class Page:
                 if name not in VOID:
                     stack.append((name, stack[-1][1], linked))
                 continue
-            node = add(name, "", boiler, sum(w in CONTENT_WORDS for w in words))
+            node = add(name, "", boiler, sum(w in CONTENT_WORDS for w in words), hashed(words))
             if name in VOID:
                 continue
             if name in RAW:
@@ -174,6 +195,8 @@ class Page:
             inside[i] = t in MARKS or (self.parent[i] >= 0 and inside[self.parent[i]])
         label = np.array([t == "#" for t in self.tag]) & inside & ~out
         label &= np.array([bool(t.strip()) for t in self.text])
+        if self.moved is not None:
+            label &= ~self.moved
         for i in range(len(label) - 1, 0, -1):
             if label[i]:
                 label[self.parent[i]] = True
@@ -187,23 +210,34 @@ class Page:
         return out
 
     def grafted(self) -> Page | None:
-        """The page with its boilerplate moved into the article."""
+        """The page with the blocks around its article that have names, or tags of boilerplate, moved into it."""
         marked = [i for i, t in enumerate(self.tag) if t in MARKS]
-        out = self.excluded()
-        moved = [i for i in range(marked[0]) if out[i] and not out[self.parent[i]] and self.tag[i] not in ("head", "script", "style")] if marked else []
-        moved += [i for i in range(marked[0] + 1, len(out)) if out[i] and not out[self.parent[i]]] if marked else []
+        if not marked:
+            return None
+        # What holds an article stays where it is.
+        fixed = np.array([t in MARKS or t in ("body", "html", "#root") for t in self.tag])
+        for i in range(len(fixed) - 1, 0, -1):
+            fixed[self.parent[i]] |= fixed[i]
+        inside, moved, below = np.zeros(len(fixed), dtype=bool), [], np.zeros(len(fixed), dtype=bool)
+        for i in range(1, len(fixed)):
+            up = self.parent[i]
+            inside[i], below[i] = inside[up] or self.tag[i] in MARKS, below[up]
+            named = self.tag[i] in BOILER_TAGS or self.boiler[i] > 0 or self.tokens[i] != 0
+            listed = self.tag[i] in BOILER_TAGS or self.boiler[i] > 0
+            if not below[i] and not fixed[i] and (listed if inside[i] else named) and self.tag[i] not in ("head", "script", "style"):
+                moved.append(i)
+                below[i] = True
         if not moved:
             return None
-        roots, below = set(moved), np.zeros(len(out), dtype=bool)
-        for i in range(1, len(out)):
-            below[i] = i in roots or below[self.parent[i]]
+        roots = set(moved)
         # Nodes keep their order, parents before children: the article comes first.
         order = [*np.flatnonzero(~below).tolist(), *np.flatnonzero(below).tolist()]
         place = {old: new for new, old in enumerate(order)}
         page = object.__new__(Page)
         page.parent = [-1 if self.parent[i] < 0 else place[marked[0] if i in roots else self.parent[i]] for i in order]
         page.tag, page.text = [self.tag[i] for i in order], [self.text[i] for i in order]
-        page.boiler, page.content, page.linked = ([values[i] for i in order] for values in (self.boiler, self.content, self.linked))
+        page.boiler, page.content, page.linked, page.tokens = ([values[i] for i in order] for values in (self.boiler, self.content, self.linked, self.tokens))
+        page.moved = below[order]
         return page
 
     def features(self, marks: bool = True) -> np.ndarray:
@@ -220,8 +254,10 @@ class Page:
         source = np.column_stack([mark, boiler_tag, boiler, content])
         depth, order, count = np.zeros(n), np.zeros(n), np.zeros(n)
         direct = np.zeros(n)
+        tokens = list(self.tokens)
         for i in range(1, n):
-            p = parent[i]
+            p = self.parent[i]
+            tokens[i] |= tokens[p]
             above[i] = above[p] + source[p]
             depth[i] = depth[p] + 1
             order[i] = count[p]
@@ -245,6 +281,7 @@ class Page:
             mark, boiler_tag, boiler, content, above[:, 0] > 0, above[:, 1] > 0, above[:, 2], above[:, 3], np.full(n, mark.any()),
             depth, count, siblings, order / np.maximum(siblings, 1), bad[up] / np.maximum(siblings, 1), np.log1p(text), np.log1p(np.where(is_text > 0, own, direct)),
             text / max(text[0], 1), links / np.maximum(text, 1), np.log1p(text / (tags + 1)), dots / np.maximum(text, 1), heading, paragraph, is_text,
+            np.array(tokens, dtype=np.uint64)[:, None] >> np.arange(BUCKETS, dtype=np.uint64) & np.uint64(1),
         ])
 
     def kept(self, odds: np.ndarray) -> list[bool]:
@@ -349,9 +386,10 @@ def extract(pages: DataFrame, html_col: str = "html", model: Trees | None = None
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
-                found = [Page(s or "") for s in batch.column(html_col).to_pylist()]
+            sources = [h or "" for h in whole.column(html_col).to_pylist()]
+            for at, past in chunks(sources):
+                batch = whole.slice(at, past - at)
+                found = [Page(h) for h in sources[at:past]]
                 if model:
                     rows = [p.features() for p in found]
                     odds = np.split(model.odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
