@@ -3,7 +3,7 @@
     port 53 and (udp or ip6) and not host 192.0.2.1
 
 ``port``, ``host`` and ``net`` may be led by ``src`` or ``dst``; ``udp``, ``tcp``, ``icmp``,
-``icmp6``, ``ip``, ``ip6`` and ``portrange`` are known too; ``domain`` is port 53. An empty
+``icmp6``, ``ip``, ``ip6`` and ``portrange`` are known too; nets are of IPv4 or IPv6; ``domain`` is port 53. An empty
 filter takes everything. A packet without ports or addresses (a fragment, a broken one) has
 none of those asked for, so that ``not port 53`` takes it.
 """
@@ -82,9 +82,9 @@ def capture_filter(text: str) -> Column:
             return any_of(F.col(f"{s}_addr") == host for s in sides)
         if word == "net":
             net = ipaddress.ip_network(take(), strict=False)
-            if net.version != 4:
-                raise ValueError("net is for IPv4")
             low, high = int(net.network_address), int(net.broadcast_address)
+            if net.version == 6:
+                return any_of((F.col("net_ipv") == 6) & ipv6_digits(F.col(f"{s}_addr")).between(f"{low:032x}", f"{high:032x}") for s in sides)
             return any_of((F.col("net_ipv") == 4) & ipv4_number(F.col(f"{s}_addr")).between(low, high) for s in sides)
         raise ValueError(f"filter {text!r}: {word!r} is not known")
 
@@ -104,3 +104,14 @@ def any_of(conditions) -> Column:
 def ipv4_number(text: Column) -> Column:
     parts = F.split(text, r"\.")
     return sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("long") * 256 ** (3 - i) for i in range(1, 4)), F.try_element_at(parts, F.lit(1)).try_cast("long") * 256**3)
+
+
+def ipv6_digits(text: Column) -> Column:
+    """All 32 hexadecimal digits of an address, whose order is that of the addresses."""
+    quad = F.split(F.regexp_extract(text, r"[^:]*$", 0), r"\.")
+    tail = F.format_string("%02x%02x:%02x%02x", *[F.try_element_at(quad, F.lit(i)).try_cast("int") for i in range(1, 5)])
+    plain = F.when(text.contains("."), F.concat(F.regexp_extract(text, r"^.*:", 0), tail)).otherwise(F.lower(text))
+    halves = F.split(plain, "::")
+    left, right = (F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(i)), F.lit("")), ":"), lambda x: x != "") for i in (1, 2))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+    return F.when(text.isNotNull(), F.array_join(F.transform(F.concat(left, zeros, right), lambda x: F.lpad(x, 4, "0")), ""))
