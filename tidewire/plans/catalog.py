@@ -145,6 +145,11 @@ def filter_port(spark, sf_dir):
     return scalar.directed(packets(spark, sf_dir).filter(capture_filter("port 1124"))).select(*SCANNED)
 
 
+@query(f"WITH {PACKETS} SELECT {SCAN} FROM p WHERE regexp_matches(client_addr, '^2001:db8::[67][0-9a-f]$')")
+def filter_net6(spark, sf_dir):
+    return scalar.directed(packets(spark, sf_dir).filter(capture_filter("net 2001:db8::60/123"))).select(*SCANNED)
+
+
 @query(f"WITH {PACKETS} SELECT {SCAN} FROM p WHERE net_proto = 17")
 def filter_proto_udp(spark, sf_dir):
     return scalar.directed(packets(spark, sf_dir).filter(capture_filter("udp"))).select(*SCANNED)
