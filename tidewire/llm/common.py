@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import shared_folder
@@ -34,6 +34,12 @@ def width(spark: SparkSession) -> int:
     )
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is. Texts of ASCII alone take the quick way."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
 def chunks(texts: list[bytes], limit: int = 2_000_000):
     """Yield (start, stop) of runs of texts with about ``limit`` bytes, one text at least."""
     start = total = 0

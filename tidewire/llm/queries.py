@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, lm_score, media, near_dup, pieces, repeats, toxicity, training_order
+from . import decontaminate, html_extract, licenses, line_dedup, lm_score, media, near_dup, pieces, repeats, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_lm_score": op2_lm_score,
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
+    "op12_line_dedup": op12_line_dedup,
 }
 LM_SQL = """
 WITH w AS (
@@ -112,4 +118,14 @@ s AS (
 SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.score, 0.0), 4) AS score FROM documents d LEFT JOIN s USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_lm_score": LM_SQL}
+LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, line, i, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (
+    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+f AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.*, coalesce(l.doc_id < f.last, FALSE) AS gone FROM l LEFT JOIN f ON f.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_lm_score": LM_SQL, "op12_line_dedup": LINES_SQL}
