@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidewire.llm import line_dedup, queries
+from tidewire.llm import common, line_dedup, queries
 
 from ..oracle import compare, connect
 from .data import ODD, SF, empty, table
@@ -51,7 +51,7 @@ def test_brute_force(spark, seed):
 
 
 def test_keys_that_are_not_hot(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHARE", 7)
+    monkeypatch.setattr(common, "SHARE", 7)
     texts = documents(9)
     assert result(table(spark, texts)) == brute(list(enumerate(texts)))
 

@@ -40,6 +40,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: A key of more than one row in so many is hot, so that there are fewer of these keys, whatever the data.
+SHARE = 100_000
+
+
+def find(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with ``table``, one row for each ``key`` with the number of its ``rows``; hot keys are broadcast, fewer than SHARE."""
+    least = (table.agg(F.sum("rows")).first()[0] or 0) / SHARE
+    hot, rest = F.broadcast(table.filter(F.col("rows") > least)), table.filter(F.col("rows") <= least)
+    found = rows.join(hot, key)
+    if rest.isEmpty():
+        return found
+    return found.unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
 def chunks(texts: list[bytes], limit: int = 2_000_000):
     """Yield (start, stop) of runs of texts with about ``limit`` bytes, one text at least."""
     start = total = 0

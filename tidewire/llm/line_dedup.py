@@ -7,9 +7,9 @@ largest doc_id that holds it. What stays is joined again in its order.
 
 All of it is DataFrame functions. Hashes of 64 bits are counted first, with
 partial aggregates; only lines whose hash occurs often enough go on, under 128
-bits, to have their documents counted. Joins by a line's key give the keys of
-more than one line in ``SHARE`` to every task (there are fewer than SHARE of
-them, whatever the data) and shuffle the others, none of which is hot then.
+bits, to have their documents counted. Joins by a line's key give hot keys
+to every task, of which there is a bounded number (``common.find``), and shuffle
+the others.
 Whole texts move once, to meet the places of their dropped lines.
 
 Null and empty texts have one empty line and lose nothing, since it is too
@@ -26,13 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, find, materialize
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Fixed value: the blanks that a key doesn't have at its ends.
 BLANKS = " \t\n\x0b\f\r"
-#: A key of more than one row in so many is hot, so that there are fewer of these keys.
-SHARE = 100_000
 
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -47,16 +45,6 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def find(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Inner join of rows with ``table``, one row for each ``key`` with the number of its ``rows``; hot keys are broadcast, fewer than SHARE."""
-    least = (table.agg(F.sum("rows")).first()[0] or 0) / SHARE
-    hot, rest = F.broadcast(table.filter(F.col("rows") > least)), table.filter(F.col("rows") <= least)
-    found = rows.join(hot, key)
-    if rest.isEmpty():
-        return found
-    return found.unionByName(rows.join(hot, key, "left_anti").join(rest, key))
-
-
 def dropped_lines(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     """(doc_id, text_id, cut): places of the dropped lines in each text that has some, ascending."""
     short = lines_of(docs, least_chars).withColumns({"h": F.xxhash64("key"), "key": F.unhex(F.md5("key"))})

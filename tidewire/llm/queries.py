@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, line_dedup, lm_score, media, near_dup, pieces, repeats, toxicity, training_order
+from . import decontaminate, html_extract, licenses, line_dedup, lm_score, media, near_dup, pieces, repeats, spelling, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -101,6 +105,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_line_dedup": op12_line_dedup,
 }
 LM_SQL = """
