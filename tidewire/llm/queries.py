@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, line_dedup, lm_score, media, near_dup, pieces, repeats, spelling, toxicity, training_order
+from . import decontaminate, dialogue, html_extract, licenses, line_dedup, lm_score, media, near_dup, pieces, repeats, spelling, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(_table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_lm_score": op2_lm_score,
@@ -107,6 +111,7 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 LM_SQL = """
 WITH w AS (
