@@ -1,7 +1,9 @@
 import ipaddress
 import random
 
-from tidewire.functions.filters import capture_filter, ipv6_digits
+import pytest
+
+from tidewire.functions.filters import capture_filter, ipv6_digits, parse
 
 
 def some_addresses(n: int) -> list[str]:
@@ -28,3 +30,21 @@ def test_net_of_either_version(spark):
         assert sorted(map(tuple, rows.filter(capture_filter(text)).collect()), key=key) == sorted(expected, key=key), text
         others = rows.filter(capture_filter(f"not {text}")).count()
         assert others == len(packets) - len(expected), text
+
+
+def test_and_or_from_left_to_right():
+    assert parse("port 1 or udp and tcp") == ("and", ("or", parse("port 1"), parse("udp")), parse("tcp"))
+    assert parse("port 1 && (udp || !tcp)") == ("and", parse("port 1"), ("or", parse("udp"), ("not", parse("tcp"))))
+    assert parse("not udp and tcp") == ("and", ("not", parse("udp")), parse("tcp"))
+
+
+def test_values_of_the_last_kind():
+    assert parse("tcp src port 1 or 2") == ("or", parse("tcp src port 1"), parse("tcp src port 2"))
+    assert parse("10.0.0.1") == parse("host 10.0.0.1") == parse("src or dst host 10.0.0.1")
+    assert parse("port domain or 5") == ("or", parse("port 53"), parse("port 5"))
+
+
+@pytest.mark.parametrize("text", ["port", "udp udp", "(udp", "udp)", "frame 5", "port 53 udp", "net 10.0.0.0/40", "and udp", "vlan"])
+def test_broken_filters(text):
+    with pytest.raises(ValueError):
+        parse(text)

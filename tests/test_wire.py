@@ -1,11 +1,15 @@
 import gzip
+import random
 import struct
 
 import pytest
 
 from tidewire.functions import build, wire
+from tidewire.functions.filters import capture_filter
 from tidewire.sources import pcap
 
+from .frames import dissect as plain_dissect
+
 ADDR = ("10.0.0.1", 1000, "192.0.2.53", 53)
 
 
@@ -17,8 +21,17 @@ def query(**kw):
     return build.message(1, 0x0100, "www.example.", 1, 1, **kw)
 
 
+def taken_apart(frames, link=pcap.RAW, snaplen=-1, filter=""):
+    """Rows of the reader for frames in one block."""
+    data, found = b"", []
+    for k, frame in enumerate(frames):
+        found.append((k, 0, len(frame), len(data), len(frame)))
+        data += frame
+    return pcap._batch(data, found, link, snaplen, pcap.parse(filter), []).to_pylist()
+
+
 def dissect(frame, link=pcap.RAW):
-    return pcap.dissect(link, frame, len(frame))
+    return taken_apart([b"\x45" * 3, frame, b"\xff" * 70], link)[1]
 
 
 def patched(frame, at, data):
@@ -56,6 +69,61 @@ def test_valid_frames():
     assert dissect(icmp)["drop_reason"] is None and dissect(icmp)["payload"] == q
 
 
+def noise(seed, n=1500):
+    """Frames of all kinds with spoiled bytes, cut anywhere, under random link headers."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        proto = r.choice([17, 17, 6, 1, 58, 132])
+        src, dst = r.choice([("10.0.0.1", "192.0.2.53"), ("2001:db8::1", "fe80::53"), ("::", "::ffff:1.2.3.4")])
+        raw = build.ip_packet(src, r.randrange(65536), dst, 53, proto, query()[: r.choice([99, 0, 1, 5])], r.randrange(256), r.randrange(65536))
+        if raw[0] >> 4 == 6 and r.random() < 0.4:
+            # An extension header, or a fragment's.
+            kind = r.choice([0, 43, 44, 60])
+            extra = bytes([raw[6], 0]) + (struct.pack(">H", r.choice([0, 1, 8, 9])) if kind == 44 else bytes(2)) + bytes(4)
+            raw = raw[:4] + struct.pack(">H", len(raw) - 40 + 8) + bytes([kind]) + raw[7:40] + extra + raw[40:]
+        for _ in range(r.randrange(3)):
+            k = r.randrange(len(raw))
+            raw = raw[:k] + bytes([r.choice([0, 2, 6, 8, 17, 44, 69, 96, 255, r.randrange(256)])]) + raw[k + 1 :]
+        out.append(raw[: r.choice([len(raw), len(raw), r.randrange(len(raw) + 1)])])
+    return out
+
+
+LINKS = {pcap.RAW: b"", pcap.NULL: b"\2\0\0\0", pcap.ETHERNET: b"\1" * 12, pcap.COOKED: b"\2" * 14}
+
+
+@pytest.mark.parametrize("link", LINKS)
+def test_rows_of_blocks(link):
+    r = random.Random(link)
+    frames = []
+    for raw in noise(link):
+        kind = b"\x86\xdd" if raw[:1] and raw[0] >> 4 == 6 else b"\x08\x00"
+        tags = b"".join(r.choice([b"\x81\0", b"\x88\xa8"]) + b"\0\5" for _ in range(r.choice([0, 0, 1, 2, 3])))
+        frame = LINKS[link] + (tags + r.choice([kind, kind, kind, b"\x08\x06"]) if link in (pcap.ETHERNET, pcap.COOKED) else b"") + raw
+        frames.append(frame[: r.choice([len(frame)] * 9 + [r.randrange(len(frame) + 1)])])
+    for snaplen in (-1, 45):
+        for got, frame in zip(taken_apart(frames, link, snaplen), frames):
+            kept = frame[:snaplen] if snaplen > 0 else frame
+            want = plain_dissect(link, kept, len(frame) - (14 if link == pcap.ETHERNET else 0)) | {"seq": got["seq"], "ts_us": 0}
+            assert got == want, frame.hex()
+
+
+def test_filters_on_blocks_and_columns(spark):
+    """A filter on header bytes takes the same frames as on columns."""
+    frames = noise(77, 600)
+    rows = taken_apart(frames)
+    table = spark.createDataFrame(rows, pcap.FRAMES)
+    filters = [
+        "", "port 53", "udp", "ip6 and not port 53", "port 53 or udp and host 10.0.0.1", "udp and host 10.0.0.1 or port 53", "not (tcp or ip6)", "src net 10.0.0.0/8 or dst net fe80::/10",
+        "src or dst port 53", "src and dst net ::/0", "portrange 0-30000", "less 60", "greater 70 and tcp", "dst host ::ffff:1.2.3.4", "tcp dst port 53", "icmp6 or icmp", "ip proto 17 and src net 10.0.0.0 mask 255.255.0.0",
+        "port 53 or 99 or host 10.0.0.1 or 192.0.2.53",
+    ]
+    for text in filters:
+        want = sorted(r["seq"] for r in table.filter(capture_filter(text)).select("seq").collect())
+        assert [r["seq"] for r in taken_apart(frames, filter=text)] == want, text
+    assert len(taken_apart(frames, filter="port 53 or udp and host 10.0.0.1")) < len(taken_apart(frames, filter="port 53 or (udp and host 10.0.0.1)"))
+
+
 def test_names():
     assert wire.name_text([b"a", b"b c"]) == "a.b\\040c."
     assert wire.name_text([]) == "."

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import directed
 from ..plans.schema import KEY
+from .arrival import accepted
 
 #: Candidates whose name differs that one response looks at, one more than so many.
 SEARCH_CAP = 32
@@ -46,13 +47,27 @@ def _sliced(packets: DataFrame, window_us: int, slice_us: int | None) -> tuple[D
     return spread, [*KEY, "__slice"], F.col("__slice") == at(ts)
 
 
-def match(packets: DataFrame, window_us: int, match_qname: bool = False, slice_us: int | None = None, pick: str = "newest") -> DataFrame:
+def _leveled(packets: DataFrame, key: list[str]) -> DataFrame:
+    """Packets with ``__level``: a response's predecessor on its level of its key is the request it takes."""
+    order = Window.partitionBy(*key).orderBy("seq")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    response = F.col("is_response")
+    rows = packets.withColumn("__s", F.sum(F.when(response, -1).otherwise(1)).over(running))
+    rows = rows.withColumn("__depth", F.col("__s") - F.least(F.lit(0), F.min("__s").over(running)))
+    return rows.withColumn("__level", F.when(response, F.coalesce(F.lag("__depth").over(order), F.lit(0))).otherwise(F.col("__depth")))
+
+
+def match(packets: DataFrame, window_us: int, match_qname: bool = False, slice_us: int | None = None, pick: str = "newest", strict_arrival: bool = False) -> DataFrame:
     """(seq, ts_us, req, resp) of valid packets; at least one of the structs isn't null.
 
+    ``strict_arrival`` goes by the clock of arrival where times don't rise (``arrival``), without slices.
+
     ``match_qname`` adds the name to the key. That is exact without root names
     among responses and with at most SEARCH_CAP + 1 pending requests a key;
     otherwise take ``match_fold``.
     """
+    if strict_arrival:
+        return _match_strict(packets, window_us, match_qname)
     if pick == "oldest":
         return match_fold(packets, window_us, match_qname, slice_us, pick)
     packets = directed(packets.filter("drop_reason is null"))
@@ -60,18 +75,13 @@ def match(packets: DataFrame, window_us: int, match_qname: bool = False, slice_u
     packets, key, own = _sliced(packets, window_us, slice_us)
     if match_qname:
         key = [*key, "qname"]
-    order = Window.partitionBy(*key).orderBy("seq")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    response = F.col("is_response")
-    rows = packets.withColumn("__s", F.sum(F.when(response, -1).otherwise(1)).over(running))
-    rows = rows.withColumn("__depth", F.col("__s") - F.least(F.lit(0), F.min("__s").over(running)))
-    rows = rows.withColumn("__level", F.when(response, F.coalesce(F.lag("__depth").over(order), F.lit(0))).otherwise(F.col("__depth")))
+    rows = _leveled(packets, key)
     level = Window.partitionBy(*key, "__level").orderBy("seq")
     rows = rows.withColumns({
         "__own": own, "__next": F.lead(F.struct(*names)).over(level),
         "__before": F.lag(F.struct("is_response", "ts_us")).over(level),
     })
-    near = F.lit(window_us)
+    response, near = F.col("is_response"), F.lit(window_us)
     answered = F.coalesce(F.col("__next.is_response") & (F.col("__next.ts_us") - F.col("ts_us") < near), F.lit(False))
     answers = F.coalesce((F.col("__level") > 0) & ~F.col("__before.is_response") & (F.col("ts_us") - F.col("__before.ts_us") < near), F.lit(False))
     own_row = F.struct(*names)
@@ -81,6 +91,21 @@ def match(packets: DataFrame, window_us: int, match_qname: bool = False, slice_u
     )
 
 
+def _match_strict(packets: DataFrame, window_us: int, match_qname: bool) -> DataFrame:
+    packets = directed(packets.filter("drop_reason is null"))
+    key = [*KEY, "qname"] if match_qname else KEY
+    rows = _leveled(packets.select(*key, "seq", "is_response"), key)
+    before = F.lag(F.struct("seq", "is_response")).over(Window.partitionBy(*key, "__level").orderBy("seq"))
+    taken = rows.withColumn("__before", before).filter("is_response and __level > 0 and not __before.is_response")
+    pairs = accepted(packets, taken.select(F.col("seq").alias("resp"), F.col("__before.seq").alias("req")), window_us)
+    row = F.struct(*packets.columns)
+    found = pairs.select(F.col("req").alias("seq"), F.col("resp").alias("mate"))
+    asked = packets.filter("not is_response").select("seq", "ts_us", row.alias("req")).join(found, "seq", "left")
+    answers = packets.filter("is_response").select(F.col("seq").alias("mate"), F.col("ts_us").alias("__ts"), row.alias("resp"))
+    both = asked.join(answers, "mate", "full")
+    return both.select(F.coalesce("seq", "mate").alias("seq"), F.coalesce("ts_us", "__ts").alias("ts_us"), "req", "resp")
+
+
 class Open:
     """Requests of one key that wait for their responses, in the order of packets."""
 

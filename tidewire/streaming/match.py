@@ -1,11 +1,20 @@
-"""Matching on a stream: pending requests as state, expiry by event-time timers.
-
-The semantics are those of the batch operator. Spark drops rows behind the
-watermark, so its delay must be at least the disorder of the input; rows of a
-micro-batch are put in order of ``seq`` within their key. What is pending when
-a stream ends is given out by a late row (``flush_row``): it moves the watermark
-past the window of all requests, so that their timers fire. It must come last,
-since rows after it are behind the watermark.
+"""Matching on a stream: pending requests as state, expired by timers.
+
+The semantics are those of the batch operator; rows of a micro-batch are put in
+order of ``seq`` within their key.
+
+By event time (the default) requests leave as the watermark passes their window.
+Spark drops rows behind the watermark, so its delay must be at least the
+disorder of the input. What is pending when a stream ends is given out by a late
+row (``flush_row``): it moves the watermark past the window of all requests, so
+that their timers fire. It must come last, since rows after it are behind the
+watermark.
+
+By the clock on the wall (``idle_us``) a request leaves when the window and
+``idle_us`` have gone by since it was read, whether or not packets come; before
+that, a packet of its key with a later time lets it leave as ever. There is no
+watermark, so no row is dropped however late: it pairs with what is pending or
+is a row of its own.
 """
 
 from __future__ import annotations
@@ -17,58 +26,60 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..functions.scalar import directed
-from ..operators.match import SEARCH_CAP
+from ..operators.match import Open
 from ..plans.schema import KEY
 
-PENDING = "seq long, ts_us long, qname string"
+PENDING = "seq long, ts_us long, qname string, read_ms long"
 OUT = "seq long, ts_us long, req_seq long, resp_seq long, delay_us long"
 
 
-def matcher(window_us: int, match_qname: bool):
+def matcher(window_us: int, match_qname: bool, idle_us: int | None):
+    wait_ms = (window_us + (idle_us or 0)) // 1000 + 1
+
     class Matcher(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.pending = handle.getListState("pending", PENDING)
 
-        def _load(self):
+        def _load(self) -> list[tuple]:
             return [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
 
-        def _store(self, rows):
+        def _store(self, rows: list[tuple]) -> None:
             self.pending.clear()
             if rows:
                 self.pending.put(rows)
 
         @staticmethod
-        def _frame(out):
+        def _frame(out: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame({n: pd.array([r[k] for r in out], dtype="Int64") for k, n in enumerate(("seq", "ts_us", "req_seq", "resp_seq", "delay_us"))})
 
         def handleInputRows(self, key, rows, timerValues):
             # Flush rows have no seq; they only move the watermark.
             data = pd.concat([r[r["seq"].notna()] for r in rows], ignore_index=True).sort_values("seq")
-            pending, out = self._load(), []
+            now = timerValues.getCurrentProcessingTimeInMs() if idle_us is not None else 0
+            waiting, out, due = Open(window_us, match_qname, "newest"), [], set()
+            for seq, ts, name, read in self._load():
+                waiting.ask((seq, ts, read), ts, name)
             for seq, ts, response, name in zip(data["seq"], data["ts_us"], data["is_response"], data["qname"]):
                 seq, ts = int(seq), int(ts)
-                out += [(p[0], p[1], p[0], None, None) for p in pending if ts - p[1] >= window_us]
-                pending = [p for p in pending if ts - p[1] < window_us]
+                out += [(s, t, s, None, None) for s, t, _ in waiting.expire(ts)]
                 if not response:
-                    pending.append((seq, ts, name))
-                    self.handle.registerTimer((ts + window_us) // 1000 + 1)
-                    continue
-                found = None
-                for k in range(len(pending) - 1, max(-1, len(pending) - 2 - SEARCH_CAP), -1):
-                    if not match_qname or name == "." or pending[k][2] == name:
-                        found = pending.pop(k)
-                        break
-                out.append((found[0], found[1], found[0], seq, ts - found[1]) if found else (seq, ts, None, seq, None))
-            self._store(pending)
+                    waiting.ask((seq, ts, now), ts, name)
+                    due.add(now + wait_ms if idle_us is not None else (ts + window_us) // 1000 + 1)
+                elif (found := waiting.answer(name)) is None:
+                    out.append((seq, ts, None, seq, None))
+                else:
+                    out.append((found[0], found[1], found[0], seq, ts - found[1]))
+            for t in due:
+                self.handle.registerTimer(t)
+            self._store([(s, ts, name, read) for (s, ts, read), _, name in waiting.waiting])
             yield self._frame(out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            pending = self._load()
-            out = [(p[0], p[1], p[0], None, None) for p in pending if p[1] + window_us <= due]
-            self._store([p for p in pending if p[1] + window_us > due])
-            yield self._frame(out)
+            due, pending = expiredTimerInfo.getExpiryTimeInMs(), self._load()
+            gone = lambda p: p[3] + wait_ms <= due if idle_us is not None else p[1] + window_us <= due * 1000
+            self._store([p for p in pending if not gone(p)])
+            yield self._frame([(p[0], p[1], p[0], None, None) for p in pending if gone(p)])
 
         def close(self) -> None:
             pass
@@ -76,12 +87,17 @@ def matcher(window_us: int, match_qname: bool):
     return Matcher()
 
 
-def match_stream(packets: DataFrame, window_us: int, match_qname: bool = False, watermark: str = "1 minute") -> DataFrame:
-    """(seq, ts_us, req_seq, resp_seq, delay_us) of a stream of packets, appended as they are decided."""
-    rows = directed(packets.filter("drop_reason is null")).withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", watermark)
-    rows = rows.select(*KEY, "event_time", "seq", "ts_us", "is_response", "qname")
+def match_stream(packets: DataFrame, window_us: int, match_qname: bool = False, watermark: str = "1 minute", idle_us: int | None = None) -> DataFrame:
+    """(seq, ts_us, req_seq, resp_seq, delay_us) of a stream of packets, appended as they are decided.
+
+    With ``idle_us`` requests expire by the clock on the wall and no row is too late; ``watermark`` isn't used.
+    """
+    rows = directed(packets.filter("drop_reason is null"))
+    if idle_us is None:
+        rows = rows.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", watermark)
+    rows = rows.select(*KEY, *(["event_time"] if idle_us is None else []), "seq", "ts_us", "is_response", "qname")
     return rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=matcher(window_us, match_qname), outputStructType=OUT, outputMode="append", timeMode="EventTime",
+        statefulProcessor=matcher(window_us, match_qname, idle_us), outputStructType=OUT, outputMode="append", timeMode="EventTime" if idle_us is None else "ProcessingTime",
     )
 
 
