@@ -8,7 +8,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .wire import DAU, DHU, N3U, NSID, OPT
+from .wire import DAU, DHU, N3U, NSID, OPT, SUBNET
 
 
 def name_bytes(text: str) -> bytes:
@@ -24,10 +24,23 @@ def message(dns_id: int, flags: int, qname: str, qtype: int, qclass: int, opt: d
         for code, key in ((NSID, "nsid"), (DAU, "dau"), (DHU, "dhu"), (N3U, "n3u")):
             if opt.get(key) is not None:
                 data += struct.pack(">HH", code, len(opt[key])) + bytes(opt[key])
+        if opt.get("subnet") is not None:
+            value = subnet_bytes(opt["subnet"])
+            data += struct.pack(">HH", SUBNET, len(value)) + value
+        for code in filter(None, (opt.get("other") or "").split(",")):
+            data += struct.pack(">HH", int(code), 0)
         out += b"\0" + struct.pack(">HHIH", OPT, opt["udp"], opt["ext_rcode"] << 24 | opt["ver"] << 16 | bool(opt["do"]) << 15, len(data)) + data
     return out + tail
 
 
+def subnet_bytes(text: str) -> bytes:
+    """Wire form of "family,address/length,scope"."""
+    family, net, scope = text.split(",")
+    address, length = net.split("/")
+    kept = ipaddress.ip_address(address).packed[: -(-int(length) // 8)]
+    return struct.pack(">HBB", 1 if family == "4" else 2, int(length), int(scope)) + kept
+
+
 def ip_packet(src: str, sport: int, dst: str, dport: int, proto: int, payload: bytes, ttl: int = 64, checksum: int = 0) -> bytes:
     """UDP datagram, or TCP data segment led by the message's length, in an IPv4 or IPv6 packet."""
     if proto == 6:

@@ -5,12 +5,14 @@ Integers are cast to bigint on both sides, so that schemas agree.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import build, scalar, wire
 from ..functions.filters import capture_filter
-from ..operators import dump, stats
+from ..operators import arrival, dump, stats
 from ..operators.match import match, match_fold
 from ..operators.project import project, time_parts, warehouse
 from ..sinks import cbor, csv
@@ -72,7 +74,8 @@ p AS (
     CAST(floor(value) AS BIGINT) % 65 AS net_ttl, (event_id * 7) % 65536 AS udp_sum, (user_id * 7919) % 65536 AS dns_id, (event_id * 40503) % 65536 AS flags_word,
     17 + event_id % 480 AS dns_len, 59 + event_id % 480 AS net_len,
     'q' || (CAST(json_extract_string(props, '$.k') AS INT) % 8) || '.example.' AS qname, 1 + event_id % 16 AS qtype, 1 AS qclass,
-    event_id % 5 AS ancount, event_id % 3 AS nscount, event_id % 4 AS arcount, event_id % 4 <> 0 AS has_opt
+    event_id % 5 AS ancount, event_id % 3 AS nscount, event_id % 4 AS arcount, event_id % 4 <> 0 AS has_opt,
+    CASE WHEN event_id % 4 <> 0 AND event_id % 9 = 0 THEN '10,65001' END AS other, CASE WHEN event_id % 4 <> 0 AND event_id % 13 = 0 THEN '4,10.' || (user_id % 200) || '.0.0/16,0' END AS subnet
   FROM events)"""
 
 
@@ -92,7 +95,7 @@ m AS (SELECT seq, ts_us, CASE WHEN NOT is_response THEN seq END AS req_seq,
 PAIRS = matching() + """,
 r AS (SELECT m.*, q.ts_us AS q_ts, a.ts_us AS a_ts, q.dns_len AS q_dns_len, a.dns_len AS a_dns_len, q.net_len AS q_net_len, a.net_len AS a_net_len,
     q.flags_word AS qf, a.flags_word AS af, q.net_proto AS q_proto, q.udp_sum AS q_sum, a.ancount, a.nscount, a.arcount,
-    q.has_opt AS q_opt, a.has_opt AS a_opt, o.client_addr, o.client_port, o.server_addr, o.server_port, o.net_proto, o.net_ipv, o.net_ttl,
+    q.has_opt AS q_opt, a.has_opt AS a_opt, q.other AS q_other, a.other AS a_other, q.subnet AS q_subnet, a.subnet AS a_subnet, o.client_addr, o.client_port, o.server_addr, o.server_port, o.net_proto, o.net_ipv, o.net_ttl,
     o.dns_id, o.qtype, o.qclass, o.flags_word, o.qname
   FROM m LEFT JOIN p q ON q.seq = m.req_seq LEFT JOIN p a ON a.seq = m.resp_seq JOIN p o ON o.seq = m.seq)"""
 
@@ -111,7 +114,7 @@ RECORD = {
     "resp_edns_rcode": "CASE WHEN a_opt THEN resp_seq % 3 END", "req_edns_ping": "CAST(NULL AS BOOLEAN)",
     "req_edns_dau": "CASE WHEN q_opt AND req_seq % 5 = 0 THEN '5,7,8' END", "req_edns_dhu": "CASE WHEN q_opt AND req_seq % 7 = 0 THEN '1,2' END", "req_edns_n3u": "CASE WHEN q_opt AND req_seq % 11 = 0 THEN '1' END",
     "resp_edns_nsid": "CASE WHEN a_opt AND resp_seq % 3 = 0 THEN hex('ns,' || (resp_seq % 4)) END",
-    "edns_client_subnet": "CAST(NULL AS VARCHAR)", "edns_other": "CAST(NULL AS VARCHAR)",
+    "edns_client_subnet": "coalesce(a_subnet, q_subnet)", "edns_other": "coalesce(q_other, a_other)",
 }
 
 
@@ -150,6 +153,13 @@ def filter_net6(spark, sf_dir):
     return scalar.directed(packets(spark, sf_dir).filter(capture_filter("net 2001:db8::60/123"))).select(*SCANNED)
 
 
+@query(f"WITH {PACKETS} SELECT {SCAN} FROM p WHERE (client_port = 1124 OR net_proto = 17) AND net_ipv = 6 AND net_len BETWEEN 100 AND 400")
+def filter_left_to_right(spark, sf_dir):
+    """``and`` and ``or`` without brackets are equals."""
+    wanted = capture_filter("src or dst port 1124 or udp and ip6 and greater 100 and not greater 401")
+    return scalar.directed(packets(spark, sf_dir).filter(wanted)).select(*SCANNED)
+
+
 @query(f"WITH {PACKETS} SELECT {SCAN} FROM p WHERE net_proto = 17")
 def filter_proto_udp(spark, sf_dir):
     return scalar.directed(packets(spark, sf_dir).filter(capture_filter("udp"))).select(*SCANNED)
@@ -223,6 +233,47 @@ def match_qname_fold(spark, sf_dir):
     return seqs(match_fold(packets(spark, sf_dir), WINDOW, slice_us=SLICE))
 
 
+def disordered(packets: DataFrame) -> DataFrame:
+    """One packet in seven is up to 14 hours older than its place tells."""
+    behind = F.when(F.col("seq") % 7 == 0, (F.col("seq") * 7919 % 50_000) * 1_000_000).otherwise(0)
+    return packets.withColumn("ts_us", F.col("ts_us") - behind)
+
+
+BEHIND = "SELECT * REPLACE (ts_us - CASE WHEN seq % 7 = 0 THEN (seq * 7919 % 50000) * 1000000 ELSE 0 END AS ts_us) FROM p WHERE drop_reason IS NULL"
+KEYS = "net_ipv, net_proto, dns_id, client_addr, client_port, server_addr, server_port"
+#: Rounds of verdicts in the SQL twin; the library goes on until nothing changes.
+ROUNDS = 8
+
+
+def arrival_sql() -> str:
+    so_far = "OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+    parts = [f"""{PACKETS}, o AS ({BEHIND}),
+s AS (SELECT *, sum(CASE WHEN is_response THEN -1 ELSE 1 END) OVER (PARTITION BY {KEYS} ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM o),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY {KEYS} ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS depth FROM s),
+l AS (SELECT *, CASE WHEN is_response THEN coalesce(lag(depth) OVER (PARTITION BY {KEYS} ORDER BY seq), 0) ELSE depth END AS lvl FROM d),
+b AS (SELECT *, lag(seq) OVER w AS before_seq, lag(is_response) OVER w AS before_response FROM l WINDOW w AS (PARTITION BY {KEYS}, lvl ORDER BY seq)),
+t AS (SELECT seq, ts_us, is_response, max(ts_us) {so_far} AS c, CASE WHEN is_response AND lvl > 0 AND NOT before_response THEN before_seq END AS req FROM b),
+late0 AS (SELECT seq FROM t WHERE FALSE)"""]
+    for k in range(ROUNDS):
+        parts.append(f"""w{k} AS (SELECT t.seq, max(CASE WHEN NOT is_response OR req IS NULL OR x.seq IS NOT NULL THEN ts_us END) OVER (ORDER BY t.seq ROWS UNBOUNDED PRECEDING) AS p FROM t LEFT JOIN late{k} x ON x.seq = t.seq),
+late{k + 1} AS (SELECT t.seq FROM t JOIN w{k} w ON w.seq = t.req WHERE t.c >= w.p + {WINDOW})""")
+    pairs = f"pr AS (SELECT seq AS resp_seq, req AS req_seq FROM t WHERE req IS NOT NULL AND seq NOT IN (SELECT seq FROM late{ROUNDS}))"
+    return f"""WITH {", ".join(parts)}, {pairs}
+SELECT t.seq, t.ts_us, CASE WHEN NOT t.is_response THEN t.seq END AS req_seq, CASE WHEN t.is_response THEN t.seq ELSE pr.resp_seq END AS resp_seq
+FROM t LEFT JOIN pr ON pr.req_seq = t.seq WHERE t.seq NOT IN (SELECT resp_seq FROM pr)"""
+
+
+@query(f"WITH {PACKETS}, o AS ({BEHIND}) SELECT seq, ts_us, max(ts_us) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS clock_us FROM o")
+def arrival_clock(spark, sf_dir):
+    return arrival.clock(disordered(packets(spark, sf_dir)))
+
+
+@query(arrival_sql())
+def match_arrival(spark, sf_dir):
+    """Packets out of order, matched by the clock of arrival."""
+    return seqs(match(disordered(packets(spark, sf_dir)), WINDOW, strict_arrival=True))
+
+
 FLAGS = ["opcode", "rcode", "resp_aa", "resp_tc", "req_rd", "resp_ra", "req_z", "resp_ad", "req_cd"]
 
 
@@ -275,6 +326,8 @@ def csv_sql(flags, separator: str) -> str:
         elif c == "resp_edns_nsid":
             plain = "CASE WHEN a_opt AND resp_seq % 3 = 0 THEN 'ns,' || (resp_seq % 4) END"
             e = f"coalesce(replace({plain}, ',', '\\,'), '\\N')" if separator == "," else f"coalesce({plain}, '\\N')"
+        elif c in ("edns_client_subnet", "edns_other") and separator == ",":
+            e = f"coalesce(replace({e}, ',', '\\,'), '\\N')"
         elif c in ("qname", "client_addr", "server_addr", "edns_client_subnet", "edns_other"):
             e = f"coalesce({e}, '\\N')"
         else:
@@ -397,7 +450,7 @@ def dump_stats(spark, sf_dir):
 
 
 #: Columns that come back from a capture file as they went in.
-WIRE = "ts_us, CASE WHEN is_response THEN server_addr WHEN client_addr = '2001:db8::0' THEN '2001:db8::' ELSE client_addr END AS src_addr, CASE WHEN is_response THEN client_port ELSE 53 END AS dst_port, CAST(net_ipv AS BIGINT) AS net_ipv, CAST(net_proto AS BIGINT) AS net_proto, net_ttl, CASE WHEN net_proto = 17 THEN udp_sum ELSE 0 END AS udp_sum, is_response, dns_id, qname, qtype, CAST(qclass AS BIGINT) AS qclass, CASE WHEN has_opt THEN 512 + seq % 3584 END AS edns_udp, CASE WHEN has_opt AND seq % 5 = 0 THEN '5,7,8' END AS edns_dau"
+WIRE = "ts_us, CASE WHEN is_response THEN server_addr WHEN client_addr = '2001:db8::0' THEN '2001:db8::' ELSE client_addr END AS src_addr, CASE WHEN is_response THEN client_port ELSE 53 END AS dst_port, CAST(net_ipv AS BIGINT) AS net_ipv, CAST(net_proto AS BIGINT) AS net_proto, net_ttl, CASE WHEN net_proto = 17 THEN udp_sum ELSE 0 END AS udp_sum, is_response, dns_id, qname, qtype, CAST(qclass AS BIGINT) AS qclass, CASE WHEN has_opt THEN 512 + seq % 3584 END AS edns_udp, CASE WHEN has_opt AND seq % 5 = 0 THEN '5,7,8' END AS edns_dau, subnet AS edns_subnet, other AS edns_other"
 
 
 @query(f"WITH {PACKETS} SELECT {WIRE} FROM p WHERE drop_reason IS NULL")
@@ -405,8 +458,31 @@ def capture_round_trip(spark, sf_dir):
     """Packets to capture files, read back and decoded."""
     folder = shared_folder(spark, "capture")
     pcap.write(build.frames(packets(spark, sf_dir)), folder, "gzip")
-    back = wire.decode(pcap.read(spark, folder)).filter("drop_reason is null")
-    return back.select("ts_us", "src_addr", "dst_port", "net_ipv", "net_proto", "net_ttl", "udp_sum", "is_response", "dns_id", "qname", "qtype", "qclass", F.col("opt.udp").alias("edns_udp"), F.col("opt.dau").alias("edns_dau"))
+    return on_the_wire(pcap.read(spark, folder))
+
+
+def on_the_wire(frames: DataFrame) -> DataFrame:
+    back = wire.decode(frames).filter("drop_reason is null")
+    edns = [F.col(f"opt.{c}").alias(f"edns_{c}") for c in ("udp", "dau", "subnet", "other")]
+    return back.select("ts_us", "src_addr", "dst_port", "net_ipv", "net_proto", "net_ttl", "udp_sum", "is_response", "dns_id", "qname", "qtype", "qclass", *edns)
+
+
+@query(f"WITH {PACKETS} SELECT {WIRE} FROM p WHERE drop_reason IS NULL")
+def capture_parts(spark, sf_dir):
+    """One plain capture file, read in parts of 256 KB."""
+    folder = shared_folder(spark, "capture")
+    rows = packets(spark, sf_dir)
+    pcap.write(build.frames(rows.repartition(1)), folder)
+    return on_the_wire(pcap.read(spark, folder, split_bytes=1 << 18))
+
+
+@query(f"""WITH {PACKETS} SELECT {WIRE} FROM p WHERE drop_reason IS NULL AND (net_proto = 17 OR net_ipv = 6)
+AND (client_addr IN ('10.0.0.100', '10.0.0.101', '10.0.0.102', '10.0.0.103') OR client_port BETWEEN 1030 AND 1090)""")
+def capture_filtered(spark, sf_dir):
+    """A filter that the reader tests on header bytes; equals from left to right."""
+    folder = shared_folder(spark, "capture")
+    pcap.write(build.frames(packets(spark, sf_dir)), folder)
+    return on_the_wire(pcap.read(spark, folder, filter="udp or ip6 and (net 10.0.0.100/30 or portrange 1030-1090)"))
 
 
 @query(f"WITH {PACKETS} SELECT coalesce(drop_reason, 'valid') AS drop_reason, count(*) AS packets FROM p GROUP BY 1")
@@ -419,28 +495,34 @@ def capture_drop_reasons(spark, sf_dir):
 def spoiled(frames: DataFrame) -> DataFrame:
     """Frames of which some have a fault that the reader or decoder drops them for, by ``seq`` modulo 8."""
     at = lambda k: F.substring("raw", k + 1, 1)
-    v4, kind, tcp = F.hex(at(0)) == "45", F.pmod("seq", F.lit(8)), F.hex(at(9)) == "06"
+    v4, kind = F.hex(at(0)) == "45", F.pmod("seq", F.lit(8))
+    # TCP is used over IPv6 alone; its header begins at byte 40.
+    tcp = ~v4 & (F.hex(at(6)) == "06")
 
     def put(k: int, digits: str):
         new = F.unhex(F.lit(digits))
         return F.concat(F.substring("raw", 1, k), new, F.expr(f"substring(raw, {k + 1 + len(digits) // 2})"))
 
-    # Too short for an IP header; a fragment; another protocol; SYN; a short TCP header; a wrong length prefix.
-    raw = F.when(kind == 0, F.substring("raw", 1, 15)).when(v4 & (kind == 1), put(6, "2000")).when(v4 & (kind == 2), put(9, "84"))
-    raw = raw.when(v4 & tcp & (kind == 3), put(33, "02")).when(v4 & tcp & (kind == 4), F.substring("raw", 1, 30)).when(v4 & tcp & (kind == 5), put(40, "0005"))
+    # Too short for an IP header; a fragment; another protocol; SYN; a short TCP header; a wrong length prefix; a request whose records go past it.
+    raw = F.when(kind == 0, F.substring("raw", 1, 15)).when(v4 & (kind == 1), put(6, "2000")).when(kind == 2, F.when(v4, put(9, "84")).otherwise(put(6, "84")))
+    raw = raw.when(tcp & (kind == 3), put(53, "02")).when(tcp & (kind == 4), F.substring("raw", 1, 50)).when(tcp & (kind == 5), put(60, "0005"))
+    raw = raw.when(v4 & (kind == 6), put(38, "0009"))
     return frames.withColumn("raw", raw.otherwise(F.col("raw")))
 
 
-@query(f"""WITH {PACKETS}, s AS (SELECT CASE WHEN seq % 8 = 0 THEN 'network' WHEN net_ipv = 4 AND seq % 8 = 1 THEN 'fragmented' WHEN net_ipv = 4 AND seq % 8 = 2 THEN 'transport'
-  WHEN net_ipv = 4 AND net_proto = 6 AND seq % 8 = 3 THEN 'transport' WHEN net_ipv = 4 AND net_proto = 6 AND seq % 8 = 4 THEN 'network' WHEN net_ipv = 4 AND net_proto = 6 AND seq % 8 = 5 THEN 'transport'
-  ELSE coalesce(drop_reason, 'valid') END AS drop_reason, ts_us FROM p)
-SELECT drop_reason, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM s GROUP BY 1""")
+@query(f"""WITH {PACKETS}, s AS (SELECT CASE WHEN seq % 8 = 0 THEN 'network' WHEN net_ipv = 4 AND seq % 8 = 1 THEN 'fragmented' WHEN seq % 8 = 2 THEN 'transport'
+  WHEN net_proto = 6 AND seq % 8 = 3 THEN 'transport' WHEN net_proto = 6 AND seq % 8 = 4 THEN 'network' WHEN net_proto = 6 AND seq % 8 = 5 THEN 'transport'
+  WHEN net_ipv = 4 AND seq % 8 = 6 AND NOT is_response THEN 'malformed' ELSE coalesce(drop_reason, 'valid') END AS drop_reason,
+  CASE WHEN seq % 8 > 5 THEN 6 WHEN seq % 8 > 2 AND net_proto <> 6 THEN 9 ELSE seq % 8 END AS fault, ts_us FROM p)
+SELECT drop_reason, fault, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM s GROUP BY 1, 2""")
 def capture_faults(spark, sf_dir):
-    """Every reason to drop a packet, from capture files with such packets."""
+    """Every reason to drop a packet, from capture files with such packets, by the kind of fault (9: none)."""
     folder = shared_folder(spark, "capture")
-    pcap.write(spoiled(build.frames(packets(spark, sf_dir))), folder)
-    read = wire.decode(pcap.read(spark, folder))
-    return read.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("drop_reason")).agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    made = packets(spark, sf_dir)
+    pcap.write(spoiled(build.frames(made)), folder)
+    fault = F.when(F.col("seq") % 8 > 5, 6).when((F.col("seq") % 8 > 2) & (F.col("net_proto") != 6), 9).otherwise(F.col("seq") % 8)
+    read = wire.decode(pcap.read(spark, folder)).select("ts_us", "drop_reason").join(made.select("ts_us", fault.alias("fault")), "ts_us")
+    return read.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("drop_reason"), "fault").agg(F.count("*").alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
 @query(f"WITH {PACKETS} SELECT ts_us, drop_reason FROM p WHERE drop_reason IS NOT NULL OR client_port <> 1124 AND server_port <> 1124")
@@ -501,3 +583,45 @@ def match_streaming(spark, sf_dir):
 def match_streaming_all(spark, sf_dir):
     """All rows of the stream: pairs, lone requests and lone responses."""
     return streamed(packets(spark, sf_dir)).select("seq", "ts_us", "req_seq", "resp_seq")
+
+
+def captured(spark: SparkSession, rows: DataFrame, step: int, watermark: str = "1 day") -> DataFrame:
+    """The stateful matcher over a folder into which the packets' capture files come by steps, with a restart at each."""
+    stage, folder, sink, state = (shared_folder(spark, f"stream-{x}").removeprefix("file://") for x in ("stage", "in", "out", "state"))
+    ordered = rows.repartitionByRange(2 * step, "seq").sortWithinPartitions("seq")
+    pcap.write(build.frames(ordered), stage)
+    os.makedirs(folder)
+    files = sorted(f for f in os.listdir(stage) if f.startswith("part-")) if os.path.isdir(stage) else []
+    last = rows.agg(F.max("ts_us")).first()[0] or 0
+    # Two late packets, each in a file of its own: one moves the watermark, the next batch lets all timers fire.
+    facts = {"src_addr": "192.0.2.1", "dst_addr": "192.0.2.53", "src_port": 1, "dst_port": 53, "net_proto": 17, "net_ttl": 1, "udp_sum": 0, "is_response": False, "dns_id": 1, "flags_word": 0, "qname": "end.", "qtype": 1, "qclass": 1}
+    wanted = {f.name: f for f in rows.schema}
+    for k in (1, 2):
+        late = last + k * (10**11 + WINDOW)
+        end = spark.range(1).select(*[F.lit({**facts, "seq": k, "ts_us": late}.get(n)).cast(f.dataType).alias(n) for n, f in wanted.items()])
+        pcap.write(build.frames(end), f"{stage}/end{k}")
+    steps = [files[k : k + step] for k in range(0, len(files), step)]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for names in [*steps, "end1", "end2"]:
+            if isinstance(names, str):
+                part = next(f for f in os.listdir(f"{stage}/{names}") if f.startswith("part-"))
+                os.replace(f"{stage}/{names}/{part}", f"{folder}/z-{names}.pcap")
+            else:
+                for f in names:
+                    os.replace(f"{stage}/{f}", f"{folder}/{f}")
+            found = match_stream(wire.decode(pcap.read_stream(spark, folder, settle=0)), WINDOW, watermark=watermark)
+            job = found.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(sink)
+            job.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.schema(found.schema).parquet(sink).filter(F.col("ts_us") <= last)
+
+
+@query(f"""WITH {matching()} SELECT m.ts_us, m.req_seq IS NOT NULL AS asked, m.resp_seq IS NOT NULL AS answered, a.ts_us - q.ts_us AS delay_us
+FROM m LEFT JOIN p q ON q.seq = m.req_seq LEFT JOIN p a ON a.seq = m.resp_seq""")
+def match_capture_stream(spark, sf_dir):
+    """Capture files of a growing folder as a stream, restarted in the middle; requests expire as it goes on."""
+    found = captured(spark, packets(spark, sf_dir), 3)
+    return found.select("ts_us", F.col("req_seq").isNotNull().alias("asked"), F.col("resp_seq").isNotNull().alias("answered"), "delay_us")

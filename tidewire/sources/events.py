@@ -28,7 +28,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0).alias("ver"), (512 + event % 3584).cast("int").alias("udp"), (event % 2 == 1).alias("do"), (event % 3).cast("int").alias("ext_rcode"),
             F.when(event % 5 == 0, F.array(F.lit(5), F.lit(7), F.lit(8))).alias("dau"), F.when(event % 7 == 0, F.array(F.lit(1), F.lit(2))).alias("dhu"), F.when(event % 11 == 0, F.array(F.lit(1))).alias("n3u"),
             F.when(event % 3 == 0, F.concat(F.lit("ns,"), (event % 4).cast("string")).cast("binary")).alias("nsid"),
-            F.lit(None).cast("string").alias("other"), F.lit(None).cast("string").alias("subnet"),
+            F.when(event % 9 == 0, F.lit("10,65001")).alias("other"),
+            F.when(event % 13 == 0, F.concat(F.lit("4,10."), (user % 200).cast("string"), F.lit(".0.0/16,0"))).alias("subnet"),
         )).alias("opt"),
         F.when(F.col("event_type") == "signup", "malformed").alias("drop_reason"),
     )
