@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..plans.session import shared_folder
 from .common import materialize, width
@@ -232,8 +231,9 @@ def read_payloads(index: DataFrame, folder: str) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
+    """Features of every text (doc_id, text); equal texts have equal values, wherever they are stored."""
     index, folder = store(docs.select("doc_id", "text"))
     return read_payloads(read_headers(index, folder), folder).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "media_width", "media_height", F.col("shard"), "offset", "length",
+        "media_width", "media_height",
     )
