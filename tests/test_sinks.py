@@ -1,3 +1,4 @@
+import io
 import os
 import random
 
@@ -81,7 +82,25 @@ def test_outputs(spark, records, tmp_path, name):
         assert back.agg(F.sum(F.col("id").cast("long"))).first()[0] == records.agg(F.sum("id")).first()[0]
     if flags is None:
         ids = {(r["qname"], r["resp_edns_nsid"]) for r in back.select("qname", "resp_edns_nsid").collect()}
-        assert ids == {(r["qname"], r["n"]) for r in records.select("qname", F.col("resp_edns_nsid").cast("string").alias("n")).collect()}
+        assert ids == {(r["qname"], r["resp_edns_nsid"]) for r in records.select("qname", "resp_edns_nsid").collect()}
+
+
+@pytest.mark.parametrize("separator", [",", "|", "\t", "§", ";"])
+def test_any_bytes_come_back(spark, records, tmp_path, separator):
+    r = random.Random(6)
+    pieces = [b"\\", b"\\n", b"\n", b"\r", b"\0", b"0", b"\\0", b"11", separator.encode(), b"\xff", b"\xc3", "é".encode(), b"N", b" "]
+    if separator == "\t":
+        # Of NUL and two digits the format itself makes the escape of a tab.
+        pieces.remove(b"11")
+    made = [b"".join(r.choice(pieces) for _ in range(r.randrange(12))) for _ in range(300)] + [bytes(range(256)), b"\\N", b"\\" * 1001, None]
+    nsid = spark.createDataFrame([(k, v) for k, v in enumerate(made)], "seq long, resp_edns_nsid binary")
+    names = spark.createDataFrame([(k, f"a\\{k % 128:03o}b.", "4,10.0.0.0/8,0" if k % 2 else None) for k in range(len(made))], "seq long, qname string, edns_client_subnet string")
+    base = records.limit(1).drop("seq", "resp_edns_nsid", "qname", "edns_client_subnet")
+    rows = nsid.join(names, "seq").crossJoin(base)
+    csv.write(rows, str(tmp_path / "out"), ["qname", "edns"], separator)
+    back = csv.read(spark, str(tmp_path / "out"), ["qname", "edns"], separator)
+    key = lambda df: sorted(((r["qname"], r["resp_edns_nsid"] and bytes(r["resp_edns_nsid"]), r["edns_client_subnet"]) for r in df.collect()), key=repr)
+    assert key(back) == key(rows)
 
 
 def test_nothing_is_written_of_nothing(spark, records, tmp_path):
@@ -104,6 +123,16 @@ def test_cbor_values(item):
     assert codec.decode(codec.encode(item)) == (item, len(codec.encode(item)))
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 1 << 20])
+def test_cbor_from_pieces(block):
+    """Items that end anywhere in what is read at a time; a cut last one is an error."""
+    values = [1, "é" * 50, [1, [b"x" * 300, None]], {"a": [2.5]}, 2**40, b"", []]
+    data = b"".join(map(codec.encode, values)) + bytes.fromhex("9f01ff7f61616162ff")
+    assert list(codec.stream_items(io.BytesIO(data).read, block)) == [*values, [1], "ab"]
+    with pytest.raises(ValueError):
+        list(codec.stream_items(io.BytesIO(data[:-1]).read, block))
+
+
 def test_cbor_of_others():
     assert list(codec.items(bytes.fromhex("9f01ff" "7f6161 6162ff" "f93c00" "c11864"))) == [[1], "ab", 1.0, 100]
     with pytest.raises(ValueError):

@@ -5,17 +5,23 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .functions.filters import capture_filter
 from .functions.wire import decode
+from .operators.arrival import in_order
 from .operators.dump import limited
 from .operators.match import match, match_fold
 from .operators.project import project
 from .plans.config import Config, parse
+from .plans.session import written
 from .sinks import cbor, csv
 from .sources import pcap
 
 
+#: Windows of a time slice.
+SLICES = 64
+
+
 def arguments(argv=None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description="Pair DNS requests with responses from capture files.")
     parser.add_argument("-C", "--config", help="file of settings")
@@ -33,12 +39,15 @@ def arguments(argv=None) -> argparse.Namespace:
 
 
 def run(spark: SparkSession, files: list[str], out: str, config: Config) -> None:
-    """Files to records: read, decode, filter, dump what is invalid, match, project, write."""
-    frames = decode(pcap.read(spark, ",".join(files), config.input_snaplen))
-    frames = frames.filter(capture_filter(config.input_filter))
+    """Files to records: read, filter, decode, dump what is invalid, match, project, write."""
+    frames = decode(pcap.read(spark, ",".join(files), config.input_snaplen, config.input_filter))
+    # Decoded once. Captured bytes are needed of invalid packets alone, for the dump.
+    raw = F.when(F.col("drop_reason").isNotNull() & F.lit(bool(config.dump_path_fmt)), F.col("raw"))
+    frames = written(frames.drop("payload").withColumn("raw", raw), "decoded")
     window = int(config.match_window * 1e6)
-    # What was captured isn't needed any more: only decoded columns move.
-    pairs = (match_fold if config.match_qname else match)(frames.drop("raw", "payload"), window)
+    # Slices spread a hot key over tasks, where times rise.
+    slice_us = SLICES * window if in_order(frames) else None
+    pairs = (match_fold if config.match_qname else match)(frames.drop("raw"), window, slice_us=slice_us)
     records = project(pairs, config.output_fields, config.output_type == "cbor")
     compression = "gzip" if config.output_pipe_cmd.split()[:1] == ["gzip"] else None
     if config.output_type == "csv":

@@ -35,14 +35,18 @@ def encode(value) -> bytes:
     raise TypeError(f"no CBOR for {type(value).__name__}")
 
 
+class CutOff(ValueError):
+    """The data ends within an item."""
+
+
 #: Stands for the end of an item of unknown length.
 BREAK = object()
 
 
 def decode(data: bytes, at: int = 0):
-    """(item, position after it); ValueError where the data ends too soon."""
+    """(item, position after it); CutOff where the data ends too soon."""
     if at >= len(data):
-        raise ValueError("no item")
+        raise CutOff("no item")
     major, info = data[at] >> 5, data[at] & 31
     at += 1
     if info < 24 or info == 31:
@@ -50,7 +54,7 @@ def decode(data: bytes, at: int = 0):
     elif info < 28:
         size = 1 << info - 24
         if at + size > len(data):
-            raise ValueError("cut off")
+            raise CutOff("cut off")
         n = int.from_bytes(data[at : at + size], "big")
         at += size
     else:
@@ -60,7 +64,7 @@ def decode(data: bytes, at: int = 0):
         return (n if major == 0 else -1 - n), at
     if major in (2, 3) and not open_end:
         if at + n > len(data):
-            raise ValueError("cut off")
+            raise CutOff("cut off")
         raw = data[at : at + n]
         return (raw if major == 2 else raw.decode()), at + n
     if major in (2, 3):
@@ -92,3 +96,24 @@ def items(data: bytes):
     while at < len(data):
         item, at = decode(data, at)
         yield item
+
+
+def stream_items(read, block: int = 1 << 20):
+    """Items of what ``read(n)`` gives, holding little more than one item and one block.
+
+    An item that goes past the bytes at hand is begun again with twice as many, so that even one of many blocks takes time by its length.
+    """
+    data, at, size = b"", 0, block
+    while True:
+        try:
+            item, at = decode(data, at)
+        except CutOff:
+            more = read(size)
+            if not more:
+                if at < len(data):
+                    raise
+                return
+            data, at, size = data[at:] + more, 0, size * 2
+        else:
+            size = block
+            yield item

@@ -50,6 +50,11 @@ def clock(packets: DataFrame, ranges: int | None = None) -> DataFrame:
     return greatest_so_far(rows, "ts_us", "clock_us").select("seq", "ts_us", "clock_us")
 
 
+def in_order(packets: DataFrame) -> bool:
+    """Whether times of valid packets never fall."""
+    return clock(packets).filter("ts_us < clock_us").isEmpty()
+
+
 def accepted(packets: DataFrame, taken: DataFrame, window_us: int, ranges: int | None = None) -> DataFrame:
     """(resp, req) of those ``taken`` (resp, req: places of a response and the request it would take) that the clock of arrival allows.
 

@@ -552,6 +552,19 @@ def csv_files(spark, sf_dir):
     return csv.read(spark, folder, flags).select("id", "delay_us", "qname")
 
 
+#: Bytes that need an escape, look like one, or are no text, in hexadecimal.
+AWKWARD = "5C6E0D0A005C5C2C5C3080FFC35C"
+
+
+@query(f"WITH {PAIRS} SELECT CAST(seq AS VARCHAR) AS id, '{AWKWARD}' || upper(lpad(to_hex(seq % 256), 2, '0')) AS resp_edns_nsid, coalesce(a_subnet, q_subnet) AS edns_client_subnet FROM r")
+def csv_bytes(spark, sf_dir):
+    """Every byte in a value, and those that escapes are made of, written and read back."""
+    folder, flags = shared_folder(spark, "csv"), ["id", "edns"]
+    awkward = F.unhex(F.concat(F.lit(AWKWARD), F.lpad(F.hex(F.col("seq") % 256), 2, "0")))
+    csv.write(project(pairs(spark, sf_dir), flags).withColumns({"id": F.col("seq").cast("int"), "resp_edns_nsid": awkward}), folder, flags)
+    return csv.read(spark, folder, flags).select("id", "resp_edns_nsid", "edns_client_subnet")
+
+
 def streamed(packets: DataFrame, watermark: str = "60 days") -> DataFrame:
     """The stateful matcher over ``packets`` as a file stream, and once more over the row that ends the stream."""
     spark = packets.sparkSession

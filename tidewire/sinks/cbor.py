@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.cbor import encode, items
+from ..functions.cbor import encode, stream_items
 from ..plans.schema import columns
 from ..sources.pcap import list_files
 
@@ -48,9 +48,8 @@ class CborReader(DataSourceReader):
 
     def read(self, partition):
         with (gzip.open if partition.path.endswith(".gz") else open)(partition.path, "rb") as file:
-            data = file.read()
-        for k, item in enumerate(items(data)):
-            yield (partition.number, k, json.dumps(item, default=lambda b: {"hex": b.hex()}))
+            for k, item in enumerate(stream_items(file.read)):
+                yield (partition.number, k, json.dumps(item, default=lambda b: {"hex": b.hex()}))
 
 
 class CborWriter(DataSourceWriter):
@@ -74,6 +73,8 @@ class CborWriter(DataSourceWriter):
     def commit(self, messages):
         for m in filter(None, messages):
             os.replace(m.temporary, m.final) if m.n else os.unlink(m.temporary)
+        if not os.listdir(self.path):
+            os.rmdir(self.path)
 
     def abort(self, messages):
         for m in filter(None, messages):
@@ -102,8 +103,6 @@ class CborSource(DataSource):
 
 def write(records: DataFrame, path: str, flags=None, compression: str = "none") -> None:
     """Write projected records in order of ``seq``; nothing is left of an empty run."""
-    if records.isEmpty():
-        return
     records.sparkSession.dataSource.register(CborSource)
     rows = encoded(records, flags).sortWithinPartitions("seq").select("cbor")
     rows.write.format("cborseq").option("header", ",".join(columns(flags, cbor=True))).option("compression", compression).mode("append").save(path)

@@ -1,18 +1,27 @@
-"""Records as CSV lines: no quotes, backslash escapes, one record a line."""
+"""Records as CSV lines: no quotes, backslash escapes, one record a line.
+
+Lines are bytes: what isn't escaped stands as it is, bytes over 7F too, whether
+or not they are text. Reading undoes writing byte by byte. (One case can't be
+told: with a separator that isn't graphic, such as a tab, a NUL followed by the
+last two digits of its escape looks like it.)
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import escape, guard, number_list, rotation_start, strftime, time_text
 from ..plans.config import valid_separator
 from ..plans.schema import columns
+from ..plans.session import remove
 
 #: Fixed value: a missing string. A missing number is empty.
 NULL_STRING = "\\N"
-#: Length of the runs of ``seq`` by which a period is dealt out.
-FILE_SEQS = 5_000_000
+#: Length of the runs of ``seq`` by which a period is dealt out: packets of a table, or bytes of a capture.
+FILE_SEQS = 1 << 26
 GUARDED = {"qname", "client_addr", "server_addr", "edns_client_subnet", "edns_other"}
 
 
@@ -26,7 +35,7 @@ def csv_text(name: str, kind: str, separator: str) -> Column:
     if kind.startswith("array"):
         return F.coalesce(number_list(c, separator), F.lit(NULL_STRING))
     if kind == "binary":
-        return F.coalesce(escape(F.decode(c, "ISO-8859-1"), separator), F.lit(NULL_STRING))
+        return F.coalesce(escape(c.cast("string"), separator), F.lit(NULL_STRING))
     if kind == "string":
         return F.coalesce(guard(c, separator) if name in GUARDED else escape(c, separator), F.lit(NULL_STRING))
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -50,7 +59,7 @@ def header(flags=None, separator: str = ",") -> str:
 
 
 def write(records: DataFrame, path: str, flags=None, separator: str = ",", inline_header: bool = True, period_sec: int = 0, path_format: str = "%Y%m%d-%H%M%S", compression: str | None = None, header_path: str | None = None) -> None:
-    """Write text files, a folder for each aligned period; without records nothing is written.
+    """Write text files, a folder for each aligned period; without records nothing is left there.
 
     Each file has its lines by ``seq`` and, with ``inline_header``, the header
     first. A period of many records is dealt out by runs of ``FILE_SEQS`` of
@@ -58,8 +67,6 @@ def write(records: DataFrame, path: str, flags=None, separator: str = ",", inlin
     the header alone.
     """
     rows = lines(records, flags, separator)
-    if rows.isEmpty():
-        return
     if period_sec:
         rows = rows.withColumn("period", strftime(rotation_start(F.col("ts_us"), period_sec), path_format))
         rows = rows.repartition("period", F.floor(F.col("seq") / FILE_SEQS))
@@ -75,8 +82,11 @@ def write(records: DataFrame, path: str, flags=None, separator: str = ",", inlin
     if compression:
         writer = writer.option("compression", compression)
     writer.text(path)
-    if header_path:
-        records.sparkSession.createDataFrame([(header(flags, separator),)], "line string").coalesce(1).write.mode("overwrite").text(header_path)
+    spark = records.sparkSession
+    if spark.read.schema("value string").text(path).isEmpty():
+        remove(spark, path)
+    elif header_path:
+        spark.createDataFrame([(header(flags, separator),)], "line string").coalesce(1).write.mode("overwrite").text(header_path)
 
 
 def with_header(rows: DataFrame, names: list[str], text: str) -> DataFrame:
@@ -99,25 +109,53 @@ def with_header(rows: DataFrame, names: list[str], text: str) -> DataFrame:
 
 
 def read(spark, path: str, flags=None, separator: str = ",", inline_header: bool = True) -> DataFrame:
-    """Text columns of written lines, escapes undone; partition folders become columns."""
-    rows = spark.read.text(path)
+    """Columns of written lines, escapes undone: text, or bytes of the columns that hold them; partition folders become columns."""
+    rows = spark.read.option("lineSep", "\n").text(path)
     names = columns(flags)
     if inline_header:
         rows = rows.filter(F.col("value") != header(flags, separator))
-    cut = F.split(F.col("value"), split_pattern(separator))
-    undone = [unescape(F.try_element_at(cut, F.lit(k + 1)), separator).alias(n) for k, n in enumerate(names)]
+    cut = F.split(marked(F.col("value"), separator), "\0", -1)
+    undone = [value_of(F.try_element_at(cut, F.lit(k + 1)), n, separator).alias(n) for k, n in enumerate(names)]
     return rows.select(*undone, *[c for c in rows.columns if c != "value"])
 
 
-def split_pattern(separator: str) -> str:
-    """The separator, unless an odd number of backslashes leads it."""
-    import re
+#: A byte's character each, so that text functions don't touch bytes that aren't text.
+BYTES = "ISO-8859-1"
+#: Columns of bytes; all others are text.
+BINARY = {"resp_edns_nsid"}
+PAIR = "\\\\"
+
+
+def by_pairs(line: Column, change) -> Column:
+    """``change`` applied to what lies between escaped backslashes. Pairs are told from the left, so that in between each backslash begins an escape."""
+    return F.transform(F.split(line, r"\\\\", -1), change)
+
+
+def marked(line: Column, separator: str) -> Column:
+    """The line's bytes as characters, with NUL, which no line holds, for each separator that isn't escaped."""
+    mark = re.escape(separator.encode().decode(BYTES))
+    return F.array_join(by_pairs(F.decode(line.cast("binary"), BYTES), lambda part: F.regexp_replace(part, rf"(?<!\\){mark}", "\0")), PAIR)
+
+
+def value_of(text: Column, name: str, separator: str) -> Column:
+    """A column's value of its characters between separators."""
+    whole = F.when(text != NULL_STRING, unescape(text, separator, name in GUARDED))
+    out = F.encode(whole, BYTES)
+    return out if name in BINARY else out.cast("string")
+
 
-    return rf"(?<=(?<!\\)(?:\\\\){{0,200}}){re.escape(separator)}"
+def unescape(text: Column, separator: str, guarded: bool = False) -> Column:
+    """The inverse of ``escape``; ``guarded``: of ``guard``, under which other escapes are the name's own."""
+    graphic = separator.isprintable() and not separator.isspace()
+    plain = separator.encode().decode(BYTES)
+    undone = [("\\n", "\n")] + ([(f"\\{plain}", plain)] if graphic else []) + ([] if guarded else [("\\0", "\0")])
+    if not graphic and not guarded:
+        # Before \0: the digits of a separator may begin with it.
+        undone.insert(0, (f"\\{ord(separator):03o}", plain))
 
+    def change(part: Column) -> Column:
+        for old, new in undone:
+            part = F.replace(part, F.lit(old), F.lit(new))
+        return part
 
-def unescape(text: Column, separator: str) -> Column:
-    plain = text
-    for old, new in ((f"\\{separator}", separator), ("\\n", "\n"), ("\\0", "\0")):
-        plain = F.replace(plain, F.lit(old), F.lit(new))
-    return F.when(text == NULL_STRING, None).otherwise(F.replace(plain, F.lit("\\\\"), F.lit("\\")))
+    return change(text) if guarded else F.array_join(by_pairs(text, change), "\\")
