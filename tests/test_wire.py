@@ -2,6 +2,7 @@ import gzip
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from tidewire.functions import build, wire
@@ -150,6 +151,40 @@ def test_edns():
     assert wire.parse_question(b"short") is None and wire.parse_question(None) is None
 
 
+def some_messages(seed, n=1500):
+    """Messages with and without records, compressed names, odd labels and spoiled bytes."""
+    r = random.Random(seed)
+    out = [None, b"", b"\0" * 12]
+    for _ in range(n):
+        opt = {"ver": r.randrange(2), "udp": 512, "do": r.random() < 0.5, "ext_rcode": 1, "dau": [5, 7], "nsid": r.choice([None, b"x\0"]), "other": r.choice([None, "10"]), "subnet": r.choice([None, "6,2001:db8::/32,0"])}
+        m = build.message(r.randrange(65536), r.randrange(65536), r.choice(["www.example.", ".", "a.", "x" * 63 + ".y_-9.", "b." * 100, "q!.é."]), r.randrange(300), 1, r.choice([None, opt]))
+        if r.random() < 0.3:
+            # An answer whose name points back to the question.
+            m = m[:6] + struct.pack(">H", 1) + m[8:] + b"\xc0\x0c" + struct.pack(">HHIH", 1, 1, 60, 4) + b"\1\2\3\4"
+        for _ in range(r.choice([0, 0, 1, 2])):
+            k = r.randrange(len(m))
+            m = m[:k] + bytes([r.choice([0, 1, 3, 64, 192, 255, r.randrange(256)])]) + m[k + 1 :]
+        out.append(m[: r.choice([len(m), len(m), len(m), r.randrange(len(m) + 1)])] + r.choice([b"", b"", b"\0"]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_messages_of_a_batch(seed):
+    made = some_messages(seed)
+    batch = pa.array([b"??", *made], pa.binary()).slice(1)
+    seen = set()
+    for m, got in zip(made, wire.Messages(batch).columns().to_pylist()):
+        word = lambda k: None if m is None or len(m) < k + 2 else struct.unpack(">H", m[k : k + 2])[0]  # noqa: B023, E731
+        assert [got[c] for c in ("dns_id", "flags_word", "ancount", "nscount", "arcount")] == [word(k) for k in (0, 2, 6, 8, 10)]
+        q = wire.parse_question(m)
+        assert (got["qname"], got["qtype"], got["qclass"]) == (q[:3] if q else (None,) * 3), m
+        opt = wire.parse_opt(m, q and q[3])
+        assert got["ok"] == opt.pop("ok"), m
+        assert got["opt"] == (opt if opt["ver"] is not None else None), m
+        seen.add((q is None, got["ok"], got["opt"] is None))
+    assert len(seen) >= 4
+
+
 def capture(path, frames, magic=0xA1B2C3D4, order="<", link=pcap.RAW, opener=open):
     with opener(path, "wb") as f:
         f.write(struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 65535, link))
