@@ -159,12 +159,12 @@ class Frames:
 
 def address_text(upper: np.ndarray, lower: np.ndarray, version: np.ndarray) -> pa.Array:
     """Text of addresses, each different one made once."""
-    keys = np.stack([version.astype(np.uint64), upper, lower], axis=1)
-    different, place = np.unique(keys, axis=0, return_inverse=True)
-    texts = []
-    for v, a, b in different.tolist():
-        texts.append(None if not v else ipaddress.IPv4Address(b).compressed if v == 4 else ipaddress.IPv6Address(a << 64 | b).compressed)
-    return pa.array(texts, pa.string()).take(pa.array(place.reshape(-1)))
+    keys = np.empty((len(version), 17), dtype=np.uint8)
+    keys[:, 0] = version
+    keys[:, 1:9], keys[:, 9:] = (x.astype(">u8").view(np.uint8).reshape(-1, 8) for x in (upper, lower))
+    coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(17), len(keys), [None, pa.py_buffer(keys)]).dictionary_encode()
+    texts = [None if not k[0] else ipaddress.ip_address(k[13:] if k[0] == 4 else k[1:]).compressed for k in coded.dictionary.to_pylist()]
+    return pa.array(texts, pa.string()).take(coded.indices)
 
 
 def _slices(data: bytes, start: np.ndarray, size: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
@@ -174,9 +174,10 @@ def _slices(data: bytes, start: np.ndarray, size: np.ndarray, valid: np.ndarray
     return pa.array([data[a:b] if ok else None for a, b, ok in zip(start.tolist(), ends.tolist(), valid.tolist())], pa.binary())
 
 
-def _batch(data: bytes, found: list[tuple], link: int, snaplen: int, tree: tuple, pushed: list) -> pa.RecordBatch:
-    """Rows of the frames ``found`` (seq, ts_us, length on the wire, first byte, captured length) that pass the filters."""
-    seq, ts, whole, at, size = (np.array(c, dtype=np.int64) for c in zip(*found))
+def _batch(data: bytes, found: list[tuple], link: int, snaplen: int, tree: tuple, pushed: list, number: int = 0) -> pa.RecordBatch:
+    """Rows of the frames ``found`` (place in the file, ts_us, length on the wire, first byte, captured length) that pass the filters."""
+    seq, ts, whole, at, size = np.array(found, dtype=np.int64).T.copy()
+    seq |= number << 40
     size = np.minimum(size, snaplen) if snaplen > 0 else size
     octets = np.frombuffer(data, dtype=np.uint8)
     net_len = whole - (14 if link == ETHERNET else 0)
@@ -396,7 +397,7 @@ class CapturePartition(InputPartition):
 
 def rows_of(partition: CapturePartition, snaplen: int, tree: tuple, pushed: list):
     for link, data, found in blocks(partition.path, partition.start, partition.stop):
-        yield _batch(data, [(partition.number << 40 | at, *rest) for at, *rest in found], link, snaplen, tree, pushed)
+        yield _batch(data, found, link, snaplen, tree, pushed, partition.number)
 
 
 class CaptureReader(DataSourceReader):
