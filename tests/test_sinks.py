@@ -1,6 +1,7 @@
 import io
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,16 @@ def test_token_bucket_against_a_loop(spark):
     assert {r["seq"]: r["admitted"] for r in got} == want and len(set(want.values())) == 2
 
 
+def test_files_open_when_the_one_before_is_too_old(spark, records, tmp_path):
+    csv.write(records, str(tmp_path / "out"), ["id"], period_sec=100_000, greedy=True)
+    opened, want = None, set()
+    for r in records.orderBy("seq").select("ts_us").collect():
+        if opened is None or opened < r["ts_us"] - 100_000 * 10**6:
+            opened = r["ts_us"]
+            want.add(time.strftime("period=%Y%m%d-%H%M%S", time.gmtime(opened // 10**6)))
+    assert {f for f in os.listdir(tmp_path / "out") if f.startswith("period=")} == want and len(want) > 5
+
+
 def test_long_periods_go_in_parts(spark, records, tmp_path, monkeypatch):
     monkeypatch.setattr(csv, "FILE_SEQS", 50)
     csv.write(records, str(tmp_path / "out"), ["id"], period_sec=86_400)

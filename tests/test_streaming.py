@@ -3,8 +3,11 @@ import time
 
 import pytest
 
+from tidewire.operators import stats
 from tidewire.plans import catalog
+from tidewire.sources.events import packets
 from tidewire.streaming.match import OUT, match_stream
+from tidewire.streaming.metrics import Reports, observed
 
 from .oracle import compare, connect
 from .packets import SCHEMA, table
@@ -64,3 +67,23 @@ def test_requests_leave_an_idle_stream_and_late_rows_stay(spark, tmp_path):
     finally:
         job.stop()
         spark.conf.unset(name)
+
+
+def test_reports_of_triggers(spark, tmp_path):
+    """Counters of a stream add up to those of the batch; each trigger tells its lag."""
+    made = packets(spark, SF)
+    made.repartitionByRange(4, "seq").write.parquet(str(tmp_path / "in"))
+    reports = Reports(clock=lambda: 2_000_000_000.0)
+    spark.streams.addListener(reports)
+    try:
+        stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        job = observed(stream).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        job.awaitTermination()
+        end = time.time() + 20
+        want = stats.input_totals(made).first().asDict()
+        while reports.total()["packets"] < want["packets"] and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(reports)
+    assert reports.total() == {c: want[c] for c in ("packets", "bytes", "dropped")} and len(reports.rows) == 4
+    assert all(r["lag_sec"] == 2_000_000_000.0 - r["last_us"] / 1e6 for r in reports.rows)

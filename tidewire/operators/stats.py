@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rotation_start
+from . import rotation
 
 
 def input_totals(packets: DataFrame) -> DataFrame:
@@ -38,6 +39,12 @@ def output_per_file(pairs: DataFrame, period_sec: int) -> DataFrame:
     return output_totals(pairs, rotation_start(F.col("ts_us"), period_sec).alias("file_us"))
 
 
+def output_per_opening(pairs: DataFrame, period_sec: int) -> DataFrame:
+    """Counters of files that each open when the one before is older than the period."""
+    opened = rotation.greedy(pairs.select("seq", "ts_us"), period_sec).select("seq", "opened_us")
+    return output_totals(pairs.join(opened, "seq"), F.col("opened_us"))
+
+
 def drop_counts(packets: DataFrame) -> DataFrame:
     return packets.groupBy(F.coalesce("drop_reason", F.lit("valid")).alias("drop_reason")).agg(F.count("*").alias("packets"), F.sum(F.col("net_len").cast("long")).alias("bytes"))
 

@@ -274,6 +274,33 @@ def match_arrival(spark, sf_dir):
     return seqs(match(disordered(packets(spark, sf_dir)), WINDOW, strict_arrival=True))
 
 
+#: A window in which more requests wait than one response looks at.
+LONG = 40 * WINDOW
+
+
+def crowded(packets: DataFrame) -> DataFrame:
+    """Packets of 16 keys; one response in three asks by the root, which any name answers."""
+    r = F.col("is_response")
+    sides = {"src_addr": ("192.0.2.53", "10.0.0.1"), "dst_addr": ("10.0.0.1", "192.0.2.53"), "src_port": (53, 1000), "dst_port": (1000, 53)}
+    same = {c: F.when(r, a).otherwise(b) for c, (a, b) in sides.items()} | {"net_ipv": F.lit(4), "net_proto": F.lit(17), "dns_id": F.col("dns_id") % 16}
+    return packets.withColumns(same | {"qname": F.when(r & (F.col("seq") % 3 == 0), ".").otherwise(F.col("qname"))})
+
+
+@query(f"""WITH RECURSIVE {PACKETS},
+g AS (SELECT seq, ts_us, is_response, dns_id % 16 AS grp, CASE WHEN is_response AND seq % 3 = 0 THEN '.' ELSE qname END AS qname, row_number() OVER (PARTITION BY dns_id % 16 ORDER BY seq) AS k FROM p WHERE drop_reason IS NULL),
+f AS (
+  SELECT grp, k, seq, ts_us, is_response, CAST(NULL AS BIGINT) AS taken, CASE WHEN is_response THEN [] ELSE [{{'s': seq, 't': ts_us, 'q': qname}}] END AS pend FROM g WHERE k = 1
+  UNION ALL
+  SELECT grp, k, seq, ts_us, is_response, taken, CASE WHEN is_response THEN list_filter(alive, lambda x: x.s IS DISTINCT FROM taken) ELSE list_append(alive, {{'s': seq, 't': ts_us, 'q': qname}}) END FROM (
+    SELECT *, CASE WHEN is_response THEN list_filter(alive[-33:], lambda x: qname = '.' OR x.q = qname)[-1].s END AS taken FROM (
+      SELECT g.*, list_filter(f.pend, lambda x: g.ts_us - x.t < {LONG}) AS alive FROM f JOIN g ON g.grp = f.grp AND g.k = f.k + 1)))
+SELECT f.seq, f.ts_us, CASE WHEN NOT f.is_response THEN f.seq END AS req_seq, CASE WHEN f.is_response THEN f.seq ELSE a.seq END AS resp_seq
+FROM f LEFT JOIN f a ON a.taken = f.seq WHERE f.taken IS NULL""")
+def match_wildcards(spark, sf_dir):
+    """Names with the root as wildcard, and keys with more pending requests than one response looks at."""
+    return seqs(match_fold(crowded(packets(spark, sf_dir)), LONG))
+
+
 FLAGS = ["opcode", "rcode", "resp_aa", "resp_tc", "req_rd", "resp_ra", "req_z", "resp_ad", "req_cd"]
 
 
@@ -417,6 +444,15 @@ def rotation_window(spark, sf_dir):
     return stats.output_per_file(pairs(spark, sf_dir), PERIOD)
 
 
+@query(f"""WITH RECURSIVE {matching()}, cl AS (SELECT *, max(ts_us) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS c FROM m),
+o AS (SELECT min(c) AS opened_us FROM cl UNION ALL SELECT min(cl.c) FROM o JOIN cl ON cl.c > o.opened_us + {PERIOD * 10**6} HAVING min(cl.c) IS NOT NULL),
+x AS (SELECT cl.*, o.opened_us FROM cl ASOF JOIN o ON cl.c >= o.opened_us)
+SELECT opened_us, {OUTPUT} FROM x GROUP BY 1""")
+def rotation_greedy(spark, sf_dir):
+    """Files that each open when the one before is more than a period old."""
+    return stats.output_per_opening(pairs(spark, sf_dir), PERIOD)
+
+
 @query(f"""WITH {matching()},
 f AS (SELECT ts_us - ts_us % 3600000000 AS frame_us, count(*) AS packets, CAST(sum(net_len) AS BIGINT) AS bytes, count(*) FILTER (NOT is_response) AS requests FROM p WHERE drop_reason IS NULL GROUP BY 1),
 g AS (SELECT ts_us - ts_us % 3600000000 AS frame_us, count(*) FILTER (req_seq IS NOT NULL AND resp_seq IS NOT NULL) AS matched, count(*) FILTER (req_seq IS NULL) AS unmatched_responses FROM m GROUP BY 1)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import escape, guard, number_list, rotation_start, strftime, time_text
+from ..operators import rotation
 from ..plans.config import valid_separator
 from ..plans.schema import columns
 from ..plans.session import remove
@@ -58,8 +59,11 @@ def header(flags=None, separator: str = ",") -> str:
     return separator.join(columns(flags))
 
 
-def write(records: DataFrame, path: str, flags=None, separator: str = ",", inline_header: bool = True, period_sec: int = 0, path_format: str = "%Y%m%d-%H%M%S", compression: str | None = None, header_path: str | None = None) -> None:
-    """Write text files, a folder for each aligned period; without records nothing is left there.
+def write(records: DataFrame, path: str, flags=None, separator: str = ",", inline_header: bool = True, period_sec: int = 0, path_format: str = "%Y%m%d-%H%M%S", compression: str | None = None, header_path: str | None = None, greedy: bool = False) -> None:
+    """Write text files, a folder for each period; without records nothing is left there.
+
+    Periods are aligned; with ``greedy`` each begins with the first record that
+    the one before is too old for.
 
     Each file has its lines by ``seq`` and, with ``inline_header``, the header
     first. A period of many records is dealt out by runs of ``FILE_SEQS`` of
@@ -68,7 +72,10 @@ def write(records: DataFrame, path: str, flags=None, separator: str = ",", inlin
     """
     rows = lines(records, flags, separator)
     if period_sec:
-        rows = rows.withColumn("period", strftime(rotation_start(F.col("ts_us"), period_sec), path_format))
+        if greedy:
+            rows = rows.join(rotation.greedy(rows.select("seq", "ts_us"), period_sec).select("seq", "opened_us"), "seq")
+        start = F.col("opened_us") if greedy else rotation_start(F.col("ts_us"), period_sec)
+        rows = rows.withColumn("period", strftime(start, path_format))
         rows = rows.repartition("period", F.floor(F.col("seq") / FILE_SEQS))
         names = ["period"]
     else:
