@@ -201,6 +201,53 @@ def test_command_line(spark, tmp_path):
     config = parse(f"csv_fields :reset delay_us qname\ninput_filter 'port 53'\ndump_path_fmt {tmp_path}/dump")
     cli.run(spark, [a], str(tmp_path / "out"), config)
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["500,www.example.", "delay_us,qname"]
-    for bad in ([], ["-i", "eth0"], ["-i", "eth0", "file"]):
+    for bad in ([], ["-i", "folder", "file"]):
         with pytest.raises(SystemExit):
             cli.arguments(bad)
+
+
+def test_standard_output(spark, tmp_path, capfdbinary):
+    from tidewire import cli
+
+    from .test_wire import capture, ip, query
+
+    a = capture(tmp_path / "x.pcap", [(k, 0, ip(query())) for k in range(3)])
+    cli.run(spark, [a], "-", parse("csv_fields :reset time qname"))
+    assert capfdbinary.readouterr().out == b"time,qname\n" + b"".join(f"{k}.000000,www.example.\n".encode() for k in range(3))
+    with pytest.raises(ValueError):
+        cli.run(spark, [a], str(tmp_path / "out"), parse("output_pipe_cmd rot13"))
+
+
+def test_following_a_folder(spark, tmp_path):
+    """Records of files that come while the stream runs; a request without an answer comes out by itself."""
+    from tidewire import cli
+    from tidewire.functions import build
+
+    from .test_wire import ADDR, capture, ip, query
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    opt = {"ver": 0, "udp": 1232, "do": True, "ext_rcode": 0, "nsid": b"x,\xff"}
+    answer = build.ip_packet(*ADDR[2:], *ADDR[:2], 17, build.message(1, 0x8180, "www.example.", 1, 1, opt))
+    capture(folder / "a.pcap", [(1, 0, ip(query())), (1, 500, answer), (2, 0, ip(query(opt=opt)))])
+    config = parse("match_window 2\ncsv_fields :reset time delay_us qname edns")
+    job = cli.follow(spark, str(folder), str(tmp_path / "out"), config, settle=0)
+
+    def rows(n):
+        end, got = time.time() + 90, []
+        while len(got) < n and time.time() < end:
+            time.sleep(0.5)
+            done = [str(p) for p in (tmp_path / "out").glob("batch=*") if (p / "_SUCCESS").exists()]
+            got = sorted(tuple(r) for p in done for r in csv.read(spark, p, config.csv_fields).select("time", "delay_us", "qname", "resp_edns_nsid", "req_edns_udp").collect())
+        return [(t, d, q, v and bytes(v), u) for t, d, q, v, u in got]
+
+    try:
+        pair, lone = ("1.000000", "500", "www.example.", b"x,\xff", ""), ("2.000000", "", "www.example.", None, "1232")
+        assert rows(2) == [pair, lone]
+        capture(folder / "b.pcap", [(9, 0, answer)])
+        assert rows(3) == [pair, lone, ("9.000000", "", "www.example.", b"x,\xff", "")]
+    finally:
+        job.stop()
+        spark.conf.unset(name)

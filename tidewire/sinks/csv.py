@@ -9,6 +9,7 @@ last two digits of its escape looks like it.)
 from __future__ import annotations
 
 import re
+import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,15 @@ def write(records: DataFrame, path: str, flags=None, separator: str = ",", inlin
         spark.createDataFrame([(header(flags, separator),)], "line string").coalesce(1).write.mode("overwrite").text(header_path)
 
 
+def show(records: DataFrame, flags=None, separator: str = ",", inline_header: bool = True) -> None:
+    """Print lines by ``seq``. They come to the driver a partition at a time, as standard output is there."""
+    if inline_header:
+        print(header(flags, separator), flush=True)
+    for row in lines(records, flags, separator).orderBy("seq").select(F.col("line").cast("binary")).toLocalIterator():
+        sys.stdout.buffer.write(bytes(row[0]) + b"\n")
+    sys.stdout.flush()
+
+
 def with_header(rows: DataFrame, names: list[str], text: str) -> DataFrame:
     """Add a header line to every (partition, period) that has rows."""
     import pyarrow as pa

@@ -29,11 +29,13 @@ from ..functions.scalar import directed
 from ..operators.match import Open
 from ..plans.schema import KEY
 
-PENDING = "seq long, ts_us long, qname string, read_ms long"
+PENDING = "seq long, ts_us long, qname string, read_ms long, row string"
 OUT = "seq long, ts_us long, req_seq long, resp_seq long, delay_us long"
+#: What ``match_stream_rows`` has beside: packets as JSON.
+ROWS = "req_row string, resp_row string"
 
 
-def matcher(window_us: int, match_qname: bool, idle_us: int | None):
+def matcher(window_us: int, match_qname: bool, idle_us: int | None, rows_too: bool = False):
     wait_ms = (window_us + (idle_us or 0)) // 1000 + 1
 
     class Matcher(StatefulProcessor):
@@ -51,35 +53,38 @@ def matcher(window_us: int, match_qname: bool, idle_us: int | None):
 
         @staticmethod
         def _frame(out: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame({n: pd.array([r[k] for r in out], dtype="Int64") for k, n in enumerate(("seq", "ts_us", "req_seq", "resp_seq", "delay_us"))})
+            numbers = {n: pd.array([r[k] for r in out], dtype="Int64") for k, n in enumerate(("seq", "ts_us", "req_seq", "resp_seq", "delay_us"))}
+            rows = {n: pd.Series([r[k] for r in out], dtype=object) for k, n in ((5, "req_row"), (6, "resp_row"))} if rows_too else {}
+            return pd.DataFrame(numbers | rows)
 
         def handleInputRows(self, key, rows, timerValues):
             # Flush rows have no seq; they only move the watermark.
             data = pd.concat([r[r["seq"].notna()] for r in rows], ignore_index=True).sort_values("seq")
             now = timerValues.getCurrentProcessingTimeInMs() if idle_us is not None else 0
             waiting, out, due = Open(window_us, match_qname, "newest"), [], set()
-            for seq, ts, name, read in self._load():
-                waiting.ask((seq, ts, read), ts, name)
-            for seq, ts, response, name in zip(data["seq"], data["ts_us"], data["is_response"], data["qname"]):
+            for seq, ts, name, read, row in self._load():
+                waiting.ask((seq, ts, read, row), ts, name)
+            whole = data["row"] if rows_too else [None] * len(data)
+            for seq, ts, response, name, row in zip(data["seq"], data["ts_us"], data["is_response"], data["qname"], whole):
                 seq, ts = int(seq), int(ts)
-                out += [(s, t, s, None, None) for s, t, _ in waiting.expire(ts)]
+                out += [(s, t, s, None, None, r, None) for s, t, _, r in waiting.expire(ts)]
                 if not response:
-                    waiting.ask((seq, ts, now), ts, name)
+                    waiting.ask((seq, ts, now, row), ts, name)
                     due.add(now + wait_ms if idle_us is not None else (ts + window_us) // 1000 + 1)
                 elif (found := waiting.answer(name)) is None:
-                    out.append((seq, ts, None, seq, None))
+                    out.append((seq, ts, None, seq, None, None, row))
                 else:
-                    out.append((found[0], found[1], found[0], seq, ts - found[1]))
+                    out.append((found[0], found[1], found[0], seq, ts - found[1], found[3], row))
             for t in due:
                 self.handle.registerTimer(t)
-            self._store([(s, ts, name, read) for (s, ts, read), _, name in waiting.waiting])
+            self._store([(s, ts, name, read, row) for (s, ts, read, row), _, name in waiting.waiting])
             yield self._frame(out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             due, pending = expiredTimerInfo.getExpiryTimeInMs(), self._load()
             gone = lambda p: p[3] + wait_ms <= due if idle_us is not None else p[1] + window_us <= due * 1000
             self._store([p for p in pending if not gone(p)])
-            yield self._frame([(p[0], p[1], p[0], None, None) for p in pending if gone(p)])
+            yield self._frame([(p[0], p[1], p[0], None, None, p[4], None) for p in pending if gone(p)])
 
         def close(self) -> None:
             pass
@@ -92,12 +97,25 @@ def match_stream(packets: DataFrame, window_us: int, match_qname: bool = False,
 
     With ``idle_us`` requests expire by the clock on the wall and no row is too late; ``watermark`` isn't used.
     """
-    rows = directed(packets.filter("drop_reason is null"))
+    return _matched(directed(packets.filter("drop_reason is null")), window_us, match_qname, watermark, idle_us, False)
+
+
+def match_stream_rows(packets: DataFrame, window_us: int, match_qname: bool = False, watermark: str = "1 minute", idle_us: int | None = None) -> DataFrame:
+    """(seq, ts_us, req, resp) as the batch operator gives them; state holds whole requests, so leave out columns that aren't used."""
+    packets = directed(packets.filter("drop_reason is null"))
+    kind = packets.schema.simpleString()
+    row = F.to_json(F.struct(*packets.columns))
+    found = _matched(packets.withColumn("row", row), window_us, match_qname, watermark, idle_us, True)
+    return found.select("seq", "ts_us", *[F.from_json(f"{side}_row", kind).alias(side) for side in ("req", "resp")])
+
+
+def _matched(rows: DataFrame, window_us: int, match_qname: bool, watermark: str, idle_us: int | None, rows_too: bool) -> DataFrame:
     if idle_us is None:
         rows = rows.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", watermark)
-    rows = rows.select(*KEY, *(["event_time"] if idle_us is None else []), "seq", "ts_us", "is_response", "qname")
-    return rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=matcher(window_us, match_qname, idle_us), outputStructType=OUT, outputMode="append", timeMode="EventTime" if idle_us is None else "ProcessingTime",
+    kept = [*KEY, *(["event_time"] if idle_us is None else []), "seq", "ts_us", "is_response", "qname", *(["row"] if rows_too else [])]
+    return rows.select(*kept).groupBy(*KEY).transformWithStateInPandas(
+        statefulProcessor=matcher(window_us, match_qname, idle_us, rows_too), outputStructType=f"{OUT}, {ROWS}" if rows_too else OUT,
+        outputMode="append", timeMode="EventTime" if idle_us is None else "ProcessingTime",
     )
 
 
