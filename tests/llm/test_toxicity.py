@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from tidewire.llm import toxicity
@@ -89,3 +90,14 @@ def test_learned_exceptions(spark):
     learned = toxicity.learn_exceptions(rows, {"clown": 2.0})
     assert "class clown" in learned and not any(p.startswith("you") for p in learned)
     assert toxicity.learn_exceptions(rows, {}) == ()
+
+
+def test_long_text_of_hits_and_exceptions():
+    """Work by the length of a text, with the result of looking at every span."""
+    find = toxicity.matcher({"trash": 2.0, "can": 1.0, "idiot": 3.0}, ("trash can", "idiot idiot"))
+    words = ["trash", "can", "idiot", "x"] * 50_000
+    start = time.perf_counter()
+    found = find(words)
+    assert set(found.values()) == {3.0} and len(found) == 50_000
+    assert find(["idiot"] * 3) == {} and set(find("can trash can trash idiot".split()).values()) == {1.0, 2.0, 3.0}
+    assert time.perf_counter() - start < 20

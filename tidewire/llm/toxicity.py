@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +104,11 @@ def matcher(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS)
                 at = end - size + 1
                 best[at] = max(best.get(at, 0.0), weight)
         if spared:
-            best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
+            # Of the spans that begin at a place or before it, whether the one that reaches farthest covers it.
+            spared.sort()
+            starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            covered = lambda at: (k := bisect_right(starts, at)) > 0 and reach[k - 1] > at
+            best = {at: w for at, w in best.items() if not covered(at)}
         return best
 
     return find
