@@ -39,7 +39,7 @@ def _chains(values: DataFrame, period_us: int) -> DataFrame:
             c = np.unique(np.concatenate(held))
             at = np.searchsorted(c, c + period_us, side="right")
             last = np.append(np.where(at < len(c), at, np.arange(len(c))), len(c))
-            while (further := last[last[: len(c)]]).tolist() != last[: len(c)].tolist():
+            while not np.array_equal(further := last[last[: len(c)]], last[: len(c)]):
                 last[: len(c)] = further
             # Values up to the first beyond the limit.
             n = int(np.searchsorted(c, limit, side="right")) + 1

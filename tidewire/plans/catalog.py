@@ -505,10 +505,9 @@ def on_the_wire(frames: DataFrame) -> DataFrame:
 
 @query(f"WITH {PACKETS} SELECT {WIRE} FROM p WHERE drop_reason IS NULL")
 def capture_parts(spark, sf_dir):
-    """One plain capture file, read in parts of 256 KB."""
+    """Plain capture files, read in parts of 256 KB."""
     folder = shared_folder(spark, "capture")
-    rows = packets(spark, sf_dir)
-    pcap.write(build.frames(rows.repartition(1)), folder)
+    pcap.write(build.frames(packets(spark, sf_dir)), folder)
     return on_the_wire(pcap.read(spark, folder, split_bytes=1 << 18))
 
 
@@ -634,10 +633,10 @@ def match_streaming_all(spark, sf_dir):
     return streamed(packets(spark, sf_dir)).select("seq", "ts_us", "req_seq", "resp_seq")
 
 
-def captured(spark: SparkSession, rows: DataFrame, step: int, watermark: str = "1 day") -> DataFrame:
-    """The stateful matcher over a folder into which the packets' capture files come by steps, with a restart at each."""
+def captured(spark: SparkSession, rows: DataFrame, steps: int, watermark: str = "1 day") -> DataFrame:
+    """The stateful matcher over a folder into which the packets' capture files come in ``steps``, with a restart at each."""
     stage, folder, sink, state = (shared_folder(spark, f"stream-{x}").removeprefix("file://") for x in ("stage", "in", "out", "state"))
-    ordered = rows.repartitionByRange(2 * step, "seq").sortWithinPartitions("seq")
+    ordered = rows.repartitionByRange(max(2 * steps, int(spark.conf.get("spark.sql.shuffle.partitions"))), "seq").sortWithinPartitions("seq")
     pcap.write(build.frames(ordered), stage)
     os.makedirs(folder)
     files = sorted(f for f in os.listdir(stage) if f.startswith("part-")) if os.path.isdir(stage) else []
@@ -649,11 +648,12 @@ def captured(spark: SparkSession, rows: DataFrame, step: int, watermark: str = "
         late = last + k * (10**11 + WINDOW)
         end = spark.range(1).select(*[F.lit({**facts, "seq": k, "ts_us": late}.get(n)).cast(f.dataType).alias(n) for n, f in wanted.items()])
         pcap.write(build.frames(end), f"{stage}/end{k}")
-    steps = [files[k : k + step] for k in range(0, len(files), step)]
+    each = -(-len(files) // steps)
+    parts = [files[k : k + each] for k in range(0, len(files), each)] if files else []
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for names in [*steps, "end1", "end2"]:
+        for names in [*parts, "end1", "end2"]:
             if isinstance(names, str):
                 part = next(f for f in os.listdir(f"{stage}/{names}") if f.startswith("part-"))
                 os.replace(f"{stage}/{names}/{part}", f"{folder}/z-{names}.pcap")
@@ -672,5 +672,5 @@ def captured(spark: SparkSession, rows: DataFrame, step: int, watermark: str = "
 FROM m LEFT JOIN p q ON q.seq = m.req_seq LEFT JOIN p a ON a.seq = m.resp_seq""")
 def match_capture_stream(spark, sf_dir):
     """Capture files of a growing folder as a stream, restarted in the middle; requests expire as it goes on."""
-    found = captured(spark, packets(spark, sf_dir), 3)
+    found = captured(spark, packets(spark, sf_dir), steps=2)
     return found.select("ts_us", F.col("req_seq").isNotNull().alias("asked"), F.col("resp_seq").isNotNull().alias("answered"), "delay_us")
