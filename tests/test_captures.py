@@ -41,7 +41,7 @@ def tricky(seed, n=300):
     return out
 
 
-@pytest.mark.parametrize("split", [300, 1000, 4096, 20_000])
+@pytest.mark.parametrize("split", [700, 4096])
 def test_any_split_gives_the_same_rows(spark, tmp_path, split):
     a, b = capture(tmp_path / "a.pcap", tricky(1, 120)), capture(tmp_path / "b.pcap", tricky(2, 40))
     c = capture(tmp_path / "c.pcap.gz", tricky(3, 20), opener=gzip.open)
