@@ -35,8 +35,9 @@ BLANKS = " \t\n\x0b\f\r"
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     """(doc_id, text_id, at, key) of all lines that are long enough."""
-    lines = F.split(ascii_lower(F.col("text")), "\n", -1)
-    rows = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), F.posexplode(lines).alias("at", "line"))
+    # Before the lines come out, so that it is done once a text and not once a line.
+    once = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), F.split(ascii_lower(F.col("text")), "\n", -1).alias("lines"))
+    rows = once.select("doc_id", "text_id", F.posexplode("lines").alias("at", "line"))
     keys = rows.select("doc_id", "text_id", "at", F.btrim("line", F.lit(BLANKS)).alias("key"))
     return keys.filter(F.char_length("key") >= least_chars)
 
@@ -58,10 +59,14 @@ def dropped_lines(docs: DataFrame, least_chars: int, least_docs: int) -> DataFra
 
 
 def without(lines: Column, cut: Column) -> Column:
-    """``lines`` without those at the places of ``cut``, as the slices between them: work by the number of lines."""
+    """``lines`` without those at the places of ``cut``, by a flag for each line: work by the number of lines."""
     start = lambda k: F.when(k == 0, 0).otherwise(F.get(cut, k - 1) + 1)
     end = lambda k: F.coalesce(F.get(cut, k), F.size(lines))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), lambda k: F.slice(lines, start(k) + 1, end(k) - start(k))))
+    # A run of lines that stay before each place, then the place itself.
+    run = lambda k: F.concat(F.array_repeat(F.lit(False), end(k) - start(k)), F.array(F.lit(True)))
+    gone = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), run))
+    # As a variable, so that the flags are made once and not again for each line.
+    return F.transform(F.array(gone), lambda flags: F.filter(lines, lambda line, k: ~F.get(flags, k)))[0]
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
