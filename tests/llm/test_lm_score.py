@@ -83,25 +83,57 @@ def test_the_bounded_words(spark):
     assert words.tolist() == list(range(85, 101)) and len(words) < 60
 
 
-def brute_ngrams(docs, order, least):
-    words = [re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for t in docs]
-    f = Counter(tuple(x[i : i + k]) for x in words for k in range(1, order + 1) for i in range(len(x) - k + 1))
-    f[()] = sum(map(len, words))
+def brute_ngrams(docs, order, least, corpus=None):
+    split = lambda docs: [re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for t in docs]
+    words, counted = split(docs), split(docs if corpus is None else corpus)
+    f = Counter(tuple(x[i : i + k]) for x in counted for k in range(1, order + 1) for i in range(len(x) - k + 1))
+    n = f[()] = sum(map(len, counted)) or 1
 
     def s(gram):
-        if len(gram) == 1 or f[gram] >= least:
+        if not gram:
+            return math.log(1 / n)
+        if f[gram] >= (least if len(gram) > 1 else 1):
             return math.log(f[gram] / f[gram[:-1]])
         return math.log(0.4) + s(gram[1:])
 
-    return [(len(x), round(sum(s(tuple(x[max(0, i - order + 1) : i + 1])) for i in range(len(x))), 6)) for x in words]
+    grams = [[tuple(x[max(0, i - order + 1) : i + 1]) for i in range(len(x))] for x in words]
+    backed = lambda g: f[g] < (least if len(g) > 1 else 1)
+    return [(len(x), sum(map(backed, x)), round(sum(map(s, x)), 6)) for x in grams]
+
+
+def ngrams_are_brute(spark, docs, order, least, corpus=None):
+    counted = None if corpus is None else table(spark, corpus).repartition(2)
+    got = ngram_scores(table(spark, docs).repartition(3), order, least=least, corpus=counted).collect()
+    want = brute_ngrams(docs, order, least, corpus)
+    assert len(got) == len(docs)
+    assert all((r["n_words"], r["n_backed"], round(r["score"], 6)) == want[r["doc_id"]] for r in got)
+    return want
 
 
 def test_any_order(spark):
     docs = texts(1) + ODD + ["Über straße ÜBER x1 X1"]
     for order, least in ((3, 1), (3, 2), (4, 3), (2, 2)):
-        got = ngram_scores(table(spark, docs).repartition(3), order, least=least).collect()
-        want = brute_ngrams(docs, order, least)
-        assert len(got) == len(docs)
-        assert all((r["n_words"], round(r["score"], 6)) == want[r["doc_id"]] for r in got)
-    assert brute_ngrams(docs, 2, 1) == brute(docs)
+        ngrams_are_brute(spark, docs, order, least)
+    assert [(a, b) for a, _, b in brute_ngrams(docs, 2, 1)] == brute(docs)
     assert ngram_scores(empty(spark)).count() == 0
+
+
+def test_under_another_corpus(spark, monkeypatch):
+    r = random.Random(4)
+    docs, corpus = texts(5, 20) + ODD + ["never seen words", "pair word " * 300], texts(6, 40) + ["pair word pair", None]
+    want = ngrams_are_brute(spark, docs, 3, 1, corpus)
+    assert sum(b for _, b, _ in want) > 100 and any(b < n for n, b, _ in want)
+    monkeypatch.setattr(lm_score, "SHARE", 1)  # no count is broadcast
+    ngrams_are_brute(spark, docs, 2, 2, corpus)
+    monkeypatch.setattr(lm_score, "SHARE", 10**9)  # all are
+    ngrams_are_brute(spark, [*docs, sentence(r, 5000, 90)], 2, 1, corpus)
+    monkeypatch.setattr(lm_score, "CHUNK", 300)
+    ngrams_are_brute(spark, docs, 2, 1, corpus)
+    rows = ngram_scores(table(spark, ["a b"]), corpus=empty(spark)).collect()
+    assert [(r["n_words"], r["n_backed"]) for r in rows] == [(2, 2)]
+    assert ngram_scores(empty(spark), corpus=table(spark, ["a b"])).count() == 0
+
+
+def test_held_out_twin(spark):
+    compare(spark, connect(SF), QUERIES["lm_held_out"], ORACLE_SQL["lm_held_out"], SF)
+    assert QUERIES["lm_held_out"](spark, SF).filter("n_backed > 0 and n_backed < n_words").count() > 0

@@ -17,8 +17,9 @@ same bucket of hashes share a row. First words that alone would fill a good part
 of a partition (at most four times the number of partitions are such) are dealt
 out by both words; a pair, however common, comes once a chunk.
 
-``ngram_scores`` takes any order, backs off level by level, and leaves out
-n-grams seen less than ``least`` times. Its tables and joins are Spark's own.
+``ngram_scores`` takes any order and any corpus, also one without the documents
+that are scored, backs off level by level, and leaves out n-grams seen less than
+``least`` times. Its count tables, joined to exploded n-grams, are Spark's own.
 
 Null and empty texts, and texts without words, have n_words 0 and score 0.
 Repeated rows count and are scored one by one. Very long texts are taken whole,
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, materialize, mix, span_hashes, width, with_row_id, word_spans
+from .common import SHARE, as_bytes, chunks, materialize, mix, span_hashes, width, word_spans
 
 BACKOFF = 0.4
 #: Words of the longest n-gram in ``ngram_scores``.
@@ -182,56 +183,96 @@ def lm_scores(docs: DataFrame, heavy: int | None = None) -> DataFrame:
     return each.groupBy((F.col("base") + F.col("text")).alias("rid")).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("value").alias("score")).drop("rid")
 
 
-def _ngrams(order: int):
-    """For each word the hashes of the 1 to ``order`` words that end with it, and of each but its last word."""
+def _windows(words: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the hashes of the 1 to ``order`` words that end with it, those of each but its last word, and the word's place in its text."""
+    n = len(words)
+    place = np.arange(n) - np.searchsorted(at, at)
+    grams, contexts = np.zeros((n, order), dtype=np.uint64), np.zeros((n, order), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        grams[:, 0] = words.view(np.uint64)
+        for k in range(1, order):
+            contexts[1:, k] = grams[:-1, k - 1]
+            grams[:, k] = mix(contexts[:, k] * np.uint64(0x9E3779B97F4A7C15) + grams[:, 0] + np.uint64(k))
+    return grams.view(np.int64), contexts.view(np.int64), place
+
+
+def _tables(order: int):
+    """(k, gram, n): the n-grams of a chunk of texts with their numbers."""
+
+    def run(batches):
+        for _, words, at in _chunks(batches):
+            grams, _, place = _windows(words, at, order)
+            for k in range(order):
+                gram, n = np.unique(grams[place >= k, k], return_counts=True)
+                for start in range(0, len(gram), 100_000):
+                    g, f = gram[start : start + 100_000], n[start : start + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k + 1, np.int32)), pa.array(g), pa.array(f)], ["k", "gram", "n"])
+
+    return run
+
+
+ASKED = "rid long, place long, grams array<long>, contexts array<long>, doc_id long, n_words long"
+
+
+def _asked(order: int):
+    """A row for each word with the n-grams that end with it and their contexts, and one for each text with its id and length."""
+    names = [c.split()[0] for c in ASKED.split(", ")]
 
     def run(batches):
+        rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for a, b in chunks(texts):
-                word, at = hashed(texts[a:b])
-                n = len(word)
-                place = np.arange(n) - np.searchsorted(at, at)
-                grams, contexts = np.zeros((n, order), dtype=np.uint64), np.zeros((n, order), dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    grams[:, 0] = word.view(np.uint64)
-                    for k in range(1, order):
-                        contexts[1:, k] = grams[:-1, k - 1]
-                        grams[:, k] = mix(contexts[:, k] * np.uint64(0x9E3779B97F4A7C15) + grams[:, 0] + np.uint64(k))
+                words, at = hashed(texts[a:b])
+                grams, contexts, place = _windows(words, at, order)
                 inside = place[:, None] >= np.arange(order)
                 starts = np.cumsum(inside.sum(axis=1)) - inside.sum(axis=1)
-                lists = [_lists(x[inside].view(np.int64), starts) for x in (grams, contexts)]
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("__rid").to_numpy()[a:b][at]), *lists], ["rid", "grams", "contexts"])
+                none = pa.nulls(len(words), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rid + at), pa.array(place), *[_lists(x[inside], starts) for x in (grams, contexts)], none, none], names)
+                empty = _lists(np.zeros(0, np.int64), np.zeros(b - a, np.int64))
+                each = pa.array(rid + np.arange(b - a))
+                yield pa.RecordBatch.from_arrays([each, pa.nulls(b - a, pa.int64()), empty, empty, batch.column("doc_id").slice(a, b - a), pa.array(np.bincount(at, minlength=b - a))], names)
+                rid += b - a
 
     return run
 
 
-def ngram_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = 1) -> DataFrame:
-    """(doc_id, n_words, score) for each row of ``docs`` (doc_id, text), under n-grams of up to ``order`` words.
+def ngram_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = 1, corpus: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, n_backed, score) for each row of ``docs`` (doc_id, text), under the n-grams of up to ``order`` words of ``corpus``.
+
+    Without ``corpus`` the documents' own n-grams count. n-grams of two words or
+    more that occur less than ``least`` times back off, each time by ``backoff``;
+    a word that the corpus doesn't hold backs off once more, to one in N (the
+    corpus' words). ``n_backed`` counts the words that backed off.
 
-    n-grams of two words or more that occur less than ``least`` times back off,
-    each time by ``backoff``. With least = 1 those of the corpus itself never do.
+    The count tables are partitioned by the n-grams' hashes. Level by level, from
+    the longest n-grams down, exploded n-grams meet the table: those found then
+    ask for their context at the level below, the others for the n-gram that is
+    one word shorter. Counts of n-grams that make up more than one in ``SHARE``
+    of the corpus, fewer than ``SHARE`` of each length, are broadcast, and the rows
+    that they answer are dealt out by text and place.
     """
-    held = materialize(with_row_id(docs.select("doc_id", "text")), "ngram-docs")
-    rows = materialize(held.mapInArrow(_ngrams(order), "rid long, grams array<long>, contexts array<long>"), "ngrams")
-    total, below, tables = float(rows.count() or 1), None, []
-    for k in range(order):
-        counted = rows.filter(F.size("grams") > k).select(F.col("grams")[k].alias("gram"), F.col("contexts")[k].alias("context"))
-        counts = materialize(counted.groupBy("gram").agg(F.min("context").alias("context"), F.count("*").alias("f")), "counts")
-        if k:
-            of = below.select(F.col("gram").alias("context"), F.col("f").alias("g"))
-            tables.append(counts.filter(F.col("f") >= least).join(of, "context").select("gram", F.log(F.col("f") / F.col("g")).alias("value")))
-        else:
-            tables.append(counts.select("gram", F.log(F.col("f") / F.lit(total)).alias("value")))
-        below = counts
-    sums, missed = None, None
-    for k in reversed(range(order)):
-        asked = rows.filter(F.size("grams") == k + 1).select("rid", "grams", F.lit(0.0).alias("back"))
-        asked = (asked if missed is None else asked.union(missed)).withColumn("gram", F.col("grams")[k])
-        met = materialize(asked.join(tables[k], "gram", "left").select("rid", "grams", "back", "value"), "met")
-        part = met.filter("value is not null").groupBy("rid").agg(F.sum(F.col("value") + F.col("back")).alias("score"), F.count("*").alias("n"))
-        sums = part if sums is None else sums.union(part)
-        missed = met.filter("value is null").select("rid", "grams", (F.col("back") + math.log(backoff)).alias("back"))
-    sums = sums.groupBy("rid").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
-    out = held.drop("text").join(sums, F.col("__rid") == F.col("rid"), "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    corpus = docs if corpus is None else corpus
+    counted = corpus.select("doc_id", "text").mapInArrow(_tables(order), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("f"))
+    counts = materialize(counted, "ngram-counts")
+    total = counts.filter("k = 1").agg(F.sum("f").alias("n")).first()["n"] or 1
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(_asked(order), ASKED), "ngrams")
+    rows = rows.withColumns({"level": F.lit(0), "value": F.lit(0.0), "backed": F.lit(0)})
+    for k in range(order, 0, -1):
+        open_, context = (F.col("level") == 0) & (F.size("grams") >= k), F.col("level") == k + 1
+        table = counts.filter(F.col("k") == k)
+        hot = table.filter(F.col("f") * SHARE > total).select(F.col("gram").alias("key"), F.col("f").alias("hot"))
+        keyed = rows.withColumn("key", F.when(open_, F.get("grams", F.lit(k - 1))).when(context, F.get("contexts", F.lit(k))))
+        keyed = keyed.join(F.broadcast(hot), "key", "left")
+        # Rows without a question or with their answer go anywhere.
+        keyed = keyed.withColumn("key", F.when(F.col("key").isNull() | F.col("hot").isNotNull(), F.xxhash64("rid", "place")).otherwise(F.col("key")))
+        met = keyed.join(table.select(F.col("gram").alias("key"), "f"), "key", "left").withColumn("f", F.coalesce("hot", "f"))
+        found = open_ & F.coalesce(F.col("f") >= (least if k > 1 else 1), F.lit(False))
+        step = F.when(found, F.log("f")).when(open_, math.log(backoff)).when(context, -F.log("f")).otherwise(0.0)
+        rows = met.select(
+            "rid", "place", "grams", "contexts", "doc_id", "n_words", F.when(found, k).otherwise(F.col("level")).alias("level"),
+            (F.col("value") + step).alias("value"), F.when(open_ & ~found, 1).otherwise(F.col("backed")).alias("backed"),
+        )
+    value = F.col("value") - F.when((F.size("grams") > 0) & (F.col("level") <= 1), math.log(total)).otherwise(0.0)
+    out = rows.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("backed").alias("n_backed"), F.sum(value).alias("score"))
+    return out.drop("rid")
