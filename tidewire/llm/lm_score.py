@@ -211,28 +211,56 @@ def _tables(order: int):
     return run
 
 
-ASKED = "rid long, place long, grams array<long>, contexts array<long>, doc_id long, n_words long"
+def _lengths(batches):
+    """The number of words of each batch of texts."""
+    for batch in batches:
+        n = 0
+        texts = as_bytes(batch.column("text"))
+        for a, b in chunks(texts):
+            n += len(word_spans(np.frombuffer(b"\n".join(texts[a:b]).lower(), dtype=np.uint8), IS_WORD)[0])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+
+ASKED = "base long, texts array<smallint>, grams array<long>, contexts array<long>, doc_id long, n_words long"
 
 
 def _asked(order: int):
-    """A row for each word with the n-grams that end with it and their contexts, and one for each text with its id and length."""
+    """Rows (base, texts, grams, contexts): the different longest n-grams that end with a word of a chunk, with the texts
+    of all such words, counted from ``base``; the n-grams within it that end with its last word, the shortest first, and
+    their contexts. For each text also a row with its id and length."""
     names = [c.split()[0] for c in ASKED.split(", ")]
 
     def run(batches):
-        rid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for a, b in chunks(texts):
-                words, at = hashed(texts[a:b])
-                grams, contexts, place = _windows(words, at, order)
-                inside = place[:, None] >= np.arange(order)
+        base = 0
+
+        def based():
+            # Not the task's own number: that is another one where a union computes these rows again.
+            nonlocal base
+            for batch in batches:
+                if not base and batch.num_rows:
+                    base = batch.column("part")[0].as_py() << 33
+                yield batch
+
+        for ids, words, at in _chunks(based()):
+            grams, contexts, place = _windows(words, at, order)
+            most = np.minimum(place, order - 1)
+            longest = grams[np.arange(len(words)), most]
+            by = np.argsort(longest, kind="stable")
+            begin = np.flatnonzero(np.append(True, longest[by][1:] != longest[by][:-1])) if len(by) else by
+            ends = np.append(begin[1:], len(by)) if len(by) else by
+            for a in range(0, len(begin), 20_000):
+                b = min(a + 20_000, len(begin))
+                one = by[begin[a:b]]
+                inside = most[one][:, None] >= np.arange(order)
                 starts = np.cumsum(inside.sum(axis=1)) - inside.sum(axis=1)
-                none = pa.nulls(len(words), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rid + at), pa.array(place), *[_lists(x[inside], starts) for x in (grams, contexts)], none, none], names)
-                empty = _lists(np.zeros(0, np.int64), np.zeros(b - a, np.int64))
-                each = pa.array(rid + np.arange(b - a))
-                yield pa.RecordBatch.from_arrays([each, pa.nulls(b - a, pa.int64()), empty, empty, batch.column("doc_id").slice(a, b - a), pa.array(np.bincount(at, minlength=b - a))], names)
-                rid += b - a
+                lists = [_lists(x[one][inside], starts) for x in (grams, contexts)]
+                none = pa.nulls(b - a, pa.int64())
+                texts = _lists(at[by[begin[a] : ends[b - 1]]], begin[a:b] - begin[a])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, base)), texts, *lists, none, none], names)
+            each, empty = np.arange(len(ids)), _lists(np.zeros(0, np.int64), np.zeros(len(ids), np.int64))
+            n_words = pa.array(np.bincount(at, minlength=len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), base)), _lists(each.astype(np.int16), each), empty, empty, ids, n_words], names)
+            base += len(ids)
 
     return run
 
@@ -245,34 +273,46 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF,
     a word that the corpus doesn't hold backs off once more, to one in N (the
     corpus' words). ``n_backed`` counts the words that backed off.
 
-    The count tables are partitioned by the n-grams' hashes. Level by level, from
-    the longest n-grams down, exploded n-grams meet the table: those found then
-    ask for their context at the level below, the others for the n-gram that is
-    one word shorter. Counts of n-grams that make up more than one in ``SHARE``
-    of the corpus, fewer than ``SHARE`` of each length, are broadcast, and the rows
-    that they answer are dealt out by text and place.
+    The count table is partitioned by the n-grams' hashes. Level by level, from
+    the longest n-grams down, exploded n-grams meet it: those found then ask for
+    their context at the level below, the others for the n-gram that is one word
+    shorter. An n-gram asks once for each chunk of texts. Counts of n-grams that
+    make up more than one in ``SHARE`` of the corpus, fewer than ``SHARE`` of each
+    length, are broadcast; the rows that they answer are dealt out once, or stay.
     """
-    corpus = docs if corpus is None else corpus
-    counted = corpus.select("doc_id", "text").mapInArrow(_tables(order), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("f"))
-    counts = materialize(counted, "ngram-counts")
-    total = counts.filter("k = 1").agg(F.sum("f").alias("n")).first()["n"] or 1
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_asked(order), ASKED), "ngrams")
-    rows = rows.withColumns({"level": F.lit(0), "value": F.lit(0.0), "backed": F.lit(0)})
+    corpus = (docs if corpus is None else corpus).select("doc_id", "text")
+    total = corpus.mapInArrow(_lengths, "n long").agg(F.sum("n").alias("n")).first()["n"] or 1
+    # Not written: every level reads the same shuffled rows, which are where the joins need them. The hash tells k.
+    counts = corpus.mapInArrow(_tables(order), "k int, gram long, n long").groupBy("gram").agg(F.min("k").alias("k"), F.sum("n").alias("f"))
+    # Written, so that a text's number stays the same however often its rows are computed.
+    held = materialize(docs.select("doc_id", "text"), "ngram-docs")
+    rows = held.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_asked(order), ASKED)
+    rows = rows.withColumns({"level": F.lit(0), "value": F.lit(0.0), "backed": F.lit(0), "next": F.lit(None).cast("long")})
     for k in range(order, 0, -1):
         open_, context = (F.col("level") == 0) & (F.size("grams") >= k), F.col("level") == k + 1
-        table = counts.filter(F.col("k") == k)
-        hot = table.filter(F.col("f") * SHARE > total).select(F.col("gram").alias("key"), F.col("f").alias("hot"))
-        keyed = rows.withColumn("key", F.when(open_, F.get("grams", F.lit(k - 1))).when(context, F.get("contexts", F.lit(k))))
+        table = counts.filter(F.col("k") == k).select(F.col("gram").alias("key"), "f")
+        hot = table.filter(F.col("f") * SHARE > total).withColumnRenamed("f", "hot")
+        keyed = rows.withColumn("key", F.when(open_, F.get("grams", F.lit(k - 1))).when(context, F.col("next")))
         keyed = keyed.join(F.broadcast(hot), "key", "left")
-        # Rows without a question or with their answer go anywhere.
-        keyed = keyed.withColumn("key", F.when(F.col("key").isNull() | F.col("hot").isNotNull(), F.xxhash64("rid", "place")).otherwise(F.col("key")))
-        met = keyed.join(table.select(F.col("gram").alias("key"), "f"), "key", "left").withColumn("f", F.coalesce("hot", "f"))
+        settled = F.col("key").isNull() | F.col("hot").isNotNull()
+        if k == order:
+            # Rows without a question or with their answer go anywhere.
+            dealt = keyed.withColumn("key", F.when(settled, F.xxhash64("base", "key", "texts")).otherwise(F.col("key")))
+            met = dealt.join(table, "key", "left").withColumn("f", F.coalesce("hot", "f"))
+        else:
+            # They don't move again; both parts read the rows that the level above has shuffled.
+            asking = keyed.filter(~settled).join(table, "key", "left")
+            met = keyed.filter(settled).withColumn("f", F.col("hot")).unionByName(asking)
         found = open_ & F.coalesce(F.col("f") >= (least if k > 1 else 1), F.lit(False))
         step = F.when(found, F.log("f")).when(open_, math.log(backoff)).when(context, -F.log("f")).otherwise(0.0)
+        # What is still to be asked goes on, no more.
+        left = lambda c: F.when(found, F.slice(c, 1, 0)).otherwise(F.slice(c, 1, k - 1)).alias(c)  # noqa: B023, E731
         rows = met.select(
-            "rid", "place", "grams", "contexts", "doc_id", "n_words", F.when(found, k).otherwise(F.col("level")).alias("level"),
+            "base", "texts", left("grams"), left("contexts"), "doc_id", "n_words", F.when(found, k).otherwise(F.col("level")).alias("level"),
             (F.col("value") + step).alias("value"), F.when(open_ & ~found, 1).otherwise(F.col("backed")).alias("backed"),
+            F.when(found, F.get("contexts", F.lit(k - 1))).alias("next"),
         )
-    value = F.col("value") - F.when((F.size("grams") > 0) & (F.col("level") <= 1), math.log(total)).otherwise(0.0)
-    out = rows.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("backed").alias("n_backed"), F.sum(value).alias("score"))
-    return out.drop("rid")
+    value = F.col("value") - F.when(F.col("n_words").isNull() & (F.col("level") <= 1), math.log(total)).otherwise(0.0)
+    each = rows.select("base", "doc_id", "n_words", "backed", value.alias("value"), F.explode("texts").alias("text"))
+    sums = each.groupBy((F.col("base") + F.col("text")).alias("rid")).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("backed").alias("n_backed"), F.sum("value").alias("score"))
+    return sums.drop("rid")
