@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +53,86 @@ def test_every_sample_page(spark, model):
         assert got[r["page_id"]] == p.decode(label * 2.0 - 1.0)
 
 
+def test_articles_of_the_table(spark, model):
+    """All that stands between the tags of an article, and nothing else, for all pages of the table."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in extract(rows, model=model).collect()}
+    for r in rows.collect():
+        inner = re.sub(r"<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", re.search(r"<article>(.*)</article>", r["html"], re.S)[1])
+        assert got[r["page_id"]] == " ".join(__import__("html").unescape(inner).split())
+
+
+#: Kept passages of the truth set; ``{k}`` in its pages.
+KEPT = [
+    "The ferry to the outer islands was late again on Monday, and nobody on the pier seemed to mind.",
+    "Engineers had replaced the old diesel engine in March, but the new one needs a part that is made in only one place.",
+    "\u201cWe have waited nine weeks,\u201d the captain said, leaning on the rail. \u201cWe can wait for one more.\u201d",
+    "Passengers who missed their connection were given soup, bread and a ticket for the next morning.",
+    "The company expects the full timetable to return in June, when the days are long enough for three crossings.",
+    "Until then the small boat runs twice a day, weather permitting, and carries the post as well.",
+]
+MENU = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>World</a></li><li><a href='/c'>Sport</a></li><li><a href='/d'>Weather</a></li></ul>"
+POST = "<div class='entry-row'><span class='author'>{}</span><p>{}</p></div>"
+POSTS = POST.format("marta", "I was on that boat, and the soup was cold by the time it came to us.") + POST.format("old salt", "They should have kept the diesel. It never failed in thirty years.")
+P = "".join(f"<p>{{{k}}}</p>" for k in range(6))
+#: Pages by hand, written without regard to the lists of names: what is kept is in KEPT, all else has to go.
+TRUTH = [
+    # Names that no list holds, and names that only look like boilerplate.
+    f"<article>{P}<div class='discussion-thread'><p>I was on that boat, and the soup was cold by the time it came.</p></div><div class='rail'><p>Buy a lamp today.</p></div></article>",
+    f"<article>{P}<div class='opinions'>{POSTS}</div></article>",
+    f"<div class='page'>{MENU}<div class='wrap'>{P}</div><div class='voices'>{POSTS}</div></div>",
+    "<article><p>{0}</p><section class='social-history'><p>{1}</p><p>{2}</p></section><p>{3}</p></article>",
+    "<article><p>{0}</p><div class='notice-board'><p>{1}</p><p>{4}</p></div></article>",
+    "<article><section id='introduction'><p>{0}</p><p>{1}</p></section><section id='discussion'><p>{2}</p><p>{3}</p></section></article>",
+    "<article><p>{0}</p><div class='related-work'><p>{1}</p><p>{5}</p></div><div class='related'><ul><li><a href='/1'>Storm warning</a></li><li><a href='/2'>New pier</a></li></ul></div></article>",
+    "<article><p>{0}</p><section class='legal-questions'><p>{4}</p><p>{5}</p></section></article>",
+    "<article><p>{0}</p><p>{1}</p><div class='tags'><a href='/t/1'>ferry</a> <a href='/t/2'>islands</a></div></article>",
+    "<article><p>{0}</p><p>{1}</p><div class='social'><a href='/x'>Post</a><a href='/y'>Mail</a></div></article>",
+    "<article><p>{0}</p><p>{1}</p><div class='legal-notice'><p>All rights are reserved by the publisher of these pages, wherever they are read.</p></div></article>",
+    # Links in the article whose block has no name, or one that says nothing.
+    f"<article><p>{{0}}</p><p>{{1}}</p><div class='x7f'>{MENU}</div><p>{{2}}</p><p>{{3}}</p></article>",
+    f"<article><div>{MENU}</div>{P}</article>",
+    f"<article>{P}<section class='qq'>{MENU}</section></article>",
+    # Around a marked article.
+    f"<header>The Island Post</header><nav>{MENU}</nav><article>{P}</article><footer>Printed on the pier</footer>",
+    f"<div class='top'>{MENU}</div><main>{P}</main><div class='bottom'>Printed on the pier</div>",
+    f"<div class='leaderboard'>Lamps at half price</div><article>{P}</article><div class='zzz'><p>Readers also liked the storm of May.</p></div>",
+    f"<main>{P}</main><aside><p>More from the islands, every Monday, in your letter box.</p></aside>",
+    f"<article>{P}</article><section id='comments'><p>I was on that boat, and the soup was cold by the time it came.</p></section>",
+    f"<article>{P}</article><div class='guestbook'>{POSTS}</div>",
+    f"<article>{P}<form action='/s'><label>Mail</label><input name='m'><button>Send</button></form></article>",
+    f"<article>{P}<aside class='pull'><p>We have waited nine weeks.</p></aside></article>",
+    f"<article>{P}<div class='newsletter-signup'><p>Get the island letter every Friday, free of charge.</p></div></article>",
+    f"<article>{P}<div class='cookie-bar'>We use cookies on the pier.</div><script>var a = '<p>no</p>'</script><style>p{{{{}}}}</style></article>",
+    f"<article><div class='ad-slot'><p>Lamps at half price, today only.</p></div>{P}</article>",
+    # No mark.
+    f"<div id='nav'>{MENU}</div><div id='text'>{P}</div><div id='footer'>Printed on the pier</div>",
+    f"<nav>{MENU}</nav><div>{P}</div><footer>Printed on the pier</footer>",
+    f"<div class='sidebar'>{MENU}</div><div>{P}</div>",
+    f"<table><tr><td>{MENU}</td><td>{P}</td></tr></table>",
+    f"<div class='masthead'>The Island Post</div><section>{P}</section><div class='comments'>{POSTS}</div>",
+    f"<header><form><input name='q'></form></header><div><h1>{{5}}</h1>{P}</div><div class='share-bar'><a href='/x'>Post</a></div>",
+    # Articles of another make.
+    "<article><h1>{4}</h1><blockquote>{2}</blockquote><ul><li>{0}</li><li>{1}</li></ul><pre>{3}</pre></article>",
+    "<article>{0}<br>{1}<br><br>{2}<div>{3}</div></article>",
+    "<article><p>{0} <a href='/pier'>{1}</a> {2}</p><table><tr><td>{3}</td><td>{4}</td></tr></table></article>",
+]
+
+
+def test_truth_set(spark, model):
+    """Token F1 over pages by hand: 0.95 or more on average, and whole texts of the pages whose names mislead."""
+    want = [" ".join(KEPT[int(k)] for k in re.findall(r"\{(\d)\}", source)) for source in TRUTH]
+    pages = [f"<html><head><title>T</title></head><body>{source.format(*KEPT)}</body></html>" for source in TRUTH]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], SCHEMA), model=model).collect()}
+    f1 = []
+    for k, text in enumerate(want):
+        a, b = Counter(text.split()), Counter(got[k].split())
+        both = (a & b).total()
+        f1.append(2 * both / max(a.total() + b.total(), 1))
+    assert all(got[k] == want[k] for k in range(11)), [(TRUTH[k], got[k]) for k in range(11) if got[k] != want[k]]
+    assert sum(f1) / len(f1) >= 0.95, [(round(f, 2), t) for f, t in zip(f1, TRUTH) if f < 1]
+
+
 def test_odd_pages(spark, model):
     sources = [None, "", "plain text only", "<p", "<html><body><article><p>Cut &am", "<article>" + "<div>" * 500 + "deep", "<p class=\"a>b\">x</p><b <i>", "<article><p>dup</p></article>", "<article><p>dup</p></article>"]
     rows = spark.createDataFrame([(k, "u", s) for k, s in enumerate(sources)], SCHEMA)

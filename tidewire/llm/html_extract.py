@@ -11,13 +11,15 @@ outweighed by its subtree.
 
 Labels for training come from pages that mark their article themselves
 (``article`` or ``main``): text in it counts, except below elements that are
-boilerplate by tag or attribute; text outside doesn't, whatever its names. So
-that the trees don't lean on the mark alone, every sample page is also shown
-without it, and with the named blocks from outside moved into the article, where
-they still don't count. Attribute tokens of a node and of what lies above it go
-into the features, as counts of listed words and as ``BUCKETS`` hashed indicators
-of all others, so names that pages use outside their articles are learned from
-the pages. The sample is the
+boilerplate by tag, by name where the page bears the name out (``_weigh``), or
+as a row of signed posts; text outside doesn't, whatever its names. So that the
+trees don't lean on marks and names alone, a sample page is also shown without
+its mark, with its article written another way (``reshaped``), with the blocks
+from outside moved into the article, where they still don't count, and so
+without any names: then only what the text and its links tell is left. Attribute
+tokens of a node and of what lies above it go into the features, as counts of
+listed words and as ``BUCKETS`` hashed indicators of all others, so names that
+pages use outside their articles are learned from the pages. The sample is the
 ``SAMPLE_PAGES`` marked pages with the least hash; every page is extracted.
 
 Null and empty html give an empty text. Pages cut off anywhere are read as far
@@ -26,9 +28,10 @@ rule excludes is left out and all else kept. Repeated rows are extracted one by
 one; an empty table gives no row. Columns named like a result are replaced.
 Very long pages are read whole.
 
-Within marked articles, labels and two of the features use the same fixed list of
-words: an article's own block under a listed name goes. Names of boilerplate
-that no sample page has outside its article, and no list names, say nothing.
+What neither names nor links nor signatures tell apart from an article's own
+text stays: an unsigned comment in a block with a name unknown to lists and
+sample, say. A row of two or more signed posts after the article's prose goes,
+even if the article is a diary of such posts with prose before it.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ SAMPLE_PAGES = 200
 #: Hashed indicators of attribute tokens, one bit of an integer each.
 BUCKETS = 64
 TREES, DEPTH = 20, 4
+#: What a node counts in a page shown without names, against one in a page shown as it is.
+HIDDEN_WEIGHT = 0.3
 
 #: Fixed values of HTML: elements without content, with raw text, and those that close an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,9 +74,17 @@ MARKS = frozenset(["article", "main"])
 BOILER_TAGS = frozenset("aside button dialog footer form head header iframe input label menu nav noscript script search select style svg template textarea title".split())
 BOILER_WORDS = frozenset(
     "ad ads adslot advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus "
-    "drawer footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related "
-    "reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
+    "drawer footer gdpr header login masthead menu modal nav navbar navigation newsletter pager pagination popup promo promoted promotion "
+    "share sharing sidebar signup skip sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Words that articles have in the names of their own blocks, too. Two in one name count; one counts where the block isn't prose.
+WEAK_WORDS = frozenset(
+    "discussion discussions feedback form legal notice rail related remarks replies reply respond response responses search social tags teaser teasers thread threads".split()
+)
+#: Words that name who wrote a post.
+AUTHOR_WORDS = frozenset("author avatar commenter member nickname poster user username vcard".split())
+#: Characters of a text run that reads as prose, and of a block's prose.
+RUN, PROSE = 40, 100
 CONTENT_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 
 TOKEN = re.compile(
@@ -109,12 +122,14 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.text = [-1], ["#root"], [""]
         self.boiler, self.content, self.linked, self.tokens = [0], [0], [0], [0]
+        #: Names of weak words alone, and of authors.
+        self.weak, self.signed = [0], [0]
         #: Whether the node was moved into the article, or lies below one that was.
         self.moved: np.ndarray | None = None
         #: Open elements: tag, node (the one around it for inline elements), whether in a link.
         stack, at, n = [("#root", 0, False)], 0, len(source)
 
-        def add(tag, text="", boiler=0, content=0, tokens=0):
+        def add(tag, text="", boiler=0, content=0, tokens=0, weak=0, signed=0):
             self.parent.append(stack[-1][1])
             self.tag.append(tag)
             self.text.append(text)
@@ -122,6 +137,8 @@ class Page:
             self.content.append(content)
             self.linked.append(0)
             self.tokens.append(tokens)
+            self.weak.append(weak)
+            self.signed.append(signed)
             return len(self.tag) - 1
 
         def write(text):
@@ -158,14 +175,18 @@ class Page:
                 self._end(stack, frozenset("p"), frozenset(["table", "td", "th", "button", "article", "section", "div", "li", "body"]))
             if name in ENDS:
                 self._end(stack, *ENDS[name])
-            words = [w.lower() for m in ATTRIBUTE.finditer(attributes) for w in SPLIT.findall(CAMEL.sub(" ", m[1]).lower())] if "=" in attributes else ()
-            boiler = sum(w in BOILER_WORDS for w in words)
+            named = [SPLIT.findall(name.lower()) for m in ATTRIBUTE.finditer(attributes) for name in CAMEL.sub("-", m[1]).split()] if "=" in attributes else ()
+            words = [w for name in named for w in name]
+            weak = [sum(w in WEAK_WORDS for w in name) for name in named]
+            boiler = sum(w in BOILER_WORDS for w in words) + sum(k > 1 for k in weak)
+            weak, signed = sum(k == 1 for k in weak), int(any(w in AUTHOR_WORDS for w in words))
             linked = stack[-1][2] or name == "a"
-            if name not in BLOCKS and name not in BOILER_TAGS and not boiler:
+            if name not in BLOCKS and name not in BOILER_TAGS and not boiler and not weak:
+                self.signed[stack[-1][1]] += signed
                 if name not in VOID:
                     stack.append((name, stack[-1][1], linked))
                 continue
-            node = add(name, "", boiler, sum(w in CONTENT_WORDS for w in words), hashed(words))
+            node = add(name, "", boiler, sum(w in CONTENT_WORDS for w in words), hashed(words), weak, signed)
             if name in VOID:
                 continue
             if name in RAW:
@@ -174,6 +195,40 @@ class Page:
                 continue
             if not attributes.endswith("/") or name in BLOCKS:
                 stack.append((name, node, linked))
+        self._weigh()
+
+    def _weigh(self):
+        """What the page itself says of its blocks goes into ``boiler``.
+
+        A weak name counts where less than PROSE characters, or less than half of
+        the block's text, are prose: runs with a full stop and few links. Posts
+        count whatever their names: two or more alike below one element, each with
+        the name of an author, after PROSE characters of prose elsewhere. So does
+        what holds them, if it holds no prose but theirs.
+        """
+        if not any(self.weak) and sum(self.signed) < 2:
+            return
+        n = len(self.tag)
+        prose, text, signed, before = [0] * n, [len(t.strip()) for t in self.text], list(self.signed), [0] * (n + 1)
+        for i in range(n):
+            if text[i] >= RUN and 2 * self.linked[i] < text[i] and any(c in self.text[i] for c in ".!?\u3002"):
+                prose[i] = text[i]
+            before[i + 1] = before[i] + prose[i]
+        for i in range(n - 1, 0, -1):
+            for values in (prose, text, signed):
+                values[self.parent[i]] += values[i]
+        alike: dict[tuple, list[int]] = {}
+        for i in range(1, n):
+            if self.tag[i] != "#" and signed[i]:
+                alike.setdefault((self.parent[i], self.tag[i], self.tokens[i], self.content[i]), []).append(i)
+            if self.weak[i] and (prose[i] < PROSE or 2 * prose[i] < text[i]):
+                self.boiler[i] += self.weak[i]
+        for (up, *_), posts in alike.items():
+            if len(posts) > 1 and before[posts[0]] >= PROSE and not any(self.tag[i] in MARKS for i in posts):
+                for i in posts:
+                    self.boiler[i] += 1
+                if up and self.tag[up] not in (*MARKS, "body", "html") and prose[up] == sum(prose[i] for i in posts):
+                    self.boiler[up] += 1
 
     def _end(self, stack, which, upto):
         for k in range(len(stack) - 1, 0, -1):
@@ -240,13 +295,53 @@ class Page:
         page.moved = below[order]
         return page
 
-    def features(self, marks: bool = True) -> np.ndarray:
-        """One row of NAMES for each node; without ``marks``, article and main look like plain elements."""
+    def reshaped(self) -> Page | None:
+        """The page with its article written another way: paragraphs are other elements, some of them lie deeper, below names that say nothing."""
+        marked = [i for i, t in enumerate(self.tag) if t in MARKS]
+        if not marked:
+            return None
+        top, n, dice = marked[0], len(self.tag), zlib.crc32("".join(self.text).encode("utf-8", "replace"))
+        inside = np.zeros(n, dtype=bool)
+        for i in range(n):
+            inside[i] = self.tag[i] in MARKS or (self.parent[i] >= 0 and inside[self.parent[i]])
+        children = [i for i in range(top + 1, n) if self.parent[i] == top]
+        if not children:
+            return None
+        tag, levels = ("p", "div", "section", "li", "td", "blockquote")[dice % 6], 1 + dice // 6 % 3
+        first = children[dice // 18 % len(children)] if dice // 7 % 2 else children[0]
+        after = [i for i in children if i > first]
+        last = after[dice // 29 % len(after)] if after and dice // 11 % 2 else n
+        page = object.__new__(Page)
+        # Children from first to last go below new elements, which stand where the first of them stood.
+        new = lambda i: i + levels if i >= first else i
+        parents = [-1 if k < 0 else first + levels - 1 if k == top and first <= i < last else new(k) for i, k in enumerate(self.parent)]
+        tags = [tag if t == "p" and inside[i] else t for i, t in enumerate(self.tag)]
+        put = lambda values, more: [*values[:first], *more, *values[first:]]
+        page.parent = put(parents, [top, *range(first, first + levels - 1)])
+        page.tag = put(tags, [("div", "section", "td")[(dice // 5 + k) % 3] for k in range(levels)])
+        page.text = put(self.text, [""] * levels)
+        page.tokens = put(self.tokens, [1 << (dice // 13 + 17 * k) % BUCKETS for k in range(levels)])
+        page.boiler, page.content, page.linked = (put(values, [0] * levels) for values in (self.boiler, self.content, self.linked))
+        page.moved = None
+        return page
+
+    def told(self, named: bool) -> np.ndarray:
+        """Nodes to learn from: those with text; of blocks moved into the article, where names don't show, lists of links alone."""
+        links, text = np.array(self.linked, dtype=float), np.array([len(t.strip()) for t in self.text], dtype=float)
+        for i in range(len(text) - 1, 0, -1):
+            links[self.parent[i]] += links[i]
+            text[self.parent[i]] += text[i]
+        return (text > 0) if named else (text > 0) & (~self.moved | (2 * links > text))
+
+    def features(self, marks: bool = True, named: bool = True) -> np.ndarray:
+        """One row of NAMES for each node; without ``marks``, article and main look like plain elements, without ``named`` all do."""
         n = len(self.tag)
         parent = np.array(self.parent)
         mark = np.array([marks and t in MARKS for t in self.tag], dtype=float)
         boiler_tag = np.array([t in BOILER_TAGS for t in self.tag], dtype=float)
         boiler, content = np.array(self.boiler, dtype=float), np.array(self.content, dtype=float)
+        if not named:
+            boiler_tag, boiler, content = boiler_tag * 0, boiler * 0, content * 0
         is_text = np.array([t == "#" for t in self.tag], dtype=float)
         own = np.array([len(t.strip()) for t in self.text], dtype=float)
         stops = np.array([t.count(".") + t.count(",") for t in self.text], dtype=float)
@@ -254,7 +349,7 @@ class Page:
         source = np.column_stack([mark, boiler_tag, boiler, content])
         depth, order, count = np.zeros(n), np.zeros(n), np.zeros(n)
         direct = np.zeros(n)
-        tokens = list(self.tokens)
+        tokens = list(self.tokens) if named else [0] * n
         for i in range(1, n):
             p = self.parent[i]
             tokens[i] |= tokens[p]
@@ -349,18 +444,26 @@ class Trees:
 
 def _examples(batches):
     for batch in batches:
-        labels, rows = [], []
+        labels, weights, rows = [], [], []
         for source in batch.column("html").to_pylist():
             page = Page(source)
-            moved = page.grafted()
-            for shown, marks in ((page, True), (page, False), *([(moved, True)] if moved else [])):
-                label = shown.labels()
-                labels.append(label.astype(float))
-                rows.append(shown.features(marks))
+            shown = [(page, True, True), (page, False, True)]
+            other = page.reshaped()
+            if other:
+                shown += [(other, True, True), (other, False, True)]
+            for moved in (page.grafted(), other and other.grafted()):
+                if moved:
+                    shown += [(moved, True, True), (moved, True, False)]
+            for view, marks, named in shown:
+                label = view.labels()
+                told = view.told(named)
+                labels.append(label[told].astype(float))
+                weights.append(np.full(told.sum(), 1.0 if named else HIDDEN_WEIGHT))
+                rows.append(view.features(marks, named)[told])
         if labels:
             flat = np.concatenate(rows)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(labels)), lists], ["label", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(labels)), pa.array(np.concatenate(weights)), lists], ["label", "weight", "row"])
 
 
 def train(pages: DataFrame, html_col: str = "html") -> Trees | None:
@@ -370,11 +473,11 @@ def train(pages: DataFrame, html_col: str = "html") -> Trees | None:
 
     marked = pages.select(F.col(html_col).alias("html")).filter(F.lower("html").rlike("<(article|main)[\\s>]"))
     sample = marked.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
-    examples = sample.mapInArrow(_examples, "label double, row array<double>").select("label", array_to_vector("row").alias("features")).persist()
+    examples = sample.mapInArrow(_examples, "label double, weight double, row array<double>").select("label", "weight", array_to_vector("row").alias("features")).repartition(8, "features").persist()
     try:
         if examples.select("label").distinct().count() < 2:
             return None
-        return Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(examples))
+        return Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, weightCol="weight").fit(examples))
     finally:
         examples.unpersist()
 
