@@ -2,6 +2,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewire.llm import queries
@@ -71,6 +72,39 @@ def test_passages_are_cut(spark, folder):
     assert all(r["text"] == docs[k] for k, r in left.items() if k != long)
 
 
+#: Names of the operators' results and helpers, and some that need quoting.
+CLASHING = "text_key first words n_words n_hits score predicted held_out kept component_id contaminated __row __key __id rid a.b Label".split()
+
+
+def test_clashing_columns(spark, folder):
+    """Other columns, whatever their names, come through the stages as they were and change nothing."""
+    path, docs, _ = folder
+    plain = now = spark.read.parquet(f"{path}/documents.parquet")
+    for k, name in enumerate(CLASHING):
+        now = now.withColumn(name, F.concat(F.lit(f"{k}:"), "doc_id"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        wide, plain = stage(spark, now, path), stage(spark, plain, path)
+        columns, got = now.columns, wide.collect()
+        rows = plain.collect()
+        assert sorted(map(repr, (r[:2] for r in wide.select(*[f"`{c}`" for c in plain.columns]).collect()))) == sorted(map(repr, (r[:2] for r in rows)))
+        if k < 4:
+            assert wide.columns == columns
+            assert all(r[c] == f"{j}:{r['doc_id']}" for r in got for j, c in enumerate(CLASHING))
+            now, plain = spark.createDataFrame(got, now.schema), spark.createDataFrame(rows, SCHEMA)
+
+
+def test_run_of_empty_tables(spark, folder, tmp_path):
+    """No documents, with labels and benchmark or without: no rows, and the columns of the last stage."""
+    path, _, _ = folder
+    for name, full in (("some", True), ("none", False)):
+        table(spark, []).withColumn("a.b", F.lit(1)).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            rows = spark.read.parquet(f"{path}/{other}.parquet")
+            (rows if full else rows.limit(0)).write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "ids", "n_tokens", "score", "round_trip"] and not out.collect()
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)

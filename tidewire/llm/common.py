@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.session import shared_folder
 
@@ -21,6 +22,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(names) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def extended(df: DataFrame, names, added: str) -> StructType:
+    """The named columns of ``df`` and ``added`` ones: not by a string of their types, whose inner names may need quoting."""
+    return StructType([StructField(n, df.schema[n].dataType) for n in names] + StructType.fromDDL(added).fields)
+
+
 def with_row_id(docs: DataFrame, name: str = "__rid") -> DataFrame:
     """Number the rows, so that repeated rows and null or repeated ids stay apart."""
     return docs.withColumn(name, F.monotonically_increasing_id())

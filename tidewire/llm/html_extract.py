@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, extended, quoted
 
 SAMPLE_PAGES = 200
 #: Hashed indicators of attribute tokens, one bit of an integer each.
@@ -485,7 +485,7 @@ def train(pages: DataFrame, html_col: str = "html") -> Trees | None:
 def extract(pages: DataFrame, html_col: str = "html", model: Trees | None = None, sample: DataFrame | None = None) -> DataFrame:
     """All columns of ``pages`` but the html (and text, n_chars), with text and n_chars."""
     model = model or train(pages if sample is None else sample, html_col)
-    own = [(n, t) for n, t in pages.dtypes if n not in (html_col, "text", "n_chars")]
+    own = [n for n in pages.columns if n not in (html_col, "text", "n_chars")]
 
     def run(batches):
         for whole in batches:
@@ -499,8 +499,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: Trees | None = None
                 else:
                     odds = [np.where(p.excluded(), -1.0, 1.0) for p in found]
                 texts = [p.decode(o) for p, o in zip(found, odds)]
-                columns = [batch.column(n) for n, _ in own] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*[n for n, _ in own], "text", "n_chars"])
+                columns = [batch.column(n) for n in own] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*own, "text", "n_chars"])
 
-    schema = ", ".join([*[f"`{n}` {t}" for n, t in own], "text string", "n_chars long"])
-    return pages.select(*[n for n, _ in own], html_col).mapInArrow(run, schema)
+    return pages.select(*quoted([*own, html_col])).mapInArrow(run, extended(pages, own, "text string, n_chars long"))

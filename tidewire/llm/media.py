@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..plans.session import shared_folder
-from .common import materialize, width
+from .common import extended, materialize, quoted, width
 
 ROW = 576
 SHARD_BYTES = 16_000_000
@@ -166,9 +166,9 @@ def store(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """
     folder = shared_folder(docs.sparkSession, "media")
     added = {c.split()[0] for c in INDEX_SCHEMA.split(", ")}
-    docs = docs.select(*[c for c in docs.columns if c == text_col or c not in added])
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != text_col)
-    index = docs.mapInArrow(_write_shards(folder, docs.columns.index(text_col)), f"{schema}, {INDEX_SCHEMA}" if schema else INDEX_SCHEMA)
+    docs = docs.select(*quoted(c for c in docs.columns if c == text_col or c not in added))
+    schema = extended(docs, [c for c in docs.columns if c != text_col], INDEX_SCHEMA)
+    index = docs.mapInArrow(_write_shards(folder, docs.columns.index(text_col)), schema)
     return materialize(index, "media-index"), folder
 
 
@@ -213,11 +213,10 @@ def _read(folder: str, whole: bool):
 def _scan(index: DataFrame, folder: str, whole: bool) -> DataFrame:
     spec = PAYLOAD_SCHEMA if whole else META_SCHEMA
     added = {c.split()[0] for c in spec.split(", ")}
-    index = index.select(*[c for c in index.columns if c not in added])
-    schema = ", ".join(f"`{n}` {t}" for n, t in index.dtypes)
+    index = index.select(*quoted(c for c in index.columns if c not in added))
     # One shard's rows meet in one task and are read in the order they lie.
     dealt = index.repartition(width(index.sparkSession), "shard").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(_read(folder, whole), f"{schema}, {spec}")
+    return dealt.mapInArrow(_read(folder, whole), extended(index, index.columns, spec))
 
 
 def read_headers(index: DataFrame, folder: str) -> DataFrame:

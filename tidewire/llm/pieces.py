@@ -36,6 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import extended, quoted
+
 #: The mark that stands for white space.
 MARK = "▁"
 #: Words that a worker keeps (some 200 bytes each); past that it keeps no new ones.
@@ -216,14 +218,9 @@ def _slices(batches, rows: int = 200):
             yield batch.slice(at, rows)
 
 
-def _schema(df: DataFrame, added: str) -> str:
-    own = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return f"{own}, {added}" if own else added
-
-
 def encode(docs: DataFrame, proto: bytes, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` (but ids and score) with ``ids array<int>`` and ``score double``."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("ids", "score")])
+    docs = docs.select(*quoted(c for c in docs.columns if c not in ("ids", "score")))
 
     def run(batches):
         model = load(proto)
@@ -234,12 +231,12 @@ def encode(docs: DataFrame, proto: bytes, text_col: str = "text") -> DataFrame:
             scores = [float(model.score[flat[a:b]].sum()) for a, b in zip(ends, ends[1:])]
             yield from _with(batch, ids=lists, score=pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(run, _schema(docs, "ids array<int>, score double"))
+    return docs.mapInArrow(run, extended(docs, docs.columns, "ids array<int>, score double"))
 
 
 def decode(encoded: DataFrame, proto: bytes, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` (but ``to``) with the text of the ids; null ids give ""."""
-    encoded = encoded.select(*[c for c in encoded.columns if c != to])
+    encoded = encoded.select(*quoted(c for c in encoded.columns if c != to))
 
     def run(batches):
         model = load(proto)
@@ -249,4 +246,4 @@ def decode(encoded: DataFrame, proto: bytes, ids_col: str = "ids", to: str = "de
             texts = model.decode(lists.flatten().to_numpy(), ends)
             yield from _with(batch, **{to: pa.array(texts, pa.string())})
 
-    return encoded.mapInArrow(run, _schema(encoded, f"`{to}` string"))
+    return encoded.mapInArrow(run, extended(encoded, encoded.columns, f"`{to}` string"))

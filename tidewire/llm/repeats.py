@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import shared_folder
-from .common import BASE, BYTE_VALUE, INVERSE, materialize, mix, powers, width
+from .common import BASE, BYTE_VALUE, INVERSE, extended, materialize, mix, powers, quoted, width
 
 WIDTH, GRAM = 200, 32
 #: Distinct contents of an anchor that one task sorts: some 40 MB.
@@ -408,9 +408,8 @@ class Repeats:
         joined = self.texts.join(spans, F.col("__rid") == F.col("__other"), "left").drop("__other", "__rid")
         names = [c.split()[0] for c in RESULT.split(", ")]
         result = RESULT.replace("kept binary", f"`{text_to}` string") if text_to else RESULT
-        own = [(n, t) for n, t in joined.dtypes if n not in (*names[:4], text_to or names[4], "__spans", "__bytes")]
-        schema = "".join(f"`{n}` {t}, " for n, t in own)
-        return joined.select(*[n for n, _ in own], "__bytes", "__spans").mapInArrow(_remove(text_to), schema + result)
+        own = [n for n in joined.columns if n not in (*names[:4], text_to or names[4], "__spans", "__bytes")]
+        return joined.select(*quoted(own), "__bytes", "__spans").mapInArrow(_remove(text_to), extended(joined, own, result))
 
 
 def _cut(text: bytes, spans) -> tuple[bytes, int]:
