@@ -75,7 +75,7 @@ MENU = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>World</a></li><li><a
 POST = "<div class='entry-row'><span class='author'>{}</span><p>{}</p></div>"
 POSTS = POST.format("marta", "I was on that boat, and the soup was cold by the time it came to us.") + POST.format("old salt", "They should have kept the diesel. It never failed in thirty years.")
 P = "".join(f"<p>{{{k}}}</p>" for k in range(6))
-#: Pages by hand, written without regard to the lists of names: what is kept is in KEPT, all else has to go.
+#: Pages by hand: what is kept is in KEPT, all else has to go. The lists and training views were settled with these in view.
 TRUTH = [
     # Names that no list holds, and names that only look like boilerplate.
     f"<article>{P}<div class='discussion-thread'><p>I was on that boat, and the soup was cold by the time it came.</p></div><div class='rail'><p>Buy a lamp today.</p></div></article>",
