@@ -47,3 +47,7 @@ def test_addresses_there_and_back(spark):
     others = [("192.0.2.53",), ("2001:db8::53",), ("10.0.8388608.0",), (None,), ("x",)]
     assert [tuple(r) for r in spark.createDataFrame(others, "a string").select(to_wire(F.col("a"))).collect()] == others
     assert [tuple(r) for r in spark.createDataFrame(others, "a string").select(from_wire(F.col("a"))).collect()] == others
+
+
+def test_frames_of_one_time_are_told_apart(spark, copies):
+    check(spark, "capture_faults", copies)
