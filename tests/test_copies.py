@@ -51,3 +51,7 @@ def test_addresses_there_and_back(spark):
 
 def test_frames_of_one_time_are_told_apart(spark, copies):
     check(spark, "capture_faults", copies)
+
+
+def test_later_copies_are_not_late_for_the_stream(spark, copies):
+    check(spark, "match_capture_stream", copies)
